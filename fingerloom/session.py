@@ -62,3 +62,13 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` if the input has fewer tasks than the cluster has cores.
+
+    Meant for narrow rows ahead of per-row work that costs more than the shuffle; input that is
+    already split well is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
