@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fingerloom.functions import scalars as S
 from fingerloom.operators.quantiles import exact_quantiles
@@ -32,29 +35,57 @@ def default_caps(df: DataFrame, dwell_cap: float = DWELL_CAP_MS, flight_cap: flo
     return {**{c: dwell_cap for c in dwell}, **{c: flight_cap for c in flight}}
 
 
-def is_negative(columns: Sequence[str]) -> Column:
-    return S.any_true([S.to_number(F.col(c)) < 0 for c in columns])
+def within(limits: Mapping[str, tuple[float | None, float | None]]) -> Column:
+    """True if every column lies within its (low, high); NULL and NaN count as inside.
+
+    One short conjunct per column: the generated filter stays small enough to be compiled to machine
+    code, and each conjunct can be tried on its own.
+    """
+    out = F.lit(True)
+    for c, (low, high) in limits.items():
+        x = F.col(c)
+        test = [x >= low] if low is not None else []
+        test += [x <= high] if high is not None else []
+        out = out & (reduce(and_, test) | x.isNull() | F.isnan(x))
+    return out
+
+
+def as_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Text columns among ``columns`` as doubles; numeric ones are left as they are."""
+    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: S.to_number(F.col(c)) for c in text}) if text else df
+
+
+def not_negative(columns: Iterable[str]) -> Column:
+    return within({c: (0.0, None) for c in columns})
+
+
+def under_cap(caps: Mapping[str, float]) -> Column:
+    return within({c: (None, cap) for c, cap in caps.items()})
 
 
-def over_cap(caps: Mapping[str, float]) -> Column:
-    return S.any_true([S.to_number(F.col(c)) > cap for c, cap in caps.items()])
+def under_upper(bounds: Mapping[str, Bounds]) -> Column:
+    return within({c: (None, b.upper) for c, b in bounds.items()})
 
 
-def over_upper(bounds: Mapping[str, Bounds]) -> Column:
-    return S.any_true([S.to_number(F.col(c)) > b.upper for c, b in bounds.items()])
+def inside(bounds: Mapping[str, Bounds]) -> Column:
+    return within({c: (b.lower, b.upper) for c, b in bounds.items()})
 
 
-def outside(bounds: Mapping[str, Bounds]) -> Column:
-    return S.any_true([
-        (S.to_number(F.col(c)) < b.lower) | (S.to_number(F.col(c)) > b.upper) for c, b in bounds.items()])
+def _plausible(df: DataFrame, columns: Sequence[str], caps: Mapping[str, float]) -> dict[str, tuple[float, float | None]]:
+    """Limits of negatives and caps together, of the columns present."""
+    return {c: (0.0 if c in columns else None, caps.get(c)) for c in [*columns, *(k for k in caps if k not in columns)]
+            if c in df.columns}
 
 
 def drop_negative(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.where(~is_negative(columns or sum(timing_columns(df), [])))
+    columns = columns or sum(timing_columns(df), [])
+    return as_numbers(df, columns).where(not_negative(columns))
 
 
 def drop_over_cap(df: DataFrame, caps: Mapping[str, float] | None = None) -> DataFrame:
-    return df.where(~over_cap(default_caps(df) if caps is None else caps))
+    caps = default_caps(df) if caps is None else caps
+    return as_numbers(df, caps).where(under_cap(caps))
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MULTIPLIER,
@@ -72,31 +103,37 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MU
 
 def drop_over_iqr(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Drop rows over the upper bound of any column, all bounds taken from the same input."""
-    return df.where(~over_upper(iqr_bounds(df, columns or sum(timing_columns(df), []), multiplier)))
+    columns = columns or sum(timing_columns(df), [])
+    return as_numbers(df, columns).where(under_upper(iqr_bounds(df, columns, multiplier)))
 
 
 def clean_timing(df: DataFrame, *, dwell_cap: float = DWELL_CAP_MS, flight_cap: float = FLIGHT_CAP_MS,
                  multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Negatives, then hard caps, then the IQR upper bound; unchanged without timing columns.
 
-    The bounds are literals, so the cleaning pass is a plain filter that reaches the scan.
+    The bounds are literals, so the cleaning pass is a plain filter next to the scan: per column, the
+    lower of cap and IQR bound is the only upper limit left.
     """
     columns = sum(timing_columns(df), [])
     if not columns:
         return df
-    kept = df.where(~is_negative(columns)).where(~over_cap(default_caps(df, dwell_cap, flight_cap)))
-    return kept.where(~over_upper(iqr_bounds(kept, columns, multiplier)))
+    df = as_numbers(df, columns)
+    limits = _plausible(df, columns, default_caps(df, dwell_cap, flight_cap))
+    bounds = iqr_bounds(df.where(within(limits)), columns, multiplier)
+    return df.where(within({
+        c: (low, min(high, bounds[c].upper) if c in bounds else high) for c, (low, high) in limits.items()}))
 
 
 def cleaning_audit(df: DataFrame, *, label: str | None = None) -> DataFrame:
     """Rows lost at each stage of :func:`clean_timing`, in one pass after the bounds; optionally per label."""
     columns = sum(timing_columns(df), [])
-    negative, capped = is_negative(columns), over_cap(default_caps(df))
-    bounds = iqr_bounds(df.where(~negative).where(~capped), columns)
+    df = as_numbers(df, columns)
+    caps = default_caps(df)
+    bounds = iqr_bounds(df.where(within(_plausible(df, columns, caps))), columns)
     staged = df.select(
         *([label] if label else []),
-        F.when(negative, "negative").when(capped, "hard_cap").when(over_upper(bounds), "iqr").otherwise("kept")
-        .alias("stage"))
+        F.when(~not_negative(columns), "negative").when(~under_cap(caps), "hard_cap")
+        .when(~under_upper(bounds), "iqr").otherwise("kept").alias("stage"))
     hit = lambda s: F.count_if(F.col("stage") == s)
     aggregates = [
         F.count(F.lit(1)).alias("rows_before"), hit("negative").alias("negative_rows"),
@@ -114,9 +151,10 @@ def flag_two_sided(df: DataFrame, columns: Sequence[str], caps: Mapping[str, flo
     caps = {c: v for c, v in (caps or {}).items() if c in df.columns}
     if not columns:
         return df.withColumn("status", F.lit("clean")), {}
-    rejected = is_negative(columns) | over_cap(caps)
-    bounds = iqr_bounds(df.where(~rejected), columns, multiplier)
-    status = F.when(rejected, "rejected").when(outside(bounds), "outlier").otherwise("clean")
+    df = as_numbers(df, [*columns, *caps])
+    plausible = within(_plausible(df, columns, caps))
+    bounds = iqr_bounds(df.where(plausible), columns, multiplier)
+    status = F.when(~plausible, "rejected").when(~inside(bounds), "outlier").otherwise("clean")
     return df.withColumn("status", status), bounds
 
 

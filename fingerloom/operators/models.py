@@ -74,8 +74,8 @@ def _classifier(algorithm: str, n_rows: int, n_classes: int, seed: int):
             probabilityCol="_probability", rawPredictionCol="_raw", maxMemoryInMB=1024, **columns)
     boosted = GBTClassifier(
         maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-        maxBins=64, rawPredictionCol="_raw", maxMemoryInMB=1024)
-    return OneVsRest(classifier=boosted, parallelism=n_classes, rawPredictionCol="_raw", **columns)
+        maxBins=64, maxMemoryInMB=1024)
+    return OneVsRest(classifier=boosted, parallelism=n_classes, **columns)
 
 
 def fit_pipeline(algorithm: str, df: DataFrame, classes: Sequence[str], *, label: str = TARGET,
@@ -106,14 +106,21 @@ def score(df: DataFrame, model: PipelineModel, classes: Sequence[str]) -> DataFr
     One-vs-rest boosting has margins only: its probabilities are the normalised logistic of twice
     the margin of each class.
     """
-    scored = model.transform(df)
-    if isinstance(model.stages[-1], OneVsRestModel):
-        votes = F.transform(vector_to_array("_raw"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        scored = scored.withColumn("_votes", votes)
-        total = F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b)
-        scored = scored.withColumn("_total", total)
+    fitted = model.stages[-1]
+    scored = df
+    if isinstance(fitted, OneVsRestModel):
+        for stage in model.stages[:-1]:
+            scored = stage.transform(scored)
+        margins = []
+        for i, member in enumerate(fitted.models):
+            member = member.copy().setRawPredictionCol(f"_raw{i}").setPredictionCol("").setProbabilityCol("")
+            scored = member.transform(scored)
+            margins.append(F.get(vector_to_array(f"_raw{i}"), F.lit(1)))
+        scored = scored.withColumn("_votes", F.array(*[1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins]))
+        scored = scored.withColumn("_total", F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b))
         probabilities = F.transform("_votes", lambda v: v / F.col("_total"))
     else:
+        scored = model.transform(scored)
         probabilities = vector_to_array("_probability")
     scored = scored.withColumn("_p", probabilities)
     return scored.withColumn("_out", S.prediction_struct(F.col("_p"), list(classes))).select(
@@ -170,11 +177,11 @@ def importances(model: PipelineModel, features: Sequence[str] = FEATURES) -> lis
     return [(f, float(v), i) for i, (f, v) in enumerate(zip(features, values))]
 
 
-def predict_ms(df: DataFrame, model: PipelineModel, *, runs: int = 50) -> float:
+def predict_ms(df: DataFrame, model: PipelineModel, classes: Sequence[str], *, runs: int = 50) -> float:
     """Mean wall time of one prediction pass over ``df`` after a warm-up."""
     if runs <= 0:
         raise ValueError("runs must be greater than zero.")
-    job = model.transform(df)
+    job = score(df, model, classes).select("prediction")
     job.write.format("noop").mode("overwrite").save()
     started = time.perf_counter()
     for _ in range(runs):

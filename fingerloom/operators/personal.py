@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fingerloom.functions import scalars as S
 from fingerloom.operators import models as M
-from fingerloom.operators.cleaning import clean_timing, default_caps, is_negative, over_cap
+from fingerloom.operators.cleaning import clean_timing, default_caps, not_negative, under_cap
 from fingerloom.operators.quality import feature_violations
 from fingerloom.operators.scoring import fit_scaler
 from fingerloom.schema import FEATURES, FINGERS, IQR_MULTIPLIER, MIN_PERSONAL_ROWS, TARGET, TIMING_COLUMNS
@@ -142,7 +142,7 @@ def _clean_per_user(rows: DataFrame) -> DataFrame:
     most ``MAX_GROUP_ROWS`` rows per user.
     """
     columns = [c for c in TIMING_COLUMNS if c in rows.columns]
-    capped = rows.where(~is_negative(columns) & ~over_cap(default_caps(rows)))
+    capped = rows.where(not_negative(columns) & under_cap(default_caps(rows)))
     quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
     bounds = capped.groupBy("model_key").agg(*quartiles)
     upper = {c: F.col(f"_q_{c}")[1] + IQR_MULTIPLIER * (F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0]) for c in columns}

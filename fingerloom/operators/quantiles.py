@@ -22,11 +22,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[floa
 
     ``direct`` uses ``percentile``; ``refined`` narrows each wanted order statistic to a bracket of
     values first, so memory does not grow with the number of distinct values; both give the same
-    numbers. ``auto`` takes ``direct`` for whole-number columns of at most 32 bits and for columns with few distinct values.
+    numbers. ``auto`` takes ``direct``
+    for columns with few distinct values.
     """
     levels = [float(p) for p in levels]
     columns = list(columns)
-    values = df.select(*[to_number(F.col(c)).alias(c) for c in columns])
+    numeric = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in columns}
+    values = df.select(*[F.col(c) if numeric[c] else to_number(F.col(c)).alias(c) for c in columns])
     direct = columns
     if method == "refined":
         direct = []
