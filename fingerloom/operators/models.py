@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
@@ -130,7 +130,7 @@ def score(df: DataFrame, model: PipelineModel, classes: Sequence[str]) -> DataFr
 def in_threads(tasks: Sequence, workers: int = 8) -> list:
     """Results of driver calls that each run Spark jobs of their own; errors are raised."""
     with ThreadPool(max(1, min(workers, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(lambda task: task()), tasks)
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda task: task()), tasks)
 
 
 def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str], *, folds: int,

@@ -16,6 +16,7 @@ from fingerloom.operators import personal as P
 from fingerloom.operators import scoring as L
 from fingerloom.operators import split as Sp
 from fingerloom.operators import training as T
+from fingerloom.operators.cleaning import drop_negative
 from fingerloom.plans.catalog import query, rounded
 from fingerloom.schema import FEATURES, TARGET
 from fingerloom.session import scratch_path
@@ -173,9 +174,10 @@ def train_holdout(spark, sf):
 
 @query("train_forest_registry")
 def train_forest_registry(spark, sf):
-    """Forest on the extracted rows as they are, stored in the folder of its data type."""
+    """Forest on the extracted rows, stored in the folder of its data type. This job does no IQR
+    cleaning; negative timings are dropped, because validation stops on them."""
     root = scratch_path(spark, "models")
-    rows = X.training_rows(feature_table(spark, sf), typing_table(spark, sf), label_rule="valid")
+    rows = drop_negative(X.training_rows(feature_table(spark, sf), typing_table(spark, sf), label_rule="valid"))
     T.train_holdout(rows, M.FOREST, root, clean=False, key="unknown_user", lineage="experiments")
     return R.read_registry(spark, root).select("model_key", "algorithm", "lineage", F.size("label_classes").alias("n_classes"))
 
