@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,16 @@ def to_number(x: Column) -> Column:
     return nan_to_null(x.try_cast("double"))
 
 
+def number(x: float) -> str:
+    """SQL text of a double."""
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')"
+
+
+def number_sql(column: str) -> str:
+    """SQL text of :func:`to_number` over a column."""
+    return f"nullif(try_cast(`{column}` AS double), double('nan'))"
+
+
 def strip(x: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -47,19 +57,25 @@ def accuracy_to_percent(accuracy: Column) -> Column:
     return F.when(accuracy <= 1, accuracy * 100.0).otherwise(accuracy)
 
 
-def argmax_name(columns: Mapping[str, Column]) -> Column:
-    """Name of the largest value; the first name in mapping order wins a tie. NULL if all are NULL."""
+def argmax_name(columns: Mapping[str, Column | str]) -> Column:
+    """Name of the largest value; the first name in mapping order wins a tie. NULL if all are NULL.
+
+    Values may be given as column names, which keeps the expression one piece of SQL text.
+    """
+    if all(isinstance(c, str) for c in columns.values()):
+        top = "greatest(" + ", ".join(f"`{c}`" for c in columns.values()) + ")"
+        return F.expr("CASE " + " ".join(f"WHEN `{c}` = {top} THEN '{name}'" for name, c in columns.items()) + " END")
     top = F.greatest(*columns.values())
     return F.coalesce(*[F.when(value == top, F.lit(name)) for name, value in columns.items()])
 
 
-def weakest_by_max_error(errors: Mapping[str, Column]) -> Column:
+def weakest_by_max_error(errors: Mapping[str, Column | str]) -> Column:
     """Finger with the largest error; ties and an all-NULL row go to the alphabetically first name."""
     ordered = dict(sorted(errors.items()))
     return F.coalesce(argmax_name(ordered), F.lit(next(iter(ordered))))
 
 
-def weakest_by_column_order(errors: Mapping[str, Column]) -> Column:
+def weakest_by_column_order(errors: Mapping[str, Column | str]) -> Column:
     """Finger with the largest error; a tie goes to the first column of the table."""
     return argmax_name(errors)
 
@@ -75,9 +91,9 @@ def label_valid_or_inferred(stated: Column, inferred: Column, allowed: Sequence[
     return F.when(normal.isin(*allowed), normal).otherwise(inferred)
 
 
-def mean_of(columns: Sequence[Column]) -> Column:
+def mean_of(columns: Sequence[str]) -> Column:
     """Mean over wide columns; NULL if any part is NULL."""
-    return reduce(add, [c.cast("double") for c in columns]) / F.lit(float(len(columns)))
+    return F.expr("(" + " + ".join(f"double(`{c}`)" for c in columns) + f") / {number(len(columns))}")
 
 
 def normalize_label(label: Column, *, lower: bool = False) -> Column:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerloom.functions import scalars as S
+from fingerloom.functions.scalars import number
 from fingerloom.operators.quantiles import exact_quantiles
 from fingerloom.schema import DWELL_CAP_MS, FLIGHT_CAP_MS, IQR_MULTIPLIER
 
@@ -38,16 +37,14 @@ def default_caps(df: DataFrame, dwell_cap: float = DWELL_CAP_MS, flight_cap: flo
 def within(limits: Mapping[str, tuple[float | None, float | None]]) -> Column:
     """True if every column lies within its (low, high); NULL and NaN count as inside.
 
-    One short conjunct per column: the generated filter stays small enough to be compiled to machine
-    code, and each conjunct can be tried on its own.
+    One short conjunct per column, given as SQL text: a wide rule is one call to the planner.
     """
-    out = F.lit(True)
+    tests = []
     for c, (low, high) in limits.items():
-        x = F.col(c)
-        test = [x >= low] if low is not None else []
-        test += [x <= high] if high is not None else []
-        out = out & (reduce(and_, test) | x.isNull() | F.isnan(x))
-    return out
+        ends = [f"`{c}` >= {number(low)}"] if low is not None else []
+        ends += [f"`{c}` <= {number(high)}"] if high is not None else []
+        tests.append(f"({' AND '.join(ends) or 'true'} OR `{c}` IS NULL OR isnan(`{c}`))")
+    return F.expr(" AND ".join(tests) or "true")
 
 
 def as_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from fingerloom.schema import FINGERS, PASCAL_TO_SNAKE, TARGET, finger_columns
 
 
 def pascal_errors() -> dict:
-    return {f: F.col(c) for f, c in zip(FINGERS, finger_columns("error", case="pascal"))}
+    return dict(zip(FINGERS, finger_columns("error", case="pascal")))
 
 
 def not_outlier(features: DataFrame, flag: str = "IsOutlier") -> DataFrame:
@@ -39,7 +39,7 @@ def training_rows(features: DataFrame, typing: DataFrame, *, label_rule: str = "
         *keep,
         F.col("Wpm").cast("double").alias("wpm"),
         S.accuracy_to_unit(F.col("Accuracy")).cast("double").alias("accuracy"),
-        *[F.col(p).cast("double").alias(s) for p, s in PASCAL_TO_SNAKE.items()],
+        *[F.expr(f"double({p}) AS {s}") for p, s in PASCAL_TO_SNAKE.items()],
         label.alias(TARGET),
     )
 
@@ -48,8 +48,8 @@ def timing_averages(features: DataFrame) -> DataFrame:
     """Feature id, mean dwell and flight time over the eight fingers, and the outlier flag."""
     return features.select(
         F.col("Id").cast("string").alias("session_feature_id"),
-        S.mean_of([F.col(c) for c in finger_columns("dwell", case="pascal")]).alias("dwell_time_avg"),
-        S.mean_of([F.col(c) for c in finger_columns("flight", case="pascal")]).alias("flight_time_avg"),
+        S.mean_of(finger_columns("dwell", case="pascal")).alias("dwell_time_avg"),
+        S.mean_of(finger_columns("flight", case="pascal")).alias("flight_time_avg"),
         F.coalesce(F.col("IsOutlier"), F.lit(0)).alias("is_outlier"),
     )
 
@@ -62,8 +62,8 @@ def pending_training(features: DataFrame, typing: DataFrame) -> DataFrame:
         F.col("TypingSessionId"), F.col("Id").alias("SessionFeatureId"),
         F.col("SessionCreatedAt").alias("SessionCapturedAt"), F.col("CreatedAt").alias("FeatureCapturedAt"),
         label.alias(TARGET),
-        S.mean_of([F.col(c) for c in finger_columns("flight", case="pascal")]).alias("FlightTime"),
-        S.mean_of([F.col(c) for c in finger_columns("dwell", case="pascal")]).alias("DwellTime"),
+        S.mean_of(finger_columns("flight", case="pascal")).alias("FlightTime"),
+        S.mean_of(finger_columns("dwell", case="pascal")).alias("DwellTime"),
     ).where(F.col(TARGET).isNotNull())
 
 

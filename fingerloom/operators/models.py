@@ -24,7 +24,7 @@ from fingerloom.session import materialized
 LOGISTIC, FOREST, BOOSTED = "logistic_regression", "random_forest", "xgboost"
 ALGORITHMS = (LOGISTIC, FOREST, BOOSTED)
 MAX_CLASSES = 1000
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 10_000
 
 
 def parse_algorithms(names: str | Sequence[str]) -> list[str]:

@@ -61,8 +61,9 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, *, max_iter: int = 100, to
             for b in range(m):
                 weight = p[:, a] * ((a == b) - p[:, b])
                 hessian[a, :, b, :] = (xb * weight[:, None]).T @ xb
-        flat = hessian.reshape(m * (d + 1), -1) + np.diag(ridge + 1e-10)
-        step = np.linalg.lstsq(flat, gradient, rcond=None)[0].reshape(w.shape)
+        # The small constant fixes the shift of the biases, which the loss does not determine.
+        flat = hessian.reshape(m * (d + 1), -1) + np.diag(ridge + 1e-8)
+        step = np.linalg.solve(flat, gradient).reshape(w.shape)
         rate = 1.0
         while rate > 1e-8:
             candidate = w - rate * step
@@ -143,11 +144,12 @@ def _clean_per_user(rows: DataFrame) -> DataFrame:
     """
     columns = [c for c in TIMING_COLUMNS if c in rows.columns]
     capped = rows.where(not_negative(columns) & under_cap(default_caps(rows)))
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
+    quartiles = [F.expr(f"percentile(nanvl(`{c}`, NULL), array(0.25D, 0.75D)) AS `_q_{c}`") for c in columns]
     bounds = capped.groupBy("model_key").agg(*quartiles)
-    upper = {c: F.col(f"_q_{c}")[1] + IQR_MULTIPLIER * (F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0]) for c in columns}
-    over = S.any_true([F.col(c) > b for c, b in upper.items()])
-    return capped.join(bounds, "model_key").where(~over).drop(*[f"_q_{c}" for c in columns])
+    upper = "`_q_{0}`[1] + {1}D * (`_q_{0}`[1] - `_q_{0}`[0])"
+    kept = " AND ".join(
+        f"(`{c}` <= {upper.format(c, IQR_MULTIPLIER)} OR `{c}` IS NULL OR isnan(`{c}`))" for c in columns)
+    return capped.join(bounds, "model_key").where(kept).drop(*[f"_q_{c}" for c in columns])
 
 
 def _fit_large(keyed: DataFrame, key: str, label: str, features: Sequence[str], min_class_rows: int) -> tuple:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerloom.functions.scalars import nan_to_null, to_number
+from fingerloom.functions.scalars import nan_to_null, number, number_sql, to_number
 from fingerloom.operators.cleaning import iqr_bounds, keep_inside_iqr
 from fingerloom.operators.quantiles import exact_quantiles
 from fingerloom.schema import TARGET
@@ -45,20 +45,16 @@ def profile_duplicates(df: DataFrame, key: str = "session_id") -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column."""
     quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
-    aggregates = []
-    for c in columns:
-        x = to_number(F.col(c))
-        aggregates += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_samp(x).alias(f"std_{c}"),
-                       F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}")]
+    numbers = df.selectExpr(*[f"{number_sql(c)} AS `{c}`" for c in columns])
+    measures = {"n_values": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    aggregates = [F.expr(f"{f}(`{c}`) AS `{n}_{c}`") for c in columns for n, f in measures.items()]
     entries = []
     for c in columns:
-        q = quartiles[c] or [None] * 3
-        entries.append(F.struct(
-            F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("n_values"), F.col(f"mean_{c}").alias("mean"),
-            F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"),
-            *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("q25", "q50", "q75"))],
-            F.col(f"max_{c}").alias("max")))
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+        q = [("NULL" if v is None else number(v)) for v in quartiles[c] or [None] * 3]
+        parts = [f"`{n}_{c}` AS {n}" for n in measures]
+        parts += [f"double({v}) AS {n}" for v, n in zip(q, ("q25", "q50", "q75"))]
+        entries.append(f"struct('{c}' AS column_name, {', '.join(parts)})")
+    return numbers.agg(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,7 +79,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     are added up: a few hundred numbers per batch are shuffled, whatever the number of rows.
     """
     columns = list(columns)
-    numbers = df.select(*[to_number(F.col(c)).alias(c) for c in columns])
+    numbers = df.selectExpr(*[f"{number_sql(c)} AS `{c}`" for c in columns])
     means = numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = np.array([means[c] or 0.0 for c in columns])
     k = len(columns)

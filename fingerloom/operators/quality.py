@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
@@ -18,33 +18,28 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def _number(column: str) -> Column:
-    return F.col(column).try_cast("double")
-
-
 def feature_violations(df: DataFrame, rules: Rules = RANGE_RULES) -> DataFrame:
     """Rows breaking each rule of each column, in one aggregate pass: (column_name, rule, n_rows)."""
-    tests: list[tuple[str, str, Column]] = []
-    for column, (low, high) in rules.items():
-        if column not in df.columns:
-            continue
-        x = S.nan_to_null(_number(column))
-        tests.append((column, "null_or_non_numeric", x.isNull()))
-        tests.append((column, "non_finite", F.abs(x) == float("inf")))
-        tests.append((column, "below_min", x < low))
+    tests: list[tuple[str, str, str]] = []
+    present = [c for c in rules if c in df.columns]
+    for c in present:
+        low, high = rules[c]
+        tests.append((c, "null_or_non_numeric", f"`{c}` IS NULL"))
+        tests.append((c, "non_finite", f"abs(`{c}`) = double('inf')"))
+        tests.append((c, "below_min", f"`{c}` < {S.number(low)}"))
         if high is not None:
-            tests.append((column, "above_max", x > high))
-    row = df.agg(*[F.count_if(test).alias(f"t{i}") for i, (_, _, test) in enumerate(tests)])
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"t{i}").alias("n_rows"))
-        for i, (c, rule, _) in enumerate(tests)]
-    return row.select(F.inline(F.array(*entries)))
+            tests.append((c, "above_max", f"`{c}` > {S.number(high)}"))
+    numbers = df.selectExpr(*[f"{S.number_sql(c)} AS `{c}`" for c in present])
+    row = numbers.agg(*[F.expr(f"count_if({test}) AS t{i}") for i, (_, _, test) in enumerate(tests)])
+    entries = ", ".join(
+        f"struct('{c}' AS column_name, '{rule}' AS rule, t{i} AS n_rows)" for i, (c, rule, _) in enumerate(tests))
+    return row.selectExpr(f"inline(array({entries}))")
 
 
 def invalid_error_rows(df: DataFrame) -> DataFrame:
     """Number of rows with any error rate outside 0..1."""
-    bad = S.any_true([(F.col(c) < 0) | (F.col(c) > 1) for c in ERROR_COLUMNS])
-    return df.agg(F.count_if(bad).alias("invalid_rows"))
+    bad = " OR ".join(f"coalesce(`{c}` < 0 OR `{c}` > 1, false)" for c in ERROR_COLUMNS)
+    return df.agg(F.expr(f"count_if({bad}) AS invalid_rows"))
 
 
 def label_counts(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -84,7 +79,7 @@ def user_readiness(df: DataFrame, *, user: str = "user_id", label: str = TARGET,
 
 
 def with_inferred_label(df: DataFrame) -> DataFrame:
-    errors = {f: F.col(c) for f, c in zip(FINGERS, ERROR_COLUMNS)}
+    errors = dict(zip(FINGERS, ERROR_COLUMNS))
     return df.withColumn("weakest_inferred", S.weakest_by_column_order(errors))
 
 
@@ -118,7 +113,7 @@ def check_features(df: DataFrame, columns: Sequence[str] = FEATURES, *, context:
                        ("below_min", "out-of-range values"), ("above_max", "out-of-range values")):
         if rule in found:
             raise ValueError(f"{context} contains {text} in required columns: {found[rule]} ({rule})")
-    return df.withColumns({c: S.to_number(F.col(c)) for c in columns})
+    return df.withColumns({c: F.expr(S.number_sql(c)) for c in columns})
 
 
 def check_labels(df: DataFrame, label: str = TARGET, allowed: Sequence[str] = FINGERS, *, context: str = "Dataset",

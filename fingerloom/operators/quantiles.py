@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerloom.functions.scalars import to_number
+from fingerloom.functions.scalars import number, number_sql
 
 # ``percentile`` keeps one counter per distinct value and column; above this it is narrowed first.
 MAX_DISTINCT = 100_000
@@ -28,7 +28,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[floa
     levels = [float(p) for p in levels]
     columns = list(columns)
     numeric = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in columns}
-    values = df.select(*[F.col(c) if numeric[c] else to_number(F.col(c)).alias(c) for c in columns])
+    values = df.selectExpr(*[f"`{c}`" if numeric[c] else f"{number_sql(c)} AS `{c}`" for c in columns])
     direct = columns
     if method == "refined":
         direct = []
@@ -36,11 +36,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[floa
         small = (T.ByteType, T.ShortType)
         unsure = [c for c in columns if not isinstance(df.schema[c].dataType, small)]
         if unsure:
-            counts = values.agg(*[F.approx_count_distinct(c).alias(c) for c in unsure]).first()
+            counts = values.agg(*[F.expr(f"approx_count_distinct(`{c}`) AS `{c}`") for c in unsure]).first()
             direct = [c for c in columns if c not in unsure or counts[c] <= MAX_DISTINCT]
     out: dict[str, list[float] | None] = {}
     if direct:
-        row = values.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in levels])).alias(c) for c in direct]).first()
+        wanted = ", ".join(map(number, levels))
+        row = values.agg(*[F.expr(f"percentile(`{c}`, array({wanted})) AS `{c}`") for c in direct]).first()
         out = {c: None if row[c] is None else [float(v) for v in row[c]] for c in direct}
     rest = [c for c in columns if c not in direct]
     if rest:

@@ -20,13 +20,13 @@ MODEL_COLUMNS = ("classes", "coefficients", "intercepts")
 
 def fit_scaler(df: DataFrame, columns: Sequence[str] = FEATURES) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column (a zero deviation becomes 1), in one pass."""
-    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    row = df.agg(*[F.expr(f"{f}(`{c}`) AS `{n}_{c}`") for c in columns for n, f in (("m", "avg"), ("s", "stddev_pop"))]).first()
     return {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"]) or 1.0) for c in columns}
 
 
 def standardize(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Replace the scaled columns by z-scores; plain expressions, no vector, no shuffle."""
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
+    return df.withColumns({c: F.expr(f"(`{c}` - {S.number(m)}) / {S.number(s)}") for c, (m, s) in scaler.items()})
 
 
 def model_fallback(sessions: DataFrame, models: DataFrame, *, user: str = "user_id",
@@ -61,13 +61,13 @@ def _literal(value, field) -> Column:
 
 
 def _array(value) -> Column:
-    return F.array(*[_array(v) if isinstance(v, list) else F.lit(v) for v in value])
+    return F.expr(_array_sql(value))
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, stable for large values."""
-    shifted = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+def _array_sql(value) -> str:
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(_array_sql, value)) + ")"
+    return S.number(value) if isinstance(value, (int, float)) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id",
@@ -83,21 +83,20 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
 
 def score_with_model(sessions: DataFrame, model: Mapping, *, features: Sequence[str] = FEATURES) -> DataFrame:
     """The same for one model given on the driver: weights become literals inside generated code."""
-    logits = []
-    for weights, intercept in zip(model["coefficients"], model["intercepts"]):
-        z = F.lit(float(intercept))
-        for w, c in zip(weights, features):
-            z = z + F.lit(float(w)) * F.col(c)
-        logits.append(z)
-    staged = sessions.withColumn("_logits", F.array(*logits))
+    logits = [
+        " + ".join([S.number(b), *[f"{S.number(w)} * `{c}`" for w, c in zip(weights, features)]])
+        for weights, b in zip(model["coefficients"], model["intercepts"])]
+    staged = sessions.withColumn("_logits", F.expr(f"array({', '.join(logits)})"))
     return _predictions(staged, F.col("_logits"), _array(list(model["classes"]))).drop("_logits")
 
 
 def _predictions(df: DataFrame, logits: Column, classes: Column) -> DataFrame:
-    scored = df.withColumn("_e", F.transform(logits, lambda z: F.exp(z - F.array_max(logits))))
-    total = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
-    scored = scored.withColumn("_total", total).withColumn("_p", F.transform("_e", lambda e: e / F.col("_total")))
-    return scored.withColumn("_out", S.prediction_struct(F.col("_p"), classes)).select(
+    scored = df.withColumns({"_logits": logits, "_classes": classes})
+    scored = scored.withColumn("_top", F.array_max("_logits"))
+    scored = scored.withColumn("_e", F.transform("_logits", lambda z: F.exp(z - F.col("_top"))))
+    scored = scored.withColumn("_total", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
+    scored = scored.withColumn("_p", F.transform("_e", lambda e: e / F.col("_total")))
+    return scored.withColumn("_out", S.prediction_struct(F.col("_p"), F.col("_classes"))).select(
         *df.columns, "_out.prediction", "_out.confidence", "_out.probabilities")
 
 

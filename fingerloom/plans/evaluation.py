@@ -30,7 +30,7 @@ def predictions(spark, sf) -> DataFrame:
     rows = session_rows(spark, sf)
     return rows.select(
         "session_id", "user_id", "cohort", TARGET,
-        *[S.argmax_name(dict(zip(FINGERS, map(F.col, cs)))).alias(n) for n, cs in _RULES.items()])
+        *[S.argmax_name(dict(zip(FINGERS, cs))).alias(n) for n, cs in _RULES.items()])
 
 
 _PRED = "pred as (select session_id, user_id, cohort, weakest_finger, " + ", ".join(

@@ -17,6 +17,10 @@ def build_session(app: str = "fingerloom", *, master: str | None = None, shuffle
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Wide expressions make generated methods the JVM refuses to compile; above this size Spark
+        # splits them instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -98,7 +98,7 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def to_sessions(joined: DataFrame) -> DataFrame:
     """Snake-case session dataset of joined feature and session rows."""
-    errors = {f: F.col(c) for f, c in zip(FINGERS, ERROR_COLUMNS)}
+    errors = dict(zip(FINGERS, ERROR_COLUMNS))
     return joined.select(
         F.col("UserId").cast("string").alias("user_id"),
         F.col("TypingSessionId").cast("string").alias("session_id"),
@@ -107,7 +107,7 @@ def to_sessions(joined: DataFrame) -> DataFrame:
         F.col("WeakestFinger").alias("stated_finger"),
         F.col("Wpm").cast("double").alias("wpm"),
         S.accuracy_to_unit(F.col("Accuracy")).cast("double").alias("accuracy"),
-        *[F.col(p).cast("double").alias(s) for p, s in PASCAL_TO_SNAKE.items()],
+        *[F.expr(f"double({p}) AS {s}") for p, s in PASCAL_TO_SNAKE.items()],
     ).withColumn(
         TARGET, S.label_valid_or_inferred(F.col("stated_finger"), S.weakest_by_max_error(errors))
     )
