@@ -71,10 +71,17 @@ def main() -> None:
         started = time.perf_counter()
         run()
         times[name] = round(time.perf_counter() - started, 3)
+    # Throughput beyond the fixed cost of a job: the dataset twenty times over.
+    many = rows.selectExpr("explode(sequence(1, 20)) AS copy", "*")
+    labels = L.score_with_model(many, model).select("session_id", "prediction", "confidence")
+    noop(labels)
+    started = time.perf_counter()
+    noop(labels)
+    scored_per_sec = 20 * n_rows / (time.perf_counter() - started)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(SF_DIR.rstrip("/")), "rows": n_rows, "stage_sec": round(stage, 3),
-        "rows_scored_per_sec": round(n_rows / times["score_global_linear"]),
+        "rows_scored_per_sec": round(scored_per_sec),
         "users_trained_per_sec": round(rows.select("user_id").distinct().count() / times["train_personal_all_users"], 1),
     }))
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fingerloom.session import checkpointed
 
 _PART, _POS = "_part", "_pos"
+# Rows of three numbers and a group value: some ten megabytes.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,25 +44,26 @@ def with_sequence(df: DataFrame, order: Sequence[str], name: str = "seq") -> Dat
     )
 
 
-def with_group_rank(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """Add 1..n inside each value of ``group`` in the order of ``order``; NULL is a group of its own.
+def with_group_rank(df: DataFrame, group: str, order: Sequence[str], name: str = "rank",
+                    size: str | None = None) -> DataFrame:
+    """Add 1..n inside each value of ``group`` in the order of ``order``, and the group's row count as
+    ``size`` if a name is given; NULL is a group of its own.
 
     A group may span any number of partitions, so a group with most of the rows is still numbered in
     parallel.
     """
     ranged = _ranged(df, [group, *order])
-    runs = ranged.groupBy(_PART, group).agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group in each partition: at most partitions + groups rows.
+    runs = checkpointed(ranged.groupBy(_PART, group).agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    inside = Window.partitionBy(group)
+    before = inside.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(
         F.col(_PART), F.col(group).alias("_group"), "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(inside).alias("_total"))
+    if runs.count() <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     same = (ranged[_PART] == offsets[_PART]) & ranged[group].eqNullSafe(offsets["_group"])
-    return (
-        ranged.join(offsets, same)
-        .withColumn(name, F.col("_before") + F.col(_POS) - F.col("_first") + 1)
-        .drop(offsets[_PART]).drop(_PART, _POS, "_first", "_group", "_before")
-    )
-
-
-def group_sizes(df: DataFrame, group: Sequence[str | Column]) -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    out = ranged.join(offsets, same).withColumn(name, F.col("_before") + F.col(_POS) - F.col("_first") + 1)
+    if size:
+        out = out.withColumn(size, F.col("_total"))
+    return out.drop(offsets[_PART]).drop(_PART, _POS, "_first", "_group", "_before", "_total")

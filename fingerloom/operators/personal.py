@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from fingerloom.operators.cleaning import clean_timing, default_caps, not_negati
 from fingerloom.operators.quality import feature_violations
 from fingerloom.operators.scoring import fit_scaler
 from fingerloom.schema import FEATURES, FINGERS, IQR_MULTIPLIER, MIN_PERSONAL_ROWS, TARGET, TIMING_COLUMNS
-from fingerloom.session import materialized
+from fingerloom.session import materialized, scratch_path
 
 MODEL_SCHEMA = T.StructType([
     T.StructField("model_key", T.StringType()),
@@ -27,6 +29,8 @@ MODEL_SCHEMA = T.StructType([
     T.StructField("intercepts", T.ArrayType(T.DoubleType())),
     T.StructField("scales", T.ArrayType(T.DoubleType())),
 ])
+# The grouped function travels with its job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # A group of this many rows of 27 doubles takes about 50 MB in a Python worker.
 MAX_GROUP_ROWS = 200_000
 
@@ -50,31 +54,35 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, *, max_iter: int = 100, to
         log_total = np.log(np.exp(z).sum(axis=1))
         return (log_total - z[np.arange(n), y]).sum() + 0.5 * (w[:, :d] ** 2).sum(), np.exp(z - log_total[:, None])[:, free]
 
+    def curvature(p):
+        """Second derivative of the loss: one block per class, less the outer products of p and x."""
+        out = np.zeros((m, d + 1, m, d + 1))
+        for start in range(0, n, 10_000):
+            part, rows = p[start:start + 10_000], xb[start:start + 10_000]
+            for a in range(m):
+                out[a, :, a, :] += (rows * part[:, a, None]).T @ rows
+            joint = (part[:, :, None] * rows[:, None, :]).reshape(len(rows), -1)
+            out -= (joint.T @ joint).reshape(out.shape)
+        return out.reshape(m * (d + 1), -1)
+
+    # The small constant fixes the shift of the biases, which the loss does not determine.
+    fixed = np.diag(ridge + 1e-8)
     w = np.zeros((m, d + 1))
     value, p = loss(w)
     for _ in range(max_iter):
         gradient = ((p - target).T @ xb).ravel() + ridge * w.ravel()
         if np.abs(gradient).max() <= tol * n:
             break
-        hessian = np.empty((m, d + 1, m, d + 1))
-        for a in range(m):
-            for b in range(m):
-                weight = p[:, a] * ((a == b) - p[:, b])
-                hessian[a, :, b, :] = (xb * weight[:, None]).T @ xb
-        # The small constant fixes the shift of the biases, which the loss does not determine.
-        flat = hessian.reshape(m * (d + 1), -1) + np.diag(ridge + 1e-8)
-        step = np.linalg.solve(flat, gradient).reshape(w.shape)
-        rate = 1.0
-        while rate > 1e-8:
-            candidate = w - rate * step
-            new_value, new_p = loss(candidate)
-            if new_value <= value:
-                break
+        step = np.linalg.solve(curvature(p) + fixed, gradient).reshape(w.shape)
+        rate, (new_value, new_p) = 1.0, loss(w - step)
+        while new_value > value and rate > 1e-8:
             rate /= 2
-        if value - new_value < 1e-12 * max(1.0, abs(value)):
-            w, p = candidate, new_p
+            new_value, new_p = loss(w - rate * step)
+        if new_value > value:
+            break
+        gain, w, value, p = value - new_value, w - rate * step, new_value, new_p
+        if gain < 1e-13 * max(1.0, abs(value)):
             break
-        w, value, p = candidate, new_value, new_p
     full = np.zeros((k, d + 1))
     full[free] = w
     return full
@@ -114,8 +122,8 @@ def train_all_users(df: DataFrame, *, user: str = "user_id", label: str = TARGET
     a larger user never reaches one task: it is fitted by the distributed solver of the same
     objective. There are at most (all rows / ``max_group_rows``) of those.
     """
-    keyed = df.select(S.model_key(F.col(user)).alias("model_key"), S.normalize_label(F.col(label)).alias(label), *features
-                      ).where(F.col("model_key").isNotNull())
+    keyed = df.where(F.col(user).isNotNull()).select(
+        S.model_key(F.col(user)).alias("model_key"), S.normalize_label(F.col(label)).alias(label), *features)
     counts = keyed.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_rows"))
     large = [r["model_key"] for r in counts.where(F.col("n_rows") > max_group_rows).select("model_key").collect()]
     small = keyed
@@ -128,7 +136,11 @@ def train_all_users(df: DataFrame, *, user: str = "user_id", label: str = TARGET
     fitted = grouped.groupBy("model_key").applyInPandas(
         lambda pdf: _fit_group(pdf, "model_key", label, features, min_class_rows), MODEL_SCHEMA)
     if large:
-        rows = M.in_threads([lambda k=k: _fit_large(keyed, k, label, features, min_class_rows) for k in large], workers=4)
+        # One folder per large user, so that a fit reads its own rows only.
+        path = scratch_path(df.sparkSession, "large-users")
+        keyed.join(names, "model_key", "left_semi").write.partitionBy("model_key").parquet(path)
+        stored = df.sparkSession.read.schema(keyed.schema).parquet(path)
+        rows = M.in_threads([lambda k=k: _fit_large(stored, k, label, features, min_class_rows) for k in large], workers=4)
         fitted = fitted.union(df.sparkSession.createDataFrame(rows, MODEL_SCHEMA))
     status = (F.when(F.col("n_rows") < min_rows, "insufficient_data")
               .otherwise(F.coalesce("status", F.lit("no_rows_after_cleaning"))))

@@ -82,12 +82,22 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
 
 
 def score_with_model(sessions: DataFrame, model: Mapping, *, features: Sequence[str] = FEATURES) -> DataFrame:
-    """The same for one model given on the driver: weights become literals inside generated code."""
+    """The same for one model given on the driver: weights are literals, and every step is a plain
+    column of generated code."""
+    names = [_array_sql(str(c)) for c in model["classes"]]
+    index = range(len(names))
+    kept = [f"`{c}`" for c in sessions.columns]
     logits = [
         " + ".join([S.number(b), *[f"{S.number(w)} * `{c}`" for w, c in zip(weights, features)]])
         for weights, b in zip(model["coefficients"], model["intercepts"])]
-    staged = sessions.withColumn("_logits", F.expr(f"array({', '.join(logits)})"))
-    return _predictions(staged, F.col("_logits"), _array(list(model["classes"]))).drop("_logits")
+    staged = sessions.selectExpr(*kept, *[f"{z} AS _z{i}" for i, z in enumerate(logits)])
+    staged = staged.selectExpr("*", f"greatest({', '.join(f'_z{i}' for i in index)}) AS _top")
+    staged = staged.selectExpr(*kept, *[f"exp(_z{i} - _top) AS _e{i}" for i in index])
+    staged = staged.selectExpr("*", f"{' + '.join(f'_e{i}' for i in index)} AS _total")
+    # The largest class has exp(0) = 1, so the first of those is the prediction.
+    winner = "CASE " + " ".join(f"WHEN _e{i} = 1.0D THEN {name}" for i, name in enumerate(names)) + " END"
+    pairs = ", ".join(f"{name}, _e{i} / _total" for i, name in enumerate(names))
+    return staged.selectExpr(*kept, f"{winner} AS prediction", "100.0D / _total AS confidence", f"map({pairs}) AS probabilities")
 
 
 def _predictions(df: DataFrame, logits: Column, classes: Column) -> DataFrame:

@@ -17,25 +17,20 @@ _HASH = "_hash"
 
 def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     hashed = df.withColumn(_HASH, order_hash(F.col(key), seed))
-    return with_group_rank(hashed, label, [_HASH, key], "_rank").drop(_HASH)
+    return with_group_rank(hashed, label, [_HASH, key], "_rank", "_size").drop(_HASH)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` in 0..folds-1; fold sizes differ by at most one row per class."""
     ranked = _ranked(df, label, key, seed)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_size")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, *, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: the first ``ceil(share * n)`` rows of every class in hash order."""
     ranked = _ranked(df, label, key, seed)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
-    # One row per class; the planner broadcasts it by its size.
-    return (
-        ranked.join(sizes, ranked[label].eqNullSafe(sizes["_label"]))
-        .withColumn("is_test", (F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_share))).cast("int"))
-        .drop("_rank", "_n", "_label")
-    )
+    is_test = F.col("_rank") <= F.ceil(F.col("_size") * F.lit(test_share))
+    return ranked.withColumn("is_test", is_test.cast("int")).drop("_rank", "_size")
 
 
 def carry_forward(df: DataFrame, user: str, position: str, value: str, *, block: int = 10_000) -> DataFrame:
