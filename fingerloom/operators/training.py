@@ -145,18 +145,41 @@ def _save(df: DataFrame, result: Tournament, root: str, key: str) -> str:
                         classes=result.classes)
 
 
-def train_holdout(df: DataFrame, algorithm: str, root: str, *, seed: int = 42, test_share: float = 0.2,
-                  clean: bool = True, dedupe: bool = False, key: str = R.GLOBAL_KEY, lineage: str = "production",
-                  promote: bool = True) -> tuple[DataFrame, str]:
-    """Clean, validate, split, fit, store; returns the report on the test part and the model path."""
+@dataclass(frozen=True)
+class Holdout:
+    """A model fitted on the train part, and its report on the test part."""
+
+    algorithm: str
+    model: PipelineModel
+    classes: list[str]
+    report: DataFrame
+    rows: int
+
+
+def fit_holdout(df: DataFrame, algorithm: str, *, seed: int = 42, test_share: float = 0.2, clean: bool = True,
+                dedupe: bool = False) -> Holdout:
+    """Clean, validate, split, fit and report."""
     rows = prepare(df, dedupe=dedupe, clean=clean)
     split = M.training_frame(stratified_split(rows, TARGET, _ROW, test_share=test_share, seed=seed), keep=[_ROW, "is_test"])
     classes = M.label_classes(split)
     model = M.fit_pipeline(algorithm, split.where("is_test = 0"), classes, seed=seed)
-    path = R.save_model(df.sparkSession, model, root, key=key, algorithm=algorithm, features=FEATURES, classes=classes,
-                        lineage=lineage, promote=promote)
     scored = M.score(split.where("is_test = 1"), model, classes)
-    return E.classification_report(M.materialized(scored.select(TARGET, "prediction"), "scored"), TARGET, "prediction"), path
+    report = E.classification_report(M.materialized(scored.select(TARGET, "prediction"), "scored"), TARGET, "prediction")
+    return Holdout(algorithm, model, classes, report, split.count())
+
+
+def save_holdout(spark, fitted: Holdout, root: str, *, key: str = R.GLOBAL_KEY, lineage: str = "production",
+                 promote: bool = True) -> str:
+    return R.save_model(spark, fitted.model, root, key=key, algorithm=fitted.algorithm, features=FEATURES,
+                        classes=fitted.classes, lineage=lineage, promote=promote)
+
+
+def train_holdout(df: DataFrame, algorithm: str, root: str, *, seed: int = 42, test_share: float = 0.2,
+                  clean: bool = True, dedupe: bool = False, key: str = R.GLOBAL_KEY, lineage: str = "production",
+                  promote: bool = True) -> tuple[DataFrame, str]:
+    """:func:`fit_holdout` and store; returns the report on the test part and the model path."""
+    fitted = fit_holdout(df, algorithm, seed=seed, test_share=test_share, clean=clean, dedupe=dedupe)
+    return fitted.report, save_holdout(df.sparkSession, fitted, root, key=key, lineage=lineage, promote=promote)
 
 
 def evaluate_model(df: DataFrame, root: str, key: str = R.GLOBAL_KEY, *, seed: int = 42, clean: bool = True,

@@ -210,18 +210,29 @@ def binary_state_label(spark, sf):
     return rows.join(known, "event_type")
 
 
-@query("encode_label", O.sessions(
-    "select session_id, weakest_finger, cast(label_index as int) as label_index, weakest_finger as decoded, "
-    "cast(label_index + 100 as varchar) as decoded_out_of_range from sessions join (select weakest_finger as f, "
-    "row_number() over (order by weakest_finger) - 1 as label_index from (select distinct weakest_finger from sessions)) on f = weakest_finger"))
-def encode_label(spark, sf):
+_CODED = ("cast(label_index as int) as label_index from sessions join (select weakest_finger as f, "
+    "row_number() over (order by weakest_finger) - 1 as label_index from (select distinct weakest_finger from sessions)) on f = weakest_finger")
+
+
+def _coded(spark, sf):
     from fingerloom.operators.models import label_classes
 
     rows = session_rows(spark, sf)
     classes = label_classes(rows)
-    coded = rows.select("session_id", TARGET, S.encode_label(F.col(TARGET), classes).alias("label_index"))
+    return rows.select("session_id", TARGET, S.encode_label(F.col(TARGET), classes).alias("label_index")), classes
+
+
+@query("encode_label", O.sessions(f"select session_id, weakest_finger, {_CODED}"))
+def encode_label(spark, sf):
+    return _coded(spark, sf)[0]
+
+
+@query("decode_label", O.sessions(
+    f"select session_id, weakest_finger as decoded, cast(label_index + 100 as varchar) as decoded_out_of_range from (select session_id, weakest_finger, {_CODED})"))
+def decode_label(spark, sf):
+    coded, classes = _coded(spark, sf)
     return coded.select(
-        "*", S.decode_label(F.col("label_index"), classes, strict=True).alias("decoded"),
+        "session_id", S.decode_label(F.col("label_index"), classes, strict=True).alias("decoded"),
         S.decode_label(F.col("label_index") + 100, classes).alias("decoded_out_of_range"))
 
 
