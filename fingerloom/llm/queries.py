@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import fmindex, simhash, suffixes, urls
+from fingerloom.llm import bpe, fmindex, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +82,14 @@ def op7(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
     return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def byte_bpe() -> tuple[str, str]:
+    """Vocabulary file and pattern of the contract; the file is read where it is installed."""
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op6_byte_level_bpe")
+def op6(spark, sf_dir):
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), *byte_bpe(), keep=["doc_id"])
+    return bpe.digests(encoded, *byte_bpe()).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
