@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import bpe, fmindex, simhash, suffixes, urls
+from fingerloom.llm import bpe, fmindex, lattice, simhash, suffixes, urls
+from fingerloom.llm.common import crc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +94,9 @@ def byte_bpe() -> tuple[str, str]:
 def op6(spark, sf_dir):
     encoded = bpe.encode(table(spark, sf_dir, "documents"), *byte_bpe(), keep=["doc_id"])
     return bpe.digests(encoded, *byte_bpe()).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op4_lm_scoring")
+def op4(spark, sf_dir):
+    found = lattice.score(table(spark, sf_dir, "documents"), crc_split(F.col("doc_id"), 7) == 2, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
