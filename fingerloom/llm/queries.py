@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import bpe, fmindex, lattice, simhash, suffixes, urls
+from fingerloom.llm import bpe, fmindex, languages, lattice, rules, simhash, suffixes, urls
 from fingerloom.llm.common import crc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,17 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     found = lattice.score(table(spark, sf_dir, "documents"), crc_split(F.col("doc_id"), 7) == 2, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return found.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    found = rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_split(F.col("doc_id"), 5) == 0
+    found = languages.predict(docs, docs.where(~held_out), keep=["doc_id"])
+    return found.select("row.doc_id", (crc_split(F.col("row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
