@@ -1,9 +1,9 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
 Sixty-four bits that may differ in four places are cut into only three segments, so that one of them differs in at most
-one place. Every distinct fingerprint is indexed under each segment with each of its bits in turn made a wildcard: 64
-signatures. Two fingerprints within four bits share a signature, so an equality grouping on signatures finds them and
-the whole fingerprints verify them.
+one place. Every distinct fingerprint is indexed under each segment, whole and with each of its bits in turn made a
+wildcard, and with one part of the other bits that must agree as well (see :func:`signatures`). Two fingerprints within
+four bits share a signature, so an equality grouping on signatures finds them and the whole fingerprints verify them.
 
 Exact copies are one fingerprint before anything is shuffled by signature. Within a signature's group only a spanning
 forest of the links is kept, never all pairs: a breadth-first search compares the members of its frontier to the members
@@ -70,23 +70,40 @@ def fingerprints(docs: DataFrame, *, keep: list[str], text: str = "text", shingl
     return df.mapInArrow(run, f"row {df.schema['row'].dataType.simpleString()}, fp bigint")
 
 
-def _signatures() -> F.Column:
-    """All signatures of ``fp``: the segment with one bit cleared, and which segment and bit, in one number."""
+def signatures(prints: np.ndarray) -> np.ndarray:
+    """All signatures of the fingerprints, a row for each: which segment, bit and part it is, and the bits that must agree.
+
+    If a segment agrees whole, the other bits differ in at most four places, and one of five parts of them agrees. If it
+    differs in one bit, the others differ in at most three, and one of four parts agrees. A signature therefore holds the
+    segment, whole or with one bit cleared, and one part: 30 bits and more, so that few unlike fingerprints share one.
+    """
     out, low = [], 0
     for k, width in enumerate(SEGMENTS):
-        for bit in range(width):
-            mask = ((1 << width) - 1) & ~(1 << bit)
-            tag = (k * 32 + bit) << 32
-            out.append(f"((shiftrightunsigned(fp, {low}) & {mask}L) | {tag}L)")
         low += width
-    return F.expr(f"array({', '.join(out)})")
-
-
-def forest(prints: np.ndarray, max_bits: int = MAX_BITS, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (member number, an earlier-reached member's number) that span the groups within ``max_bits`` of each other.
-
-    ``left`` marks the members of the first of two blocks; then links within one block count as well.
-    """
+        turned = prints if low == 64 else (prints >> np.uint64(low)) | (prints << np.uint64(64 - low))
+        segment = turned >> np.uint64(64 - width)
+        for wildcard in range(-1, width):
+            own = segment if wildcard < 0 else segment & np.uint64(((1 << width) - 1) & ~(1 << wildcard))
+            parts = MAX_BITS + 1 if wildcard < 0 else MAX_BITS
+            bounds = [(64 - width) * j // parts for j in range(parts + 1)]
+            for j, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                part = (turned >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+                tag = np.uint64(((k * 32 + wildcard + 1) * 8 + j) << 34)
+                out.append(tag | (own << np.uint64(12)) | part)
+    return np.stack(out, axis=1)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            prints = batch.column("fp").to_numpy()[at: at + 2000]
+            found = signatures(prints.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(prints, found.shape[1]), pa.int64())], names=["sig", "fp"])
+
+
+def forest(prints: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Links (two member numbers) that span the groups of members which chains within ``max_bits`` connect."""
     links, unreached = [], np.arange(len(prints))
     while len(unreached):
         frontier, unreached = [int(unreached[0])], unreached[1:]
@@ -102,60 +119,80 @@ def forest(prints: np.ndarray, max_bits: int = MAX_BITS, left: np.ndarray | None
     return links
 
 
-def _linked(max_bits: int):
-    """Over rows sorted by group: the links of each group; a group may go on in the next batch."""
-    def of(group: np.ndarray, prints: np.ndarray) -> list[np.ndarray]:
-        out = []
-        bounds = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-        starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(group)]])
-        sizes = ends - starts
-        two = starts[sizes == 2]
-        if len(two):
-            a, b = prints[two], prints[two + 1]
-            near = np.bitwise_count(a ^ b) <= max_bits
-            out.append(np.stack([a[near], b[near]], axis=1))
-        for s, e in zip(starts[sizes > 2], ends[sizes > 2]):
-            own = np.unique(prints[s:e])
-            links = forest(own, max_bits)
-            if links:
-                out.append(own[np.array(links)])
-        return out
-
+def _group_links(group: np.ndarray, prints: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links within the runs of equal ``group``; all members of a run are here."""
+    out = []
+    bounds = np.flatnonzero(group[1:] != group[:-1]) + 1
+    starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(group)]])
+    sizes = ends - starts
+    two = starts[sizes == 2]
+    near = np.bitwise_count(prints[two] ^ prints[two + 1]) <= max_bits
+    if near.any():
+        out.append(np.stack([prints[two][near], prints[two + 1][near]], axis=1))
+    for s, e in zip(starts[sizes > 2], ends[sizes > 2]):
+        own = np.unique(prints[s:e])
+        links = forest(own, max_bits)
+        if links:
+            out.append(own[np.array(links)])
+    if out:
+        pairs = np.unique(np.concatenate(out).view(np.int64), axis=0)
+        yield _rows(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+
+
+def _rows(large: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(large.astype(bool)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["large", "a", "b"])
+
+
+def _linked(max_bits: int, block: int | None):
+    """Over rows sorted by ``sig``: links (a, b) of each group; members of a group of over ``block`` come out as (sig, fp)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_group, held = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+        held_sig, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        passing = None  # the group that is larger than a block and goes on
         for batch in batches:
-            group = np.stack([batch.column("sig").to_numpy(), batch.column("part").to_numpy()], axis=1)
-            group = np.concatenate([held_group, group])
+            sig = np.concatenate([held_sig, batch.column("sig").to_numpy()])
             prints = np.concatenate([held, batch.column("fp").to_numpy().view(np.uint64)])
-            if not len(group):
+            if not len(sig):
                 continue
-            cut = int(np.flatnonzero((group == group[-1]).all(axis=1)[::-1].cumprod()[::-1])[0])
-            held_group, held = group[cut:], prints[cut:]
-            yield from _links(of(group[:cut], prints[:cut]) if cut else [])
+            if passing is not None:
+                n = int(np.searchsorted(sig, passing, "right"))
+                yield _rows(np.ones(n), sig[:n], prints[:n].view(np.int64))
+                passing = passing if n == len(sig) else None
+                sig, prints = sig[n:], prints[n:]
+                held_sig, held = sig[:0], prints[:0]
+                if not len(sig):
+                    continue
+            bounds = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+            large = np.repeat(np.diff(bounds) > block, np.diff(bounds)) if block else np.zeros(len(sig), bool)
+            cut = int(bounds[-2])  # the last group may go on
+            if large.any():
+                yield _rows(np.ones(int(large.sum())), sig[large], prints[large].view(np.int64))
+            if large[-1]:
+                passing, held_sig, held = sig[-1], sig[:0], prints[:0]
+            else:
+                held_sig, held = sig[cut:], prints[cut:]
+            done = ~large[:cut]
+            if done.any():
+                yield from _group_links(sig[:cut][done], prints[:cut][done], max_bits)
         if len(held):
-            yield from _links(of(held_group, held))
+            yield from _group_links(held_sig, held, max_bits)
     return run
 
 
-def _links(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if parts:
-        pairs = np.unique(np.concatenate(parts).view(np.int64), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
 def links(distinct: DataFrame, *, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Links between distinct fingerprints (column ``fp``) whose closure is that of all pairs within ``max_bits``."""
-    keyed = distinct.select("fp", F.explode(_signatures()).alias("sig"))
-    sizes = keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Equal signatures on the sizes' side are unique, so this join only drops lone rows and adds the size.
-    shared = keyed.join(sizes, "sig")
-    blocks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    # A member of block i goes to all pairs of blocks that hold i; up to `block` members there is one pair, (0, 0).
-    parts = F.when(blocks <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
-        F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
-    dealt = shared.select("sig", "fp", F.explode(parts).alias("part"))
-    return dealt.repartition("sig", "part").sortWithinPartitions("sig", "part", "fp").mapInArrow(_linked(max_bits), "a bigint, b bigint").distinct()
+    if max_bits > MAX_BITS:
+        raise ValueError(f"The signatures find differences of at most {MAX_BITS} bits.")
+    schema = "large boolean, a bigint, b bigint"
+    keyed = distinct.select("fp").mapInArrow(_signed, "sig bigint, fp bigint")
+    found = materialized(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linked(max_bits, block), schema), "simhash-groups")
+    # A group of more than a block is dealt into pairs of blocks: a member of block i goes to all pairs that hold i.
+    members = found.where("large").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
+    sizes = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    dealt = members.join(sizes, "sig").select("fp", F.explode(pairs).alias("pair"), "sig").select("fp", F.xxhash64("sig", "pair").alias("sig"))
+    split = dealt.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linked(max_bits, None), schema)
+    return found.where("not large").union(split).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, keep: list[str], id_column: str = "doc_id", text: str = "text",
