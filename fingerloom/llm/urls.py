@@ -62,7 +62,8 @@ def token_counts(urls: DataFrame, column: str, tokens: Iterable[str]) -> dict[st
     lowered = F.lower(F.col(f"`{column}`"))
     found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({TOKEN})"), F.lit(1)))).alias("t"))
     wanted = urls.sparkSession.createDataFrame([(t.lower(),) for t in tokens], "t string").distinct()
-    return {r.t: r.n for r in found.join(wanted, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = found.groupBy("t").agg(F.count(F.lit(1)).alias("n"))  # before the join, so a token of most URLs is one row for each task
+    return {r.t: r.n for r in counted.join(wanted, "t").collect()}
 
 
 def build_index(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[Rule]], list[Rule]]:
