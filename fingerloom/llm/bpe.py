@@ -25,7 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import binary_array, chunks, gathered, prefix_hash, span_hash
+from fingerloom.llm.common import binary_array, chunks, gathered, most_frequent, prefix_hash, span_hash
+from fingerloom.session import materialized
 
 DICTIONARY = 1 << 19
 
@@ -173,7 +174,8 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def dictionary(counts: DataFrame, path: str, pattern: str, size: int = DICTIONARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (sorted), ids and offsets of the ``size`` most frequent words, each encoded once; at most ``size`` rows reach the driver."""
-    frequent = counts.orderBy(F.desc("n"), "word").limit(size).select("word").repartition(counts.sparkSession.sparkContext.defaultParallelism)
+    counts = materialized(counts, "bpe-words")
+    frequent = most_frequent(counts, size).select("word").repartition(counts.sparkSession.sparkContext.defaultParallelism)
     rows = frequent.mapInArrow(_encode_words(path, pattern), "hash bigint, ids binary").toArrow()
     hashes = rows.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)

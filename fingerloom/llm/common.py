@@ -125,3 +125,22 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def with_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by exact name; extra columns never reach an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def most_frequent(counts: DataFrame, size: int, column: str = "n") -> DataFrame:
+    """Rows whose count is above the least bound that at most ``size`` rows pass: no sort, no single task.
+
+    Bounds are counts of at most ten significant bits, so that their histogram is a few thousand rows at any size.
+    """
+    n = F.col(column)
+    low = F.greatest(F.floor(F.log2(n.cast("double"))).cast("int") - 9, F.lit(0))
+    bound = F.expr(f"shiftleft(shiftright({column}, least), least)")
+    binned = counts.where(n > 0).withColumn("least", low).select(bound.alias("bound"))
+    cells = sorted(binned.groupBy("bound").agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    total, least = 0, None
+    for cell in cells:
+        total += cell["rows"]
+        if total > size:
+            break
+        least = cell["bound"]
+    return counts.where(n >= least) if least is not None else counts.limit(0)

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import binary_array, chunks, gathered, prefix_hash, span_hash, word_bounds
+from fingerloom.llm.common import binary_array, chunks, gathered, most_frequent, prefix_hash, span_hash, word_bounds
 from fingerloom.session import materialized
 
 FREQUENT = 1 << 19
@@ -268,7 +268,7 @@ def score(docs: DataFrame, held_out: F.Column, path: str, *, keep: list[str], te
     end = float(np.log((ends + 1) / (n + v + 2)))
     shared = spark.sparkContext.broadcast((weights, n, v))
     scored = materialized(words.mapInArrow(_marginals(path, shared), "word binary, c bigint, logp double"), "lattice-marginals")
-    top = spark.sparkContext.broadcast(_table(scored.orderBy(F.desc("c"), "word").limit(frequent).toArrow(), n, v))
+    top = spark.sparkContext.broadcast(_table(most_frequent(scored, frequent, "c").toArrow(), n, v))
     kind = df.schema["row"].dataType.simpleString()
     partial = df.select(F.struct("row", "held_out").alias("row"), "text").mapInArrow(
         _scored(top), f"row struct<row:{kind},held_out:boolean>, n_tokens bigint, base double, logp double, n_known bigint, rest array<struct<word:binary,n:bigint>>")
