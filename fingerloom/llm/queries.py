@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import bpe, fmindex, languages, lattice, rules, simhash, suffixes, urls
+from fingerloom.llm import bpe, fmindex, languages, lattice, rules, simhash, suffixes, toxicity, urls
+from fingerloom.llm import pages as html
 from fingerloom.llm.common import crc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +115,18 @@ def op2(spark, sf_dir):
     held_out = crc_split(F.col("doc_id"), 5) == 0
     found = languages.predict(docs, docs.where(~held_out), keep=["doc_id"])
     return found.select("row.doc_id", (crc_split(F.col("row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels.where(crc_split(F.col("doc_id"), 3) != 1)))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "row.doc_id", (crc_split(F.col("row.doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op9_html_extraction")
+def op9(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    model = html.fit(html.training_pages(pages))
+    return html.extract(pages, model, keep=["page_id", "url"]).select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
