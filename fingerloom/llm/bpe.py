@@ -225,7 +225,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, keep: list[str], text: s
     return df.mapInArrow(_encode(path, pattern, shared), f"row {df.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
-def _decode(path: str, pattern: str, digests: bool):
+def _decode(path: str, pattern: str, digests: bool, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
@@ -244,7 +244,8 @@ def _decode(path: str, pattern: str, digests: bool):
                         own_row, pa.array(np.diff(ofs), pa.int64()),
                         pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ofs[:-1], ofs[1:])], pa.string()),
                         pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
-                    ], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+                        *[part] * with_ids,
+                    ], names=["row", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
                 else:
                     yield pa.RecordBatch.from_arrays([own_row, part, binary_array(data, at)], names=["row", "ids", "decoded"])
                 row = end
@@ -256,7 +257,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(_decode(path, pattern, False), f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``row``, number of ids, and SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes."""
-    return encoded.mapInArrow(_decode(path, pattern, True), f"row {encoded.schema['row'].dataType.simpleString()}, "
-                              "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+def digests(encoded: DataFrame, path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
+    """``row``, number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes, and the ids if wanted."""
+    return encoded.mapInArrow(_decode(path, pattern, True, with_ids), f"row {encoded.schema['row'].dataType.simpleString()}, "
+                              "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

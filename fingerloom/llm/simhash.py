@@ -197,7 +197,9 @@ def links(distinct: DataFrame, *, max_bits: int = MAX_BITS, block: int = BLOCK)
 
 def near_duplicates(docs: DataFrame, *, keep: list[str], id_column: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """``row`` (the kept columns), ``fp`` and ``component_id``, the smallest id reachable by links, for each document."""
+    """For each document ``row`` (the kept columns), ``fp``, ``root`` (the component's least fingerprint) and
+    ``component_id``, the smallest id reachable by links.
+    """
     if id_column not in keep:
         keep = [*keep, id_column]
     prints = materialized(fingerprints(docs, keep=keep, text=text, shingle=shingle), "simhash")
@@ -206,8 +208,8 @@ def near_duplicates(docs: DataFrame, *, keep: list[str], id_column: str = "doc_i
     roots = components(found)  # node, root
     least = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("fp", "root").join(by_root, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("row", "fp", "component_id")
+    named = least.select("fp", "root").join(by_root, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("row", "fp", "root", "component_id")
 
 
 def hex_digits(column: F.Column) -> F.Column:
