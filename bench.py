@@ -48,7 +48,7 @@ def main() -> None:
     classes = M.label_classes(prepared)
     logistic = M.fit_pipeline(M.LOGISTIC, prepared, classes)
     model = M.linear_model_row(logistic, L.fit_scaler(prepared), classes, R.GLOBAL_KEY)
-    columns = ["model_key", "classes", "coefficients", "intercepts"]
+    columns = ["scope", "model_key", "classes", "coefficients", "intercepts"]
     personal = P.train_all_users(rows).where("status = 'trained'").select(*columns)
     table = materialized(personal.union(spark.createDataFrame([tuple(model[c] for c in columns)], personal.schema)), "models")
 

@@ -85,11 +85,10 @@ def drop_over_cap(df: DataFrame, caps: Mapping[str, float] | None = None) -> Dat
     return as_numbers(df, caps).where(under_cap(caps))
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MULTIPLIER,
-               method: str = "auto") -> dict[str, Bounds]:
+def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MULTIPLIER) -> dict[str, Bounds]:
     """Exact quartile bounds of every column that has a value. One row reaches the driver."""
     out = {}
-    for name, quartiles in exact_quantiles(df, columns, (0.25, 0.75), method=method).items():
+    for name, quartiles in exact_quantiles(df, columns, (0.25, 0.75)).items():
         if quartiles is None:
             continue
         q1, q3 = quartiles

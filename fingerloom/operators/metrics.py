@@ -1,4 +1,4 @@
-"""Evaluation tables from (true, predicted) label pairs, optionally per group.
+"""Evaluation tables from (true, predicted) label pairs, optionally per group. A NULL label is a label of its own.
 
 Everything starts from one count per (group, true, predicted): a single shuffle with map-side
 combine, after which the data has at most classes x classes rows per group.
@@ -7,12 +7,14 @@ combine, after which the data has at most classes x classes rows per group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
 
+# Sentences that readers of the reports match on.
 NO_MISCLASSIFICATION = "No primary misclassification detected on evaluation data"
 
 
@@ -30,7 +32,10 @@ def _filled(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     labels = counts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(both)))).alias("_labels"))
     grid = (labels.select(*by, F.explode("_labels").alias("y"), "_labels")
             .select(*by, "y", F.explode("_labels").alias("p")))
-    return grid.join(counts, [*by, "y", "p"], "left").select(
+    keys = [*by, "y", "p"]
+    cells = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return grid.join(cells, same, "left").select(
         *by, F.col("y").alias("true_label"), F.col("p").alias("predicted_label"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))
 
@@ -57,7 +62,7 @@ def class_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] =
 
 
 def _class_metrics(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    n, hit = F.col("n"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    n, hit = F.col("n"), F.when(F.col("y").eqNullSafe(F.col("p")), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
     sides = counts.select(*by, F.inline(F.array(
         F.struct(F.col("y").alias("label"), n.alias("support"), zero.alias("predicted"), hit.alias("hits")),
@@ -102,12 +107,12 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 def primary_misclassification(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """The largest off-diagonal cell, first in (true, predicted) order, as a sentence per group."""
     counts = pair_counts(df, truth, predicted, by)
-    wrong = F.when(F.col("y") != F.col("p"), F.struct((-F.col("n")).alias("k"), F.col("y"), F.col("p")))
+    wrong = F.when(~F.col("y").eqNullSafe(F.col("p")), F.struct((-F.col("n")).alias("k"), F.col("y"), F.col("p")))
     return counts.groupBy(*by).agg(F.min(wrong).alias("_w")).select(
         *by,
         F.coalesce(-F.col("_w.k"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.when(F.col("_w").isNull(), NO_MISCLASSIFICATION).otherwise(
-            F.format_string("True class %s was frequently misclassified as %s", F.col("_w.y"), F.col("_w.p"))
+            F.format_string("True class %s was frequently misclassified as %s", F.coalesce("_w.y", F.lit("None")), F.coalesce("_w.p", F.lit("None")))
         ).alias("summary"))
 
 

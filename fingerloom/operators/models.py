@@ -21,7 +21,7 @@ from fingerloom.operators.scoring import fit_scaler
 from fingerloom.schema import FEATURES, TARGET
 from fingerloom.session import materialized
 
-LOGISTIC, FOREST, BOOSTED = "logistic_regression", "random_forest", "xgboost"
+LOGISTIC, FOREST, BOOSTED = "logistic_regression", "random_forest", "gradient_boosted"
 ALGORITHMS = (LOGISTIC, FOREST, BOOSTED)
 MAX_CLASSES = 1000
 ROWS_PER_TASK = 10_000
@@ -149,7 +149,7 @@ def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str],
 
 
 def linear_model_row(model: PipelineModel, scaler: dict[str, tuple[float, float]], classes: Sequence[str],
-                     key: str) -> dict:
+                     key: str, scope: str = "global") -> dict:
     """A fitted logistic pipeline as a row of the model table, with weights moved to raw features."""
     fitted = model.stages[-1]
     weights = fitted.coefficientMatrix.toArray().tolist()
@@ -159,7 +159,7 @@ def linear_model_row(model: PipelineModel, scaler: dict[str, tuple[float, float]
     moments = list(scaler.values())
     raw = [[w / s for w, (_, s) in zip(row, moments)] for row in weights]
     shifted = [b - sum(w * m for w, (m, _) in zip(row, moments)) for row, b in zip(raw, intercepts)]
-    return {"model_key": key, "classes": list(classes), "coefficients": raw, "intercepts": shifted,
+    return {"scope": scope, "model_key": key, "classes": list(classes), "coefficients": raw, "intercepts": shifted,
             "scales": [s for _, s in moments]}
 
 

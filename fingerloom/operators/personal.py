@@ -19,6 +19,7 @@ from fingerloom.operators.quality import feature_violations
 from fingerloom.operators.scoring import fit_scaler
 from fingerloom.schema import FEATURES, FINGERS, IQR_MULTIPLIER, MIN_PERSONAL_ROWS, TARGET, TIMING_COLUMNS
 from fingerloom.session import materialized, scratch_path
+from fingerloom.sources import registry as R
 
 MODEL_SCHEMA = T.StructType([
     T.StructField("model_key", T.StringType()),
@@ -115,24 +116,27 @@ def _fit_group(pdf: pd.DataFrame, user: str, label: str, features: Sequence[str]
 def train_all_users(df: DataFrame, *, user: str = "user_id", label: str = TARGET, features: Sequence[str] = FEATURES,
                     min_rows: int = MIN_PERSONAL_ROWS, min_class_rows: int = 2,
                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """One row per user: a linear model, or the reason for none.
+    """One row per user, by the user's key: a linear model, or the reason for none.
 
     Rows are deduplicated and cleaned with the user's own IQR bounds. Users of up to
     ``max_group_rows`` rows are fitted side by side in grouped tasks after a single shuffle by user;
     a larger user never reaches one task: it is fitted by the distributed solver of the same
     objective. There are at most (all rows / ``max_group_rows``) of those.
     """
-    keyed = df.where(F.col(user).isNotNull()).select(
-        S.model_key(F.col(user)).alias("model_key"), S.normalize_label(F.col(label)).alias(label), *features)
-    counts = keyed.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    # Copies are equal in all columns; two sessions with equal features are two sessions.
+    rows = df.withColumn("_user", S.user_key(F.col(user))).where(F.col("_user") != "")
+    counts = rows.groupBy(F.col("_user").alias("model_key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    unique_row = F.xxhash64(*[c for c in rows.columns if c != "_user"]).alias("_row")
+    keyed = rows.select(F.col("_user").alias("model_key"), S.normalize_label(F.col(label)).alias(label),
+                        *[S.to_number(F.col(c)).alias(c) for c in features], unique_row)
     large = [r["model_key"] for r in counts.where(F.col("n_rows") > max_group_rows).select("model_key").collect()]
     small = keyed
     if large:
         names = df.sparkSession.createDataFrame([(k,) for k in large], "model_key string")
         small = keyed.join(names, "model_key", "left_anti")
     ready = counts.where(F.col("n_rows") >= min_rows).select("model_key")
-    unique = small.repartition("model_key").join(ready, "model_key", "left_semi").dropDuplicates()
-    grouped = _clean_per_user(unique)
+    unique = small.join(ready, "model_key", "left_semi").repartition("model_key").dropDuplicates()
+    grouped = _clean_per_user(unique).drop("_row")
     fitted = grouped.groupBy("model_key").applyInPandas(
         lambda pdf: _fit_group(pdf, "model_key", label, features, min_class_rows), MODEL_SCHEMA)
     if large:
@@ -145,7 +149,7 @@ def train_all_users(df: DataFrame, *, user: str = "user_id", label: str = TARGET
     status = (F.when(F.col("n_rows") < min_rows, "insufficient_data")
               .otherwise(F.coalesce("status", F.lit("no_rows_after_cleaning"))))
     rest = [f.name for f in MODEL_SCHEMA if f.name not in ("model_key", "status")]
-    return counts.join(fitted, "model_key", "left").select("model_key", "n_rows", status.alias("status"), *rest)
+    return counts.join(fitted, "model_key", "left").select(F.lit(R.PERSONAL).alias("scope"), "model_key", "n_rows", status.alias("status"), *rest)
 
 
 def _clean_per_user(rows: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def _clean_per_user(rows: DataFrame) -> DataFrame:
 
 
 def _fit_large(keyed: DataFrame, key: str, label: str, features: Sequence[str], min_class_rows: int) -> tuple:
-    rows = materialized(clean_timing(keyed.where(F.col("model_key") == key).dropDuplicates()), "user")
+    rows = materialized(clean_timing(keyed.where(F.col("model_key") == key).dropDuplicates()).drop("_row"), "user")
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     total = sum(sizes.values())
     bad = feature_violations(rows, {c: (-float("inf"), None) for c in features})

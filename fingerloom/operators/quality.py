@@ -102,17 +102,16 @@ def check_features(df: DataFrame, columns: Sequence[str] = FEATURES, *, context:
     """The feature columns as doubles; raises ValueError on the first broken rule family."""
     missing = missing_columns(df, columns)
     if missing:
-        raise ValueError(f"{context} is missing required columns: {missing}")
+        raise ValueError(f"{context}: no columns {missing}.")
     all_rules = {c: rules.get(c, (-float("inf"), None)) for c in columns}
     found: dict[str, list[str]] = {}
     for r in feature_violations(df, all_rules).where("n_rows > 0").collect():
         found.setdefault(r["rule"], []).append(r["column_name"])
     if df.isEmpty():
-        raise ValueError(f"{context} contains zero rows after feature selection.")
-    for rule, text in (("null_or_non_numeric", "null or non-numeric values"), ("non_finite", "non-finite values"),
-                       ("below_min", "out-of-range values"), ("above_max", "out-of-range values")):
+        raise ValueError(f"{context}: no rows.")
+    for rule in ("null_or_non_numeric", "non_finite", "below_min", "above_max"):
         if rule in found:
-            raise ValueError(f"{context} contains {text} in required columns: {found[rule]} ({rule})")
+            raise ValueError(f"{context}: rule {rule} is broken by {found[rule]}.")
     return df.withColumns({c: F.expr(S.number_sql(c)) for c in columns})
 
 
@@ -121,13 +120,8 @@ def check_labels(df: DataFrame, label: str = TARGET, allowed: Sequence[str] = FI
     """Trimmed labels; raises ValueError on null, blank, unsupported or too few labels."""
     found = {r["rule"]: r["n_found"] for r in label_violations(
         df, label, allowed, min_classes=min_classes, min_class_rows=min_class_rows).collect()}
-    texts = {
-        "null_labels": "contains null values", "blank_labels": "contains blank labels",
-        "unsupported_labels": "contains unsupported labels",
-        "missing_classes": f"must contain at least {min_classes} classes",
-        "sparse_classes": f"has classes with fewer than {min_class_rows} rows",
-    }
-    for rule, text in texts.items():
+    for rule in ("null_labels", "blank_labels", "unsupported_labels", "missing_classes", "sparse_classes"):
         if found[rule]:
-            raise ValueError(f"{context} target column '{label}' {text} ({found[rule]}).")
+            raise ValueError(f"{context}: rule {rule} is broken by {found[rule]} in {label} "
+                             f"(classes wanted: {min_classes}, rows of each: {min_class_rows}).")
     return df.withColumn(label, S.normalize_label(F.col(label)))

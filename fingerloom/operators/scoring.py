@@ -1,6 +1,6 @@
 """Scoring with linear softmax models held in a table, one row per model key.
 
-A model row: ``model_key``, ``classes`` (sorted labels), ``coefficients`` (one array of feature
+A model row: ``scope`` (``global`` or ``personal``), ``model_key`` (the user's key), ``classes`` (sorted labels), ``coefficients`` (one array of feature
 weights per class, on raw features) and ``intercepts``.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
 from fingerloom.schema import FEATURES
-from fingerloom.sources.registry import GLOBAL_KEY
+from fingerloom.sources.registry import GLOBAL, GLOBAL_KEY, PERSONAL
 
 MODEL_COLUMNS = ("classes", "coefficients", "intercepts")
 
@@ -37,15 +37,16 @@ def model_fallback(sessions: DataFrame, models: DataFrame, *, user: str = "user_
     that the left side is shuffled by user, where AQE splits a user with very many sessions. The one
     global row is a literal. Blank users have no model of their own.
     """
-    fallback = models.where(F.col("model_key") == GLOBAL_KEY).select(F.struct(*columns).alias("m")).first()
-    if fallback is None:
-        raise ValueError("The model table has no global model.")
-    personal = models.where(F.col("model_key") != GLOBAL_KEY).select(
+    found = models.where(F.col("scope") == GLOBAL).select(F.struct(*columns).alias("m")).take(2)
+    if len(found) != 1:
+        raise ValueError(f"The model table needs exactly one global model and has {'none' if not found else 'more'}.")
+    fallback = found[0]
+    personal = models.where(F.col("scope") == PERSONAL).select(
         F.col("model_key").alias("_key"), F.struct(*columns).alias("_own"))
     struct_type = personal.schema["_own"].dataType
     rest = F.struct(*[_literal(fallback["m"][f.name], f) for f in struct_type])
     blank = S.strip(F.coalesce(F.col(user).cast("string"), F.lit(""))) == ""
-    keyed = sessions.withColumn("_lookup", F.when(~blank, S.model_key(F.col(user))))
+    keyed = sessions.withColumn("_lookup", F.when(~blank, S.user_key(F.col(user))))
     joined = keyed.join(personal, F.col("_lookup") == F.col("_key"), "left")
     chosen = F.when(F.col("_key").isNull(), rest).otherwise(F.col("_own"))
     return joined.withColumns({

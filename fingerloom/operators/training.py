@@ -43,21 +43,20 @@ def prepare(df: DataFrame, *, dedupe: bool = True, clean: bool = True, context:
     so rows that share a key are interchangeable.
     """
     if TARGET not in df.columns:
-        raise ValueError(f"{context} is missing required target column '{TARGET}'.")
+        raise ValueError(f"{context}: no column {TARGET} to learn from.")
     rows = df.dropDuplicates() if dedupe else df
     rows = clean_timing(rows) if clean else rows
     key = F.xxhash64(*sorted(rows.columns))
     rows = M.training_frame(rows.withColumn(_ROW, key), keep=[_ROW])
     if rows.isEmpty():
-        raise ValueError(f"{context} contains zero rows after cleaning.")
+        raise ValueError(f"{context}: cleaning left no rows.")
     return check_labels(check_features(rows, context=context), context=context, min_class_rows=min_class_rows)
 
 
 def _check_folds(rows: DataFrame, folds: int) -> None:
     counts = {r[TARGET]: r["n_rows"] for r in label_counts(rows).collect()}
     if min(counts.values()) < folds:
-        raise ValueError(f"Failed to run {folds}-fold cross validation. Each class needs at least {folds} rows. "
-                         f"Class distribution: {counts}")
+        raise ValueError(f"{folds} folds need {folds} rows of every class; there are {counts}.")
 
 
 def run_tournament(df: DataFrame, algorithms: Sequence[str] = M.ALGORITHMS, *, user_id: str | None = None,
@@ -126,7 +125,7 @@ def tournament_report(result: Tournament, *, run_id: str, status: str, dry_run:
 def train_global(df: DataFrame, root: str, algorithms: Sequence[str] = M.ALGORITHMS, *, seed: int = 42) -> tuple[Tournament, str]:
     """Tournament on all rows; the winner is stored as the global model."""
     result = run_tournament(df, algorithms, seed=seed)
-    return result, _save(df, result, root, R.GLOBAL_KEY)
+    return result, _save(df, result, root, None)
 
 
 def train_personal(history: DataFrame | None, user_id: str, root: str, *, inline: DataFrame | None = None,
@@ -137,11 +136,12 @@ def train_personal(history: DataFrame | None, user_id: str, root: str, *, inline
     if rows.limit(min_rows).count() < min_rows:
         raise ValueError("Insufficient data")
     result = run_tournament(rows, algorithms, seed=seed)
-    return result, _save(rows, result, root, R.key_of(rows.sparkSession, user_id))
+    return result, _save(rows, result, root, user_id)
 
 
-def _save(df: DataFrame, result: Tournament, root: str, key: str) -> str:
-    return R.save_model(df.sparkSession, result.model, root, key=key, algorithm=result.winner, features=FEATURES,
+def _save(df: DataFrame, result: Tournament, root: str, user: str | None) -> str:
+    scope, key = R.key_of(df.sparkSession, user)
+    return R.save_model(df.sparkSession, result.model, root, scope=scope, key=key, algorithm=result.winner, features=FEATURES,
                         classes=result.classes)
 
 
@@ -168,26 +168,31 @@ def fit_holdout(df: DataFrame, algorithm: str, *, seed: int = 42, test_share: fl
     return Holdout(algorithm, model, classes, report, split.count())
 
 
-def save_holdout(spark, fitted: Holdout, root: str, *, key: str = R.GLOBAL_KEY, lineage: str = "production",
+def save_holdout(spark, fitted: Holdout, root: str, *, user: str | None = None, lineage: str = "production",
                  promote: bool = True) -> str:
-    return R.save_model(spark, fitted.model, root, key=key, algorithm=fitted.algorithm, features=FEATURES,
+    scope, key = R.key_of(spark, user)
+    return R.save_model(spark, fitted.model, root, scope=scope, key=key, algorithm=fitted.algorithm, features=FEATURES,
                         classes=fitted.classes, lineage=lineage, promote=promote)
 
 
 def train_holdout(df: DataFrame, algorithm: str, root: str, *, seed: int = 42, test_share: float = 0.2,
-                  clean: bool = True, dedupe: bool = False, key: str = R.GLOBAL_KEY, lineage: str = "production",
+                  clean: bool = True, dedupe: bool = False, user: str | None = None, lineage: str = "production",
                   promote: bool = True) -> tuple[DataFrame, str]:
     """:func:`fit_holdout` and store; returns the report on the test part and the model path."""
     fitted = fit_holdout(df, algorithm, seed=seed, test_share=test_share, clean=clean, dedupe=dedupe)
-    return fitted.report, save_holdout(df.sparkSession, fitted, root, key=key, lineage=lineage, promote=promote)
+    return fitted.report, save_holdout(df.sparkSession, fitted, root, user=user, lineage=lineage, promote=promote)
 
 
-def evaluate_model(df: DataFrame, root: str, key: str = R.GLOBAL_KEY, *, seed: int = 42, clean: bool = True,
+def evaluate_model(df: DataFrame, root: str, user: str | None = None, *, seed: int = 42, clean: bool = True,
                    dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Report and confusion matrix of a stored model on the test part of the same split as training."""
-    model, row = R.load_model(df.sparkSession, root, key)
+    """Report and confusion matrix of a stored model on the test part of the split it was trained by.
+
+    The model comes from :func:`train_holdout` with the same rows, seed and flags; a model fitted to all rows, as a
+    tournament stores, has no rows left to be judged by.
+    """
+    model, row = R.load_model(df.sparkSession, root, user)
     if not row["feature_names"]:
-        raise ValueError("The stored model has no feature names; train it again.")
+        raise ValueError("The registry row lists no features, so the model cannot be applied.")
     rows = prepare(df, dedupe=dedupe, clean=clean)
     test = stratified_split(rows, TARGET, _ROW, seed=seed).where("is_test = 1")
     scored = M.materialized(M.score(test, model, row["label_classes"]).select(TARGET, "prediction"), "scored")
@@ -210,7 +215,7 @@ def compare_algorithms(df: DataFrame, root: str, algorithms: Sequence[str] = M.A
         row = {"position": position, "algorithm": name}
         try:
             model = M.fit_pipeline(name, split.where("is_test = 0"), classes, seed=seed)
-            path = R.save_model(df.sparkSession, model, root, key="compare", algorithm=name, features=FEATURES, classes=classes, promote=False)
+            path = R.save_model(df.sparkSession, model, root, key="compare", scope="comparison", algorithm=name, features=FEATURES, classes=classes, promote=False)
             scored = M.score(test, model, classes)
             row |= E.macro_metrics(scored, TARGET, "prediction").first().asDict()
             row |= {"status": "ok", "predict_ms": M.predict_ms(test, model, classes, runs=latency_runs),

@@ -51,6 +51,15 @@ def confusion_matrix(spark, sf):
     return E.confusion_matrix(predictions(spark, sf), TARGET, "dwell_rule")
 
 
+@query("confusion_matrix_nulls", O.sessions("""select a.l as true_label, b.l as predicted_label, count(s.session_id) as n_rows
+  from (select distinct stated_finger as l from sessions union select distinct weakest_finger from sessions) a
+  cross join (select distinct stated_finger as l from sessions union select distinct weakest_finger from sessions) b
+  left join sessions s on s.stated_finger is not distinct from a.l and s.weakest_finger is not distinct from b.l group by 1, 2"""))
+def confusion_matrix_nulls(spark, sf):
+    """Stated labels, NULL and blank ones as well, against the resolved ones."""
+    return E.confusion_matrix(session_rows(spark, sf), "stated_finger", TARGET)
+
+
 _BINARY = {"true": "case when weakest_finger like 'left%' then 'Fatigued' else 'normal' end",
            "pred": "case when dwell_rule like 'left%' then '1' else ' FALSE' end"}
 
@@ -201,15 +210,15 @@ def standardize(spark, sf):
     return rounded(L.standardize(rows, L.fit_scaler(rows)))
 
 
-# A linear model from the data, per key: class centroids of the error rates as weights on raw
-# features. A user gets a personal model from at least 63 sessions with six
-# classes or more.
-_DIM = ERROR_COLUMNS
-_LIVE = "live as (select * from sessions where dwell_left_pinky between 0 and 2000)"
+# A linear model from the data, per key: class centroids of all features as weights on raw features, scaled so that
+# rates and milliseconds weigh alike. A user gets a personal model from at least 63 sessions with six classes or more.
+_DIM = FEATURES
+_WEIGHT = {c: 20.0 if c in ERROR_COLUMNS else 1.0 if c == "accuracy" else 0.001 if c == "wpm" else 0.00001 for c in _DIM}
+_LIVE = "live as (select * from sessions)"
 _CENTROIDS = ("cents as (select user_id as k, weakest_finger as l, " + ", ".join(f"avg({c}) as m_{c}" for c in _DIM) + ", count(*) as n from live group by 1,2 "
               "union all select 'global', weakest_finger, " + ", ".join(f"avg({c})" for c in _DIM) + ", count(*) from live group by 2)")
 _OWN = "own as (select k from cents where k <> 'global' group by 1 having count(*) >= 6 and sum(n) >= 63)"
-_ZED = "+".join(f"(20*m_{c})*s.{c}" for c in _DIM) + " + (-10*(" + "+".join(f"m_{c}*m_{c}" for c in _DIM) + "))"
+_ZED = "+".join(f"({_WEIGHT[c]}::double*m_{c})*s.{c}" for c in _DIM) + " + (" + "+".join(f"({-_WEIGHT[c] / 2}::double*m_{c}*m_{c})" for c in _DIM) + ")"
 _SCORED = (_LIVE, _CENTROIDS, _OWN,
            "keyed as (select sessions.*, coalesce(own.k, 'global') as used from sessions left join own on own.k = user_id)",
            f"logits as (select s.session_id, used, l, {_ZED} as z from keyed s join cents on cents.k = used)",
@@ -217,19 +226,19 @@ _SCORED = (_LIVE, _CENTROIDS, _OWN,
 
 
 def centroid_models(spark, sf) -> DataFrame:
-    rows = session_rows(spark, sf).where(F.col("dwell_left_pinky").between(0, 2000))
+    rows = session_rows(spark, sf)
     keyed = rows.select(F.inline(F.array(
-        F.struct(F.col("user_id").alias("model_key"), F.col(TARGET), *_DIM),
-        F.struct(F.lit(R.GLOBAL_KEY).alias("model_key"), F.col(TARGET), *_DIM))))
-    means = keyed.groupBy("model_key", TARGET).agg(*[F.avg(c).alias(c) for c in _DIM], F.count(F.lit(1)).alias("n"))
-    weights = F.array(*[F.col(c) * 20 for c in _DIM])
-    norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in _DIM])
-    entry = F.struct(F.col(TARGET).alias("label"), weights.alias("w"), (norm * -10).alias("b"), "n")
-    models = means.groupBy("model_key").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        F.struct(F.lit(R.PERSONAL).alias("scope"), S.user_key(F.col("user_id")).alias("model_key"), F.col(TARGET), *_DIM),
+        F.struct(F.lit(R.GLOBAL).alias("scope"), F.lit(R.GLOBAL_KEY).alias("model_key"), F.col(TARGET), *_DIM))))
+    means = keyed.groupBy("scope", "model_key", TARGET).agg(*[F.avg(c).alias(c) for c in _DIM], F.count(F.lit(1)).alias("n"))
+    weights = F.array(*[F.col(c) * _WEIGHT[c] for c in _DIM])
+    norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) * (-_WEIGHT[c] / 2) for c in _DIM])
+    entry = F.struct(F.col(TARGET).alias("label"), weights.alias("w"), norm.alias("b"), "n")
+    models = means.groupBy("scope", "model_key").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     total = F.aggregate("e", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    keep = (F.col("model_key") == R.GLOBAL_KEY) | ((F.size("e") >= 6) & (total >= 63))
+    keep = (F.col("scope") == R.GLOBAL) | ((F.size("e") >= 6) & (total >= 63))
     return models.where(keep).select(
-        "model_key", F.transform("e", lambda x: x["label"]).alias("classes"),
+        "scope", "model_key", F.transform("e", lambda x: x["label"]).alias("classes"),
         F.transform("e", lambda x: x["w"]).alias("coefficients"), F.transform("e", lambda x: x["b"]).alias("intercepts"),
         F.array(*[F.lit(1.0 + i) for i in range(len(_DIM))]).alias("scales"))
 
@@ -251,17 +260,17 @@ def score_linear_sql(spark, sf):
     return rounded(scored.select("session_id", "used_model_key", "is_fallback_used", "prediction", "confidence"))
 
 
-@query("prediction_struct", O.sessions("select session_id, l as label, round(p,6) as probability from probs where used = 'global'", *_SCORED))
+@query("prediction_struct", O.sessions("select session_id, l as label, round(p,6) as probability from probs", *_SCORED))
 def prediction_struct(spark, sf):
-    """The probability map of every session scored by the global model, one row per label."""
+    """The probability map of every session, by its own or the global model, one row per label."""
     rows = session_rows(spark, sf).select("session_id", "user_id", *_DIM)
-    scored = L.score_linear(rows, centroid_models(spark, sf), features=_DIM).where("is_fallback_used = 1")
+    scored = L.score_linear(rows, centroid_models(spark, sf), features=_DIM)
     return rounded(scored.select("session_id", F.explode("probabilities").alias("label", "probability")))
 
 
 @query("logistic_importance", O.sessions(
     "select k as model_key, feature, position::int as position, round(avg(abs(v)),9) as importance from (" + " union all ".join(
-        f"select k, '{c}' as feature, {i} as position, 20*m_{c}*{1.0 + i}::double as v from cents where k='global' or k in (select k from own)" for i, c in enumerate(_DIM))
+        f"select k, '{c}' as feature, {i} as position, {_WEIGHT[c]}::double*m_{c}*{1.0 + i}::double as v from cents where k='global' or k in (select k from own)" for i, c in enumerate(_DIM))
     + ") group by 1,2,3", *_SCORED[:3]))
 def logistic_importance(spark, sf):
     return rounded(L.coefficient_importance(centroid_models(spark, sf), _DIM), 9)
@@ -275,7 +284,7 @@ def logistic_importance(spark, sf):
 def active_model_pointer(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     path = F.concat(F.lit("/models/"), F.col("event_id").cast("string")).alias("model_path")
-    registry = events.select(S.model_key(F.col("user_id")).alias("model_key"), path, F.col("event_type").alias("algorithm"),
+    registry = events.select(F.lit(R.PERSONAL).alias("scope"), S.user_key(F.col("user_id")).alias("model_key"), path, F.col("event_type").alias("algorithm"),
                              F.col("ts").alias("promoted_at"))
     artifacts = events.where(F.col("event_type") != "error").select(path)
     return R.active_models(registry, artifacts).select("model_key", "model_path", "algorithm")

@@ -1,6 +1,6 @@
 """Registered queries: model training, cross-validation, comparison and scoring.
 
-The trained models depend on MLlib, so these have no SQL counterpart. The tournament runs once per
+What a fitted model says depends on MLlib and has no SQL counterpart; counts and statuses have. The tournament runs once per
 application and data folder, and the queries about it share its result.
 """
 
@@ -17,6 +17,7 @@ from fingerloom.operators import scoring as L
 from fingerloom.operators import split as Sp
 from fingerloom.operators import training as T
 from fingerloom.operators.cleaning import drop_negative
+from fingerloom.plans import oracle as O
 from fingerloom.plans.catalog import query, rounded
 from fingerloom.schema import FEATURES, TARGET
 from fingerloom.session import scratch_path
@@ -25,9 +26,6 @@ from fingerloom.sources import tables as Tb
 from fingerloom.sources.bridge import feature_table, session_rows, typing_table
 
 _CACHE: dict[tuple, object] = {}
-# Five boosted fits per class take minutes on one machine; the boosted candidate runs in
-# `fit_boosted` and `compare_algorithms`.
-CANDIDATES = (M.LOGISTIC, M.FOREST)
 
 
 def _once(spark, sf, name, make):
@@ -87,12 +85,12 @@ def score_batch(spark, sf):
     """Every session of the dataset, cleaned or not, with the prediction of the forest."""
     _, classes = _split(spark, sf)
     scored = M.score(dataset(spark, sf), _fitted(spark, sf, M.FOREST), classes)
-    return rounded(scored.select("session_id", "prediction", "confidence", F.size("probabilities").alias("n_classes")))
+    return rounded(scored.select("session_id", "prediction", "confidence", *[F.col("probabilities")[c].alias(f"p_{c}") for c in classes]))
 
 
 def _tournament(spark, sf):
     root = scratch_path(spark, "models")
-    return _once(spark, sf, "tournament", lambda: (*T.train_global(dataset(spark, sf), root, CANDIDATES), root))
+    return _once(spark, sf, "tournament", lambda: (*T.train_global(dataset(spark, sf), root), root))
 
 
 @query("algorithm_tournament")
@@ -105,7 +103,7 @@ def train_global(spark, sf):
     """The active model of the registry after global training."""
     result, path, root = _tournament(spark, sf)
     active = R.active_models(R.read_registry(spark, root), R.stored_artifacts(spark, root))
-    return active.select("model_key", "algorithm", F.array_join("label_classes", ",").alias("label_classes"),
+    return active.select("scope", "model_key", "algorithm", F.array_join("label_classes", ",").alias("label_classes"),
                          F.size("feature_names").alias("n_features"), (F.col("model_path") == path).cast("int").alias("is_latest"))
 
 
@@ -142,8 +140,8 @@ def model_registry_write_read(spark, sf):
     root = scratch_path(spark, "models")
     frame, classes = _split(spark, sf)
     model = _fitted(spark, sf, M.LOGISTIC)
-    R.save_model(spark, model, root, key=R.key_of(spark, " User@One "), algorithm=M.LOGISTIC, features=FEATURES, classes=classes)
-    loaded, row = R.load_model(spark, root, "user_one")
+    R.save_model(spark, model, root, scope=R.key_of(spark, " User@One ")[0], key=R.key_of(spark, " User@One ")[1], algorithm=M.LOGISTIC, features=FEATURES, classes=classes)
+    loaded, row = R.load_model(spark, root, "user@one")
     test = frame.where("is_test = 1")
     before = M.score(test, model, classes).select(T._ROW, F.col("confidence").alias("fitted"))
     after = M.score(test, loaded, row["label_classes"]).select(T._ROW, F.col("confidence").alias("loaded"))
@@ -156,11 +154,24 @@ def train_personal(spark, sf):
     """A tournament over one user's stored and inline rows. Single users have too few rows per class
     for five folds, so the event cohort takes the place of the user."""
     rows = dataset(spark, sf).drop("user_id").withColumnRenamed("cohort", "user_id")
-    result, _ = T.train_personal(rows, " Signup ", scratch_path(spark, "models"), inline=rows.drop("session_id"), algorithms=[M.LOGISTIC])
+    new = F.col("session_id").cast("bigint") % 10 == 0  # a tenth of the sessions comes with the request
+    result, _ = T.train_personal(rows.where(~new), " Signup ", scratch_path(spark, "models"), inline=rows.where(new))
     return rounded(result.leaderboard.drop("execution_time_ms"))
 
 
-@query("train_personal_all_users")
+_PERSONAL = f"""mine as (select *, count(*) over (partition by user_id) as n_rows from sessions),
+ready as (select * from mine where n_rows >= 20 and not {O.negative()} and not {O.capped()}),
+own_q as (select user_id as u, {", ".join(f"quantile_cont({c}, 0.25) as q1_{c}, quantile_cont({c}, 0.75) as q3_{c}" for c in O.TIMINGS)} from ready group by 1),
+left_over as (select ready.* from ready join own_q on u = user_id where not ({" or ".join(f"coalesce({c} > q3_{c} + 1.5::double*(q3_{c}-q1_{c}), false)" for c in O.TIMINGS)})),
+per_class as (select user_id as u, weakest_finger as l, count(*) as n from left_over group by 1, 2),
+per_user as (select u, sum(n) as rows, count(*) as k, min(n) as least, string_agg(l, ',' order by l) as ls from per_class group by 1)"""
+
+
+@query("train_personal_all_users", O.sessions("""select mine.user_id as model_key, any_value(mine.n_rows) as n_rows,
+  case when any_value(mine.n_rows) < 20 then 'insufficient_data' when any_value(k) is null then 'no_rows_after_cleaning'
+  when any_value(k) < 2 then 'single_class' when any_value(least) < 2 then 'thin_class' else 'trained' end as status,
+  cast(any_value(per_user.rows) as bigint) as training_rows, case when any_value(k) >= 2 and any_value(least) >= 2 then any_value(ls) end as classes
+  from mine left join per_user on u = mine.user_id group by 1""", _PERSONAL))
 def train_personal_all_users(spark, sf):
     models = P.train_all_users(dataset(spark, sf))
     return models.select("model_key", "n_rows", "status", "training_rows", F.array_join("classes", ",").alias("classes"))
@@ -178,21 +189,29 @@ def train_forest_registry(spark, sf):
     cleaning; negative timings are dropped, because validation stops on them."""
     root = scratch_path(spark, "models")
     rows = drop_negative(X.training_rows(feature_table(spark, sf), typing_table(spark, sf), label_rule="valid"))
-    T.train_holdout(rows, M.FOREST, root, clean=False, key="unknown_user", lineage="experiments")
-    return R.read_registry(spark, root).select("model_key", "algorithm", "lineage", F.size("label_classes").alias("n_classes"))
+    T.train_holdout(rows, M.FOREST, root, clean=False, user="unknown_user", lineage="experiments")
+    return R.read_registry(spark, root).select("scope", "algorithm", "lineage", F.size("label_classes").alias("n_classes"))
 
 
 @query("evaluate_model")
 def evaluate_model(spark, sf):
-    """Report of the stored global model on the test part of its own split."""
-    root = _tournament(spark, sf)[2]
-    report, _ = T.evaluate_model(dataset(spark, sf), root, dedupe=True)
+    """Report of a stored model on the rows that were held out when it was trained."""
+    root = scratch_path(spark, "models")
+    T.train_holdout(dataset(spark, sf), M.LOGISTIC, root)
+    report, _ = T.evaluate_model(dataset(spark, sf), root)
     return rounded(report)
 
 
+@query("evaluate_model_support", O.sessions("""select weakest_finger as label, cast(ceil(0.2::double * count(*)) as bigint) as support
+  from cleaned group by 1""", *O.CLEANING))
+def evaluate_model_support(spark, sf):
+    """Held-out rows of each class."""
+    return evaluate_model(spark, sf).where(~F.col("label").isin("accuracy", "macro avg", "weighted avg")).select("label", "support")
+
+
 def _comparison(spark, sf):
     root = scratch_path(spark, "models")
-    return _once(spark, sf, "comparison", lambda: T.compare_algorithms(dataset(spark, sf), root, latency_runs=5))
+    return _once(spark, sf, "comparison", lambda: T.compare_algorithms(dataset(spark, sf), root))
 
 
 @query("compare_algorithms")
@@ -213,7 +232,7 @@ def score_personal_models(spark, sf):
     frame, classes = _split(spark, sf)
     train = frame.where("is_test = 0")
     row = M.linear_model_row(_fitted(spark, sf, M.LOGISTIC), L.fit_scaler(train), classes, R.GLOBAL_KEY)
-    columns = ["model_key", "classes", "coefficients", "intercepts"]
+    columns = ["scope", "model_key", "classes", "coefficients", "intercepts"]
     own = P.train_all_users(rows).where("status = 'trained'").select(*columns)
     top = spark.createDataFrame([tuple(row[c] for c in columns)], own.schema)
     scored = L.score_linear(rows, M.materialized(own.union(top), "linear"))

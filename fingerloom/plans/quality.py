@@ -203,7 +203,7 @@ def label_mismatch_samples(spark, sf):
     return Q.label_mismatch_samples(session_rows(spark, sf), "session_id", "stated_finger")
 
 
-_TABLE_COLUMNS = ["Id", "IsOutlier", "IsUsedForTraining", *O.PASCAL[:8]]
+_TABLE_COLUMNS = ["Id", "TypingSessionId", "CreatedAt", "IsOutlier", "IsUsedForTraining", *O.PASCAL]
 
 
 @query("profile_missing", O.tables("select * from (" + " union all ".join(
@@ -212,11 +212,18 @@ def profile_missing(spark, sf):
     return P.profile_missing(feature_table(spark, sf).select(*_TABLE_COLUMNS))
 
 
-# Sessions without their id, speed and accuracy only: many natural copies; users repeat as keys.
-@query("profile_duplicates", O.sessions("""select 'rows' as scope, (select count(*) from sessions) - (select count(*) from (select distinct user_id, wpm, weakest_finger from sessions)) as n_duplicates
-  union all select 'user_id', (select count(*) from sessions) - (select count(distinct user_id) from sessions)"""))
+# Whole session rows; those of every fifth session stand twice, and those of every seventh once more under another user.
+_TWICE = """twice as (select * from sessions union all select * from sessions where cast(session_id as bigint) % 5 = 0
+  union all select * replace ('other' as user_id) from sessions where cast(session_id as bigint) % 7 = 0)"""
+
+
+@query("profile_duplicates", O.sessions("""select 'rows' as scope, (select count(*) from twice) - (select count(*) from (select distinct * from twice)) as n_duplicates
+  union all select 'session_id', (select count(*) from twice) - (select count(distinct session_id) from twice)""", _TWICE))
 def profile_duplicates(spark, sf):
-    return P.profile_duplicates(session_rows(spark, sf).select("user_id", "wpm", TARGET), key="user_id")
+    rows = session_rows(spark, sf)
+    number = F.col("session_id").cast("bigint")
+    twice = rows.union(rows.where(number % 5 == 0)).union(rows.where(number % 7 == 0).withColumn("user_id", F.lit("other")).select(*rows.columns))
+    return P.profile_duplicates(twice, key="session_id")
 
 
 @query("profile_describe", O.sessions(" union all ".join(

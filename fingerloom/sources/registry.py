@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerloom.functions.scalars import model_key
+from fingerloom.functions.scalars import path_key
 from fingerloom.schema import TARGET
 
 GLOBAL_KEY = "global"
+#: A model serves everybody or one user. The scope keeps a user who is called "global" apart from the global model.
+GLOBAL, PERSONAL = "global", "personal"
 
 REGISTRY_SCHEMA = T.StructType([
+    T.StructField("scope", T.StringType()),
     T.StructField("model_key", T.StringType()),
     T.StructField("algorithm", T.StringType()),
     T.StructField("model_path", T.StringType()),
@@ -29,20 +33,20 @@ REGISTRY_SCHEMA = T.StructType([
 ])
 
 
-def key_of(spark: SparkSession, user: str | None) -> str:
-    """Model key of one user id, by the same rule as for a column; the global key without a user."""
+def key_of(spark: SparkSession, user: str | None) -> tuple[str, str]:
+    """Scope and model key of one user id, by the same rule as for a column; the global ones without a user."""
     if user is None or not user.strip():
-        return GLOBAL_KEY
-    return spark.range(1).select(model_key(F.lit(user))).first()[0]
+        return GLOBAL, GLOBAL_KEY
+    return PERSONAL, spark.range(1).select(path_key(F.lit(user))).first()[0]
 
 
 def save_model(spark: SparkSession, model: PipelineModel, root: str, *, key: str, algorithm: str,
-               features: Sequence[str], classes: Sequence[str], lineage: str = "production", promote: bool = True) -> str:
+               features: Sequence[str], classes: Sequence[str], scope: str = PERSONAL, lineage: str = "production", promote: bool = True) -> str:
     """Save the pipeline under ``root`` and append its registry row; returns the model path."""
-    path = f"{root.rstrip('/')}/{lineage}/{key}-{algorithm}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{lineage}/{scope}/{key}-{algorithm}-{uuid.uuid4().hex}"
     model.write().save(path)
     now = datetime.now(timezone.utc)
-    row = (key, algorithm, path, list(features), TARGET, list(classes), lineage, now, now if promote else None)
+    row = (scope, key, algorithm, path, list(features), TARGET, list(classes), lineage, now, now if promote else None)
     spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").partitionBy("lineage").parquet(f"{root.rstrip('/')}/registry")
     return path
 
@@ -55,29 +59,56 @@ def stored_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Paths of the pipeline folders present below ``root``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*").load(root).select("path"))
-    inside = F.regexp_extract(F.regexp_replace("path", "^file:/+", "/"), r"^(.*)/metadata/[^/]+$", 1)
+    # Listed paths carry scheme and host; the registry's begin as ``root`` was given.
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    bare = lambda path: re.sub("^file:/+", "/", path)
+    listed = F.regexp_replace("path", "^file:/+", "/")
+    own = F.concat(F.lit(root.rstrip("/")), F.substr(listed, F.lit(len(bare(full)) + 1)))
+    inside = F.regexp_extract(own, r"^(.*)/metadata/[^/]+$", 1)
     return (files.select(inside.alias("model_path"))
             .where((F.col("model_path") != "") & ~F.col("model_path").contains("/stages/")).distinct())
 
 
 def active_models(registry: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The latest promoted row per key, dropped if its artifact is missing (no older one takes over)."""
+    """The latest promoted row per scope and key, dropped if its artifact is missing (no older one takes over)."""
     promoted = registry.where(F.col("promoted_at").isNotNull() & (F.coalesce("model_path", F.lit("")) != ""))
-    row = F.struct(*[c for c in registry.columns if c != "model_key"])
-    latest = promoted.groupBy("model_key").agg(
-        F.max_by(row, F.struct("promoted_at", "model_path")).alias("_row")).select("model_key", "_row.*")
+    row = F.struct(*[c for c in registry.columns if c not in ("scope", "model_key")])
+    latest = promoted.groupBy("scope", "model_key").agg(
+        F.max_by(row, F.struct("promoted_at", "model_path")).alias("_row")).select("scope", "model_key", "_row.*")
     return latest.join(artifacts.select("model_path"), "model_path", "left_semi")
 
 
-def load_model(spark: SparkSession, root: str, key: str) -> tuple[PipelineModel, dict]:
-    """The active pipeline of a key with its registry row; FileNotFoundError if there is none."""
-    rows = read_registry(spark, root).where(F.col("model_key") == key)
-    row = active_models(rows, stored_artifacts(spark, root)).first()
-    if row is None:
-        raise FileNotFoundError(f"No active model for key '{key}'.")
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a pipeline folder is present, asked of its own file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def load_model(spark: SparkSession, root: str, user: str | None = None) -> tuple[PipelineModel, dict]:
+    """The active pipeline of a user, or the global one without a user, with its registry row; FileNotFoundError if there is none.
+
+    Only the folder of the row that counts is looked at, so the size of the store does not matter.
+    """
+    scope, key = key_of(spark, user)
+    rows = read_registry(spark, root).where((F.col("scope") == scope) & (F.col("model_key") == key))
+    promoted = rows.where(F.col("promoted_at").isNotNull() & (F.coalesce("model_path", F.lit("")) != ""))
+    row = promoted.orderBy(F.desc("promoted_at"), F.desc("model_path")).first()
+    if row is None or not _exists(spark, row["model_path"]):
+        raise FileNotFoundError(f"No active {scope} model for '{key}'.")
     return PipelineModel.load(row["model_path"]), row.asDict()
 
 
+def resolve_model(spark: SparkSession, root: str, user: str | None) -> tuple[PipelineModel, dict, bool]:
+    """The user's own model, of whatever algorithm, or the global one; and whether it is the fallback."""
+    if user is not None and user.strip():
+        try:
+            return *load_model(spark, root, user), False
+        except FileNotFoundError:
+            pass
+    return *load_model(spark, root), True
+
+
 def artifact_bytes(spark: SparkSession, path: str) -> int:
     """Size of all files of a saved model."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

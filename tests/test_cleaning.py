@@ -58,22 +58,35 @@ def test_two_sided_keeps_null_rows_clean(spark):
     assert set(bounds) == {"dwell_a", "flight_a"}
 
 
+@pytest.mark.parametrize("bracket", [40, 100_000])
 @pytest.mark.parametrize("kind", ["few", "many", "hot", "tiny", "negative"])
-def test_refined_quantiles_are_exact(spark, monkeypatch, kind):
-    """The narrowing path gives the numbers of the direct one, also with one value on a third of the rows."""
+def test_quantiles_are_exact(spark, monkeypatch, kind, bracket):
+    """Narrowed brackets give the same numbers, also with one value on a third of the rows."""
     from fingerloom.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "MAX_DISTINCT", 40)
+    monkeypatch.setattr(quantiles, "MAX_BRACKET", bracket)
     rnd = random.Random(kind)
     values = {"few": [rnd.randint(0, 5) * 1.0 for _ in range(500)], "many": [rnd.random() for _ in range(3000)],
               "hot": [7.25 if rnd.random() < 0.4 else rnd.gauss(7, 2) for _ in range(3000)], "tiny": [1.0, 2.0, 3.0, 10.0],
               "negative": [-rnd.expovariate(1) for _ in range(2000)]}[kind]
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (NAN,)], "x double").withColumn("y", F.lit(None).cast("double"))
     levels = (0.0, 0.25, 0.5, 0.75, 1.0)
-    got = exact_quantiles(df, ["x", "y"], levels, method="refined")
+    got = exact_quantiles(df, ["x", "y"], levels)
     assert got["y"] is None
     assert np.allclose(got["x"], np.quantile(values, levels), rtol=1e-13, atol=0)
-    assert np.allclose(exact_quantiles(df, ["x"], levels)["x"], got["x"], rtol=1e-13, atol=0)
+
+
+def test_quantiles_of_infinite_values_and_many_distinct_ones(spark, monkeypatch):
+    from fingerloom.operators import quantiles
+
+    inf = float("inf")
+    df = spark.createDataFrame([(float(v),) for v in range(10)] + [(inf,)] * 5 + [(-inf,)] * 3, "x double")
+    for bracket in (1, 100_000):
+        monkeypatch.setattr(quantiles, "MAX_BRACKET", bracket)
+        assert exact_quantiles(df, ["x"], (0.0, 0.25, 0.5, 0.8, 1.0))["x"] == [-inf, 1.25, 5.5, inf, inf]
+    many = spark.range(250_000).selectExpr("if(id % 50 = 0, double('inf'), double(id)) AS x")
+    want = np.quantile([float(v) for v in range(250_000) if v % 50] + [1e300] * 5000, (0.25, 0.5, 0.75))
+    assert exact_quantiles(many, ["x"], (0.25, 0.5, 0.75))["x"] == pytest.approx(want.tolist(), rel=1e-13)
 
 
 def test_bounds_do_not_depend_on_partitions(spark):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import COLUMNS, SCHEMA, frame, training_rows
+from fingerloom.functions import scalars as S
 from fingerloom.operators import metrics as E
 from fingerloom.operators import models as M
 from fingerloom.operators import personal as P
@@ -55,7 +56,7 @@ def test_unknown_algorithm(spark):
 
 def test_thin_classes(spark):
     rows = training_rows()
-    with pytest.raises(ValueError, match="5-fold cross validation"):
+    with pytest.raises(ValueError, match="5 folds need 5 rows"):
         tournament(spark, rows[:4] + rows[6:10])
 
 
@@ -73,7 +74,7 @@ def test_history_merge_and_threshold(spark, tmp_path):
     stored, inline = frame(spark, training_rows()), frame(spark, [r | {"wpm": r["wpm"] + 0.5} for r in training_rows()[2:10]])
     result, path = T.train_personal(stored, "user-a", str(tmp_path), inline=inline, algorithms=[M.LOGISTIC])
     assert result.rows == 20
-    model, row = R.load_model(spark, str(tmp_path), "user-a")
+    model, row = R.load_model(spark, str(tmp_path), " User-A ")
     assert row["model_path"] == path and row["algorithm"] == M.LOGISTIC
     assert M.score(stored, model, row["label_classes"]).where(F.col("prediction") == F.col(TARGET)).count() == 12
     with pytest.raises(ValueError, match="Insufficient data"):
@@ -92,9 +93,9 @@ def test_registry_without_model(spark, tmp_path):
 
 def test_validation_errors(spark):
     rows = training_rows()
-    for change, text in (({"wpm": None}, "null or non-numeric"), ({"wpm": float("inf")}, "non-finite"),
-                         ({"accuracy": 1.5}, "out-of-range"), ({TARGET: "thumb"}, "unsupported"),
-                         ({TARGET: " "}, "blank"), ({TARGET: None}, "null values")):
+    for change, text in (({"wpm": None}, "null_or_non_numeric"), ({"wpm": float("inf")}, "non_finite"),
+                         ({"accuracy": 1.5}, "above_max"), ({TARGET: "thumb"}, "unsupported_labels"),
+                         ({TARGET: " "}, "blank_labels"), ({TARGET: None}, "null_labels")):
         with pytest.raises(ValueError, match=text):
             T.prepare(frame(spark, [rows[0] | change, *rows[1:]]))
 
@@ -138,9 +139,9 @@ def test_linear_table_scores_like_the_pipeline(spark):
     classes = M.label_classes(df)
     model = M.fit_pipeline(M.LOGISTIC, df, classes)
     row = M.linear_model_row(model, L.fit_scaler(df), classes, R.GLOBAL_KEY)
-    columns = ["model_key", "classes", "coefficients", "intercepts"]
+    columns = ["scope", "model_key", "classes", "coefficients", "intercepts"]
     table = spark.createDataFrame([tuple(row[c] for c in columns)],
-                                  "model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>")
+                                  "scope string, model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>")
     want = {r["wpm"]: r for r in M.score(df, model, classes).collect()}
     for scored in (L.score_linear(df, table), L.score_with_model(df, row)):
         for r in scored.collect():
@@ -150,10 +151,17 @@ def test_linear_table_scores_like_the_pipeline(spark):
 
 
 def test_fallback_flags(spark):
-    schema = "model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>"
+    schema = "scope string, model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>"
     models = spark.createDataFrame([
-        ("global", ["a", "b"], [[0.0], [0.0]], [1.0, 0.0]), ("user_one", ["a", "b", "c"], [[0.0], [0.0], [0.0]], [0.0, 0.0, 2.0])], schema)
+        ("global", "global", ["a", "b"], [[0.0], [0.0]], [1.0, 0.0]), ("personal", "global", ["z", "y"], [[0.0], [0.0]], [1.0, 0.0]),
+        ("personal", "user@@one", ["a", "b", "c"], [[0.0], [0.0], [0.0]], [0.0, 0.0, 2.0])], schema)
     rows = spark.createDataFrame([(" User@@One", 1.0), ("other", 1.0), ("  ", 1.0), (None, 1.0)], "user_id string, x double")
+    named = spark.createDataFrame([("Global", 1.0), ("user__one", 1.0)], "user_id string, x double")
+    own = {r["user_id"]: (r["is_fallback_used"], r["prediction"]) for r in L.score_linear(named, models, features=["x"]).collect()}
+    assert own == {"Global": (0, "z"), "user__one": (1, "a")}
+    for wrong in (models.where("scope = 'personal'"), models.union(models)):
+        with pytest.raises(ValueError, match="exactly one global"):
+            L.score_linear(rows, wrong, features=["x"])
     got = {r["user_id"]: (r["is_fallback_used"], r["prediction"]) for r in L.score_linear(rows, models, features=["x"]).collect()}
     assert got == {" User@@One": (0, "c"), "other": (1, "a"), "  ": (1, "a"), None: (1, "a")}
 
@@ -186,6 +194,38 @@ def test_comparison_keeps_failures(spark, tmp_path, monkeypatch):
     assert by[M.FOREST]["status"] == "failed" and "no trees" in by[M.FOREST]["error"]
 
 
+def test_users_stay_apart_and_sessions_stay_whole(spark):
+    """Ids in other scripts, a user called Global, and sessions with equal features."""
+    rows = []
+    for user, n in (("Иван", 24), ("Олег", 30), ("a@b", 24), ("a_b", 24), ("Global", 24)):
+        rows += [(f"{user}-{i}", *[training_rows(user)[i % 12][c] for c in COLUMNS]) for i in range(n)]
+    df = spark.createDataFrame(rows + rows[:3], f"session_id string, {SCHEMA}")
+    got = {r["model_key"]: r for r in P.train_all_users(df).collect()}
+    assert set(got) == {"иван", "олег", "a@b", "a_b", "global"} and {r["scope"] for r in got.values()} == {R.PERSONAL}
+    assert got["иван"]["n_rows"] == 27 and got["иван"]["training_rows"] == 24 and got["олег"]["n_rows"] == 30
+    keys = spark.createDataFrame([("Иван",), ("Олег",), ("a@b",), ("a_b",)], "u string").select(S.path_key(F.col("u")).alias("k")).distinct()
+    assert keys.count() == 4
+
+
+def test_own_or_global_pipeline_of_any_algorithm(spark, tmp_path):
+    root = f"file:{tmp_path}"
+    df = frame(spark, training_rows())
+    T.train_holdout(df, M.LOGISTIC, root)
+    T.train_holdout(df, M.FOREST, root, user="user-a")
+    T.train_holdout(df, M.LOGISTIC, root, user="Global")
+    assert [R.resolve_model(spark, root, u)[1:][0]["algorithm"] for u in (" User-A", "stranger", None, "global")] == [M.FOREST, *[M.LOGISTIC] * 3]
+    assert [R.resolve_model(spark, root, u)[2] for u in ("user-a", "stranger", " ", "global")] == [False, True, True, False]
+    assert R.active_models(R.read_registry(spark, root), R.stored_artifacts(spark, root)).count() == 3
+
+
+def test_null_labels_are_labels(spark):
+    pairs = spark.createDataFrame([("a", None), (None, "b"), (None, None), ("a", "a")], "y string, p string")
+    cells = {(r["true_label"], r["predicted_label"]): r["n_rows"] for r in E.confusion_matrix(pairs, "y", "p").collect()}
+    assert sum(cells.values()) == 4 and cells["a", None] == cells[None, "b"] == cells[None, None] == 1
+    assert E.macro_metrics(pairs, "y", "p").first()["accuracy"] == 0.5
+    assert E.primary_misclassification(pairs, "y", "p").first()["n_rows"] == 1
+
+
 def test_metrics_of_known_pairs(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y string, p string")
     m = E.macro_metrics(pairs, "y", "p").first()
