@@ -20,10 +20,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of its repeated rows, one."""
-    found = simhash.near_duplicates(docs, keep=docs.columns)
-    first = found.where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["root"]).select("row.*")
+    """Of each group of linked documents the one with the smallest id stays; of its repeated rows, one.
+
+    A document is known by its id and its text's hash, so texts are shuffled once, when the others leave.
+    """
+    text_hash = F.xxhash64("text")
+    narrow = docs.select("doc_id", "text", text_hash.alias("hash"))
+    found = simhash.near_duplicates(narrow, keep=["doc_id", "hash"])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("no_id"), "row.doc_id", "row.hash")).alias("k"))
+    known_by = lambda doc_id, hash_: F.concat_ws("/", doc_id.cast("string"), F.hex(hash_)).alias("known_by")
+    stays = first.select(known_by(F.col("k.doc_id"), F.col("k.hash")))
+    rows = docs.select(F.struct("*").alias("row"), known_by(F.col("doc_id"), text_hash))
+    return rows.join(stays, "known_by", "left_semi").dropDuplicates(["known_by"]).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
