@@ -1,7 +1,7 @@
 """Time the headline jobs and print one JSON line.
 
-The session dataset is derived once and stored before the clock starts (``stage_sec``), as the
-telemetry of a real deployment lies in tables. Every query is warmed up once, then timed.
+The session dataset is derived and stored once, which counts as ``stage_sessions``. Every query is warmed up once, then
+timed.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ def main() -> None:
     stage = time.perf_counter() - started
 
     prepared = T.prepare(rows)
+    forest = M.fit_pipeline(M.FOREST, prepared, M.label_classes(prepared))
     classes = M.label_classes(prepared)
     logistic = M.fit_pipeline(M.LOGISTIC, prepared, classes)
     model = M.linear_model_row(logistic, L.fit_scaler(prepared), classes, R.GLOBAL_KEY)
@@ -61,11 +62,12 @@ def main() -> None:
         "classification_report": lambda: noop(E.classification_report(predictions(spark, SF_DIR), TARGET, "dwell_rule")),
         "session_sequence": lambda: noop(X.pending_sequence(features, typing)),
         "score_global_linear": lambda: noop(L.score_with_model(rows, model)),
+        "score_forest": lambda: noop(M.score(rows, forest, classes).select("session_id", "prediction", "confidence")),
         "score_linear_by_user": lambda: noop(L.score_linear(rows, table)),
         "fit_logistic": lambda: M.fit_pipeline(M.LOGISTIC, prepared, classes),
         "train_personal_all_users": lambda: noop(P.train_all_users(rows)),
     }
-    times = {}
+    times = {"stage_sessions": round(stage, 3)}  # part of the total
     for name, run in queries.items():
         run()
         started = time.perf_counter()
@@ -80,7 +82,7 @@ def main() -> None:
     scored_per_sec = 20 * n_rows / (time.perf_counter() - started)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": os.path.basename(SF_DIR.rstrip("/")), "rows": n_rows, "stage_sec": round(stage, 3),
+        "sf": os.path.basename(SF_DIR.rstrip("/")), "rows": n_rows,
         "rows_scored_per_sec": round(scored_per_sec),
         "users_trained_per_sec": round(rows.select("user_id").distinct().count() / times["train_personal_all_users"], 1),
     }))

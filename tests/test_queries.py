@@ -29,6 +29,19 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == want and want
 
 
+#: Queries without a SQL counterpart that take seconds; their result shape is checked here, their content in other tests.
+ROWS_ONLY = ("fit_logistic", "fit_forest", "train_holdout", "evaluate_model", "train_forest_registry", "model_registry_write_read", "tree_importance", "score_batch")
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_query_without_sql_gives_rows(spark, sf, name):
+    rows = queries()[name](spark, sf).collect()
+    assert rows
+    if "precision" in rows[0].asDict():
+        accuracy = next(r["f1_score"] for r in rows if r["label"] == "accuracy")
+        assert accuracy >= 0.6, f"{name}: {accuracy} on held-out rows of eight classes"
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
