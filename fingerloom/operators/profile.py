@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerloom.functions.scalars import nan_to_null, number, number_sql, to_number
-from fingerloom.operators.cleaning import iqr_bounds, keep_inside_iqr
+from fingerloom.functions.scalars import number, number_sql, to_number
 from fingerloom.operators.quantiles import exact_quantiles
-from fingerloom.schema import TARGET
+from fingerloom.schema import IQR_MULTIPLIER, TARGET
 
 
 def label_distribution(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -128,17 +127,18 @@ def histogram_bins(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, column: str) -> DataFrame:
     """Five-number summary of a column before and after keeping the rows inside its IQR bounds."""
-    out = None
-    for stage, rows in (("before", df), ("after", keep_inside_iqr(df, column))):
-        median = exact_quantiles(rows, [column], [0.5])[column]
-        bounds = iqr_bounds(rows, [column]).get(column)
-        if bounds is None:
-            continue
-        x = nan_to_null(F.col(column).cast("double"))
-        inside = F.when(x.between(bounds.lower, bounds.upper), x)
+    out, rows, x = None, df, to_number(F.col(column))
+    for stage in ("before", "after"):
+        quartiles = exact_quantiles(rows, [column], (0.25, 0.5, 0.75))[column]
+        if quartiles is None:
+            break
+        q1, median, q3 = quartiles
+        fits = x.between(q1 - IQR_MULTIPLIER * (q3 - q1), q3 + IQR_MULTIPLIER * (q3 - q1))
+        inside = F.when(fits, x)
         part = rows.agg(
             F.lit(stage).alias("stage"), F.count(x).alias("n_rows"), F.min(inside).alias("whisker_low"),
-            F.lit(bounds.q1).alias("q1"), F.lit(median[0]).alias("median"), F.lit(bounds.q3).alias("q3"),
-            F.max(inside).alias("whisker_high"), F.count_if(~x.between(bounds.lower, bounds.upper)).alias("n_fliers"))
+            F.lit(q1).alias("q1"), F.lit(median).alias("median"), F.lit(q3).alias("q3"),
+            F.max(inside).alias("whisker_high"), F.count_if(~fits).alias("n_fliers"))
         out = part if out is None else out.union(part)
+        rows = rows.where(fits)
     return out

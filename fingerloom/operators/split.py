@@ -43,10 +43,8 @@ def carry_forward(df: DataFrame, user: str, position: str, value: str, *, block:
     numbered = df.withColumn("_block", F.floor(F.col(position) / block))
     inside = Window.partitionBy(user, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     filled = numbered.withColumn(value, F.last(value, ignorenulls=True).over(inside))
-    last = numbered.where(F.col(value).isNotNull()).groupBy(user, "_block").agg(
-        F.max_by(value, position).alias("_last"))
-    blocks = numbered.groupBy(user, "_block").agg(F.lit(1).alias("_one"))
-    summary = blocks.join(last, [user, "_block"], "left")
+    # max_by skips rows whose order is NULL: the last value of the block, or NULL if it has none.
+    summary = numbered.groupBy(user, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position))).alias("_last"))
     before = Window.partitionBy(user).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inherited = summary.select(user, "_block", F.last("_last", ignorenulls=True).over(before).alias("_inherited"))
     return (
