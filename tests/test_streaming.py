@@ -75,9 +75,20 @@ def test_preprocessing_equals_batch(spark, sf, tmp_path):
     averages = lambda: timing_averages(feature_table(spark, sf))
     Ta.stream_preprocessing(Rq.read_messages(spark, path=str(source)), averages, out, str(tmp_path / "p")).awaitTermination()
     results = spark.read.parquet(f"{out}/results").collect()
-    listed = spark.read.parquet(f"{out}/outliers").groupBy("task_id").count().collect()
+    listed = spark.read.parquet(f"{out}/outliers").groupBy("batch_id").count().collect()
     assert len(results) == 2 and all(r["rows_scanned"] == 1000 and len(r["samples"]) == 10 for r in results)
-    assert {r["count"] for r in listed} == {results[0]["outliers"]}
+    assert [r["count"] for r in listed] == [results[0]["outliers"]]
+    states = Ta.task_state(spark.read.parquet(f"{out}/events")).collect()
+    assert {(r["task_id"], r["status"], r["progress"]) for r in states} == {(ID.format(i), "PreprocessingPublished", 90) for i in (1, 2)}
+
+
+def test_failed_preprocessing_is_a_state(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(source, "1.json", [(Rq.PREPROCESSING_REQUESTS, {"taskId": ID.format(1)})])
+    empty = lambda: spark.range(0).select(F.lit("x").alias("other"))
+    Ta.stream_preprocessing(Rq.read_messages(spark, path=str(source)), empty, out, str(tmp_path / "p")).awaitTermination()
+    row = Ta.task_state(spark.read.parquet(f"{out}/events")).first()
+    assert (row["status"], row["progress"]) == ("Failed", 0) and row["error_message"]
 
 
 def test_failed_training_is_a_state(spark, tmp_path):
