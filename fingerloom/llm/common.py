@@ -127,6 +127,15 @@ def with_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def bounded_sample(df: DataFrame, rows: int, hash_: Column) -> DataFrame:
+    """At most ``rows`` rows, the same each time: one in so many by a hash of their content, so few rows move in any task.
+
+    All rows if there are no more than ``rows``.
+    """
+    every = -(-df.count() // rows)
+    return df.where(F.pmod(hash_, F.lit(max(every, 1))) == 0).orderBy(hash_).limit(rows)
+
+
 def most_frequent(counts: DataFrame, size: int, column: str = "n") -> DataFrame:
     """Rows whose count is above the least bound that at most ``size`` rows pass: no sort, no single task.
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fingerloom.llm.common import bounded_sample
+
 MAX_PAGES = 300
 VARIANTS = 4
 
@@ -310,10 +312,10 @@ def _rendered(rng: random.Random, inside: list[tuple[str, str]], menu: list[str]
 
 
 def training_pages(pages: DataFrame, *, html: str = "html", max_pages: int = MAX_PAGES, variants: int = VARIANTS) -> list[tuple[str, str]]:
-    """Labelled pages of at most ``max_pages`` pages that mark up their article, those whose content hashes lowest."""
+    """Labelled pages of at most ``max_pages`` pages that mark up their article, chosen by a hash of their content."""
     rows = pages.select(F.col(f"`{html}`").cast("string").alias("html")).where(F.col("html").contains("<article"))
-    chosen = rows.withColumn("h", F.xxhash64("html"))
-    return [pair for r in chosen.orderBy("h").limit(max_pages).collect() for pair in labelled_pages(r.html, r.h, variants)]
+    chosen = bounded_sample(rows.withColumn("h", F.xxhash64("html")), max_pages, F.col("h"))
+    return [pair for r in chosen.collect() for pair in labelled_pages(r.html, r.h, variants)]
 
 
 def extract(pages: DataFrame, model: Model, *, keep: list[str], html: str = "html") -> DataFrame:

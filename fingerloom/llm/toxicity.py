@@ -4,7 +4,7 @@ A logistic model over the words of a text and over their first characters. While
 training text are swapped for others of their kind, and the squared change of the score is penalised: what remains can
 tell insults, but not whom a text mentions.
 
-The model is fitted on at most ``max_rows`` labelled texts (those whose ids hash lowest); scoring covers all whole texts and
+The model is fitted on at most ``max_rows`` labelled texts, chosen by a hash of id and label; scoring covers all whole texts and
 shuffles nothing. The ``features`` that part the classes best are counted over that sample by the tasks.
 
 Defined results: NULL, empty and word-less texts get the score of the intercept alone; labels other than 0 and 1 teach
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import chunks, gathered, mixed, prefix_hash, span_hash, word_bounds
+from fingerloom.llm.common import bounded_sample, chunks, mixed, prefix_hash, span_hash, word_bounds
 
 MAX_ROWS = 20_000
 FEATURES = 4096
@@ -209,7 +209,7 @@ def _scored(shared):
 def sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
     """At most ``max_rows`` labelled texts; the chosen ids are what is broadcast, so its size is bounded."""
     marks = labels.where(F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{id_column}`").alias("mark_id"), F.col(f"`{label}`").cast("int").alias("toxic"))
-    chosen = marks.where("mark_id is not null").orderBy(F.xxhash64("mark_id"), "toxic").limit(max_rows)
+    chosen = bounded_sample(marks.where("mark_id is not null"), max_rows, F.xxhash64("mark_id", "toxic"))
     df = docs.select(F.col(f"`{id_column}`").alias("own_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return df.join(F.broadcast(chosen), F.col("own_id") == F.col("mark_id")).select("text", "toxic")
 
