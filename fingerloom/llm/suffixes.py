@@ -36,6 +36,9 @@ SEED = 32
 GROUP = 2000
 BATCHES = 2
 _LOW = np.uint64((1 << 24) - 1)
+#: A sample: fingerprints of its first bytes and of its whole stretch, its text, its place in it; how often (1 or 2 for
+#: more) its block holds an equal one, and whether an equal one went before.
+SAMPLED = "seed bigint, whole bigint, key bigint, place bigint, n bigint, again boolean"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,11 +80,16 @@ def _sample_rows(length: int, seed: int):
                 text, first, last, sample, hashes = samples(data, offsets, length, seed)
                 raw = data.tobytes()
                 whole = [xxhash.xxh3_64_intdigest(raw[a:b + length]) for a, b in zip(first.tolist(), last.tolist())]
+                whole = np.array(whole, np.uint64)
                 place = ((first - offsets[text]) << 16) | ((last - first) << 8) | (sample - first)
+                # Equal suffixes of one block meet here: the first goes on to the scan, as one that occurs twice.
+                _, lead, group, counts = np.unique(mixed(hashes) + whole, return_index=True, return_inverse=True, return_counts=True)
+                again = np.ones(len(group), bool)
+                again[lead] = False
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.view(np.int64)), pa.array(np.array(whole, np.uint64).view(np.int64), pa.int64()),
-                    pa.array(keys[row + text], pa.int64()), pa.array(place, pa.int64()),
-                ], names=["seed", "whole", "key", "place"])
+                    pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64), pa.int64()), pa.array(keys[row + text], pa.int64()),
+                    pa.array(place, pa.int64()), pa.array(np.minimum(counts, 2)[group], pa.int64()), pa.array(again),
+                ], names=["seed", "whole", "key", "place", "n", "again"])
     return run
 
 
@@ -100,13 +108,14 @@ class SuffixFamily:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, batch: DataFrame, *, final: bool = False) -> DataFrame:
-        """Merge-scan a batch's samples with the levels and take it in; returns the rows that match.
+        """Merge-scan a batch's samples (:data:`SAMPLED`) with the levels and take it in; returns the rows that match.
 
         Columns: seed, whole, key, place, ``long`` (the whole stretch occurs elsewhere), ``check`` (its windows are to be
         compared with those of the same seed). Matches between old rows alone were returned before. With ``final`` no
         batch follows and no level is written.
         """
-        rows = batch.select("seed", "whole", "key", "place", F.lit(1).alias("n"), F.lit(True).alias("new"))
+        batch = materialized(batch, "suffix-samples")
+        rows = batch.where("not again").select("seed", "whole", "key", "place", "n", F.lit(True).alias("new"))
         for _, level in self.levels:
             rows = rows.union(level.select("seed", "whole", "key", "place", "n", F.lit(False)))
         group = Window.partitionBy("seed")
@@ -121,9 +130,10 @@ class SuffixFamily:
             kept = materialized(scanned.where("hit"), "suffix-matches")
         else:
             kept = materialized(scanned.sortWithinPartitions("seed", "whole"), "suffix-array")
-            array = kept.where("lead").select("seed", "whole", "key", "place", F.when(F.col("long"), 2).otherwise(1).alias("n"))
+            array = kept.where("lead").select("seed", "whole", "key", "place", F.when(F.col("long"), 2).otherwise(1).cast("bigint").alias("n"))
             self._take_in(array)
-        return kept.where("hit").select("seed", "whole", "key", "place", "long", (F.col("several") & F.col("lead")).alias("check"))
+        found = kept.where("hit").select("seed", "whole", "key", "place", "long", (F.col("several") & F.col("lead")).alias("check"))
+        return found.union(batch.where("again").select("seed", "whole", "key", "place", F.lit(True), F.lit(False)))
 
     def _take_in(self, scanned: DataFrame) -> None:
         """The scan has merged the batch with every level already: keep that as one level, as a carry does in binary.
@@ -302,9 +312,8 @@ def without_repeats(docs: DataFrame, *, keep: list[str], text: str = "text", len
     keyed = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
     family, matches = SuffixFamily(), []
-    sampled = "seed bigint, whole bigint, key bigint, place bigint"
     for k in range(batches):
-        batch = keyed.where(F.pmod("key", F.lit(batches)) == k).select("key", "text").mapInArrow(_sample_rows(length, seed), sampled)
+        batch = keyed.where(F.pmod("key", F.lit(batches)) == k).select("key", "text").mapInArrow(_sample_rows(length, seed), SAMPLED)
         matches.append(family.add(batch, final=k == batches - 1))
     found = matches[0]
     for more in matches[1:]:
@@ -315,11 +324,10 @@ def without_repeats(docs: DataFrame, *, keep: list[str], text: str = "text", len
     wanted = checks.join(large, "seed", "left").select("key", F.struct("seed", "place", F.coalesce("large", F.lit(False)).alias("large")).alias("c"))
     # One row for each text: a key's candidates are bounded by the length of its text.
     by_text = wanted.groupBy("key").agg(F.collect_set("c").alias("checks"))
+    # Texts are shuffled once: both joins below are part of one query and read the same exchange, for which the first takes
+    # all its columns as well.
     stored = keyed.repartition("key")
-    # Copies of a text are one text here; `long` has settled them.
-    cut = stored.join(by_text, "key").select("key", "text", "checks").mapInArrow(
-        _contexts(length), "seed bigint, key bigint, first bigint, lead bigint, bytes binary")
-    cut = materialized(cut, "suffix-contexts")
+    cut = stored.join(by_text, "key").mapInArrow(_contexts(length), "seed bigint, key bigint, first bigint, lead bigint, bytes binary")
     small = cut.where("bytes is not null").repartition("seed").sortWithinPartitions("seed").mapInArrow(
         _settled(length), "key bigint, first bigint, last bigint")
     shared = Window.partitionBy("seed", "lead")

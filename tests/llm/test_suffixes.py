@@ -63,11 +63,10 @@ def test_empty_table(spark):
 def test_levels_grow_with_the_logarithm(spark):
     rng = random.Random(9)
     family, shared = suffixes.SuffixFamily(), words(rng, 80)
-    schema = "seed bigint, whole bigint, key bigint, place bigint"
     hits = 0
     for k in range(6):
         frame = docs(spark, [words(rng, 90) + shared + words(rng, 90)]).selectExpr(f"{k}L AS key", "text")
-        found = family.add(frame.mapInArrow(suffixes._sample_rows(200, 32), schema))
+        found = family.add(frame.mapInArrow(suffixes._sample_rows(200, 32), suffixes.SAMPLED))
         hits += found.where(f"key = {k}").count() > 0
     assert hits == 5 and [size for size, _ in family.levels] == [4, 2]
 
