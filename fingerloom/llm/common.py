@@ -1,6 +1,6 @@
 """Helpers that the operators of this folder share: whole texts as byte buffers, word bounds, hashes, splits.
 
-Texts reach a task as Arrow batches. Their UTF-8 bytes are handled as numpy buffers, a few megabytes at a time, so
+Texts reach a task as Arrow batches. Their UTF-8 bytes are handled as numpy buffers, a megabyte at a time, so
 memory is bounded by ``CHUNK_BYTES`` or the longest single text, whichever is larger.
 """
 
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEED = np.random.default_rng(20260420)
 #: Random values of the bytes and a random odd factor: the parameters of the polynomial hash.
