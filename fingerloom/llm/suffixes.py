@@ -223,16 +223,16 @@ def _settled(length: int):
         for batch in batches:
             for at in range(0, len(batch), GROUP):  # groups are at most GROUP rows, so at most two parts stand here
                 part = batch.slice(at, GROUP)
+                seeds = part.column("seed").to_numpy()
+                # The last group may go on. What is held is of one group: it ends where the seed changes, nowhere else.
+                done = rows + int(np.searchsorted(seeds, seeds[-1]))
+                if done == rows and rows and held[-1].column("seed")[0].as_py() == seeds[-1]:
+                    done = 0
                 held.append(part)
                 rows += len(part)
-                seeds = part.column("seed").to_numpy()
-                cut = int(np.searchsorted(seeds, seeds[-1]))  # the last group may go on
-                if cut == 0 and rows < 4 * GROUP:
-                    continue
-                table = pa.Table.from_batches(held)
-                done = rows - len(part) + cut
-                held, rows = table.slice(done).combine_chunks().to_batches(), rows - done
                 if done:
+                    table = pa.Table.from_batches(held)
+                    held, rows = table.slice(done).combine_chunks().to_batches(), rows - done
                     yield from settle(table.slice(0, done))
         if rows:
             yield from settle(pa.Table.from_batches(held))
@@ -327,7 +327,8 @@ def without_repeats(docs: DataFrame, *, keep: list[str], text: str = "text", len
     # Texts are shuffled once: both joins below are part of one query and read the same exchange, for which the first takes
     # all its columns as well.
     stored = keyed.repartition("key")
-    cut = stored.join(by_text, "key").mapInArrow(_contexts(length), "seed bigint, key bigint, first bigint, lead bigint, bytes binary")
+    # Candidates are counted by text, so contexts are cut from one of a text's copies; the join has dealt texts by key.
+    cut = stored.join(by_text, "key").dropDuplicates(["key"]).mapInArrow(_contexts(length), "seed bigint, key bigint, first bigint, lead bigint, bytes binary")
     small = cut.where("bytes is not null").repartition("seed").sortWithinPartitions("seed").mapInArrow(
         _settled(length), "key bigint, first bigint, last bigint")
     shared = Window.partitionBy("seed", "lead")

@@ -48,6 +48,22 @@ def test_equals_brute_force(spark, monkeypatch, batches, group, length, seed):
     assert have == want
 
 
+def test_many_copies_beside_pairs_of_one_seed(spark):
+    """Pairs that share 200 bytes with each other, and the seed with a text of 10,000 copies as well."""
+    rng = random.Random(11)
+    passage = words(rng, 100)[:190]
+    hot = words(rng, 15) + passage + words(rng, 15)
+    texts = [hot] * 10_000
+    for k in range(12):
+        shared = passage + chr(ord("A") + k) + words(rng, 9)[:9]
+        texts += [words(rng, 40) + "<" + shared + ">" + words(rng, 40), words(rng, 40) + "[" + shared + "]" + words(rng, 40)]
+    rng.shuffle(texts)
+    got = suffixes.without_repeats(docs(spark, texts), keep=["doc_id"]).collect()
+    have = {r.row.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got}
+    assert have == dict(enumerate(brute(texts, 200)))
+    assert sum(spans for _, _, spans, _ in have.values()) == 10_024
+
+
 def test_whole_characters(spark):
     rng = random.Random(4)
     passage = "ü" * 150
