@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import bpe, fmindex, languages, lattice, rules, simhash, suffixes, toxicity, urls
+from fingerloom.llm import bpe, fmindex, languages, lattice, lines, rules, simhash, suffixes, toxicity, urls
 from fingerloom.llm import pages as html
 from fingerloom.llm.common import crc_split
 
@@ -130,3 +130,25 @@ def op9(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     model = html.fit(html.training_pages(pages))
     return html.extract(pages, model, keep=["page_id", "url"]).select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+_LINES_SQL = r"""
+with split as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents
+), keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from split
+), firsts as (
+  select k, min(doc_id) as first_id from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1
+), judged as (
+  select keyed.*, first_id is not null and first_id <> doc_id as gone from keyed left join firsts using (k)
+)
+select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+from judged group by doc_id"""
+
+
+@query("op11_line_dedup", _LINES_SQL)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs), keep=["doc_id"])
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
