@@ -134,7 +134,7 @@ def op9(spark, sf_dir):
 
 _LINES_SQL = r"""
 with split as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
 ), keyed as (
   select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from split
 ), firsts as (
@@ -143,7 +143,7 @@ with split as (
   select keyed.*, first_id is not null and first_id <> doc_id as gone from keyed left join firsts using (k)
 )
 select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from judged group by doc_id"""
 
 
