@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm import bpe, fmindex, languages, lattice, lines, rules, simhash, suffixes, toxicity, urls
+from fingerloom.llm import bpe, fmindex, languages, lattice, lines, negatives, rules, simhash, suffixes, toxicity, tries, urls
 from fingerloom.llm import pages as html
 from fingerloom.llm.common import crc_split
 
@@ -152,3 +152,43 @@ def op11(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs), keep=["doc_id"])
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, items) of every conversation c behind the first turns of conversation c - c % 5, as the contract of op12 has it."""
+    own = tries.sequences(conversations)
+    heads = own.select(F.col("conv_id").alias("base"), F.slice("items", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    joined = own.withColumn("h", h).join(heads, F.col("conv_id") - F.col("conv_id") % 5 == F.col("base"), "left")
+    first = F.slice(F.coalesce("head", F.array().cast(tries.ITEMS)), F.lit(1), F.col("h"))
+    rest = F.slice("items", F.col("h") + 1, F.greatest(F.size("items") - F.col("h"), F.lit(0)))
+    return joined.select("conv_id", F.concat(first, rest).alias("items"))
+
+
+@query("op12_conversation_prefix_trie")
+def op12(spark, sf_dir):
+    return tries.prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))).drop("node")
+
+
+_NEGATIVES_SQL = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), pairs as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.id as positive_id, cast(row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as int) as rank,
+       n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(256 * x.cast("double")).cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
