@@ -41,7 +41,7 @@ MARGIN = 1e-6
 LIMIT = 2.0**31
 #: Scores below this are exact in doubles.
 EXACT = 2.0**52
-LEAST = np.iinfo(np.int64).min
+LEAST = -(1 << 62)
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

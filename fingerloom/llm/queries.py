@@ -172,8 +172,8 @@ def op12(spark, sf_dir):
 
 _NEGATIVES_SQL = """
 with rows as (
-  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> floor(256 * x::double)) as v
-  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pairs as (
   select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id, cast(list_dot_product(a.v, b.v) as bigint) as score
   from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
