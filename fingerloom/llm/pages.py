@@ -8,7 +8,9 @@ The model learns from labelled pages, (html, main text) pairs. :func:`labelled_p
 up as such, by rendering their parts anew with many kinds of markup, so that no single tag decides. At most
 ``max_pages`` pages are used to fit; extraction covers every whole page and shuffles nothing.
 
-Defined results: NULL and empty pages have the empty text; cut-off pages are read as far as they go; repeated rows are
+Blocks are joined by an empty line. Formulas are text; scripts, buttons and other hidden elements leave their line whole.
+
+Defined results: NULL and empty pages have the empty text; cut-off pages and unclosed elements are read as far as they go, in time linear in the page; repeated rows are
 judged each for itself; without labelled pages the potentials that :data:`START` states are used; an empty table gives no rows;
 extra columns are ignored or carried through unchanged.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -30,12 +33,16 @@ from pyspark.sql import functions as F
 from fingerloom.llm.common import bounded_sample
 
 MAX_PAGES = 300
+#: Between the blocks of a main text. Labelled texts of the training have a line for each block.
+SEPARATOR = "\n\n"
 VARIANTS = 4
 
 #: Fixed lists of HTML: elements inside a line, without an end tag, and whose text is never shown as text.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img"
+                    " math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle semantics object embed input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("script style noscript template iframe object svg canvas select option button textarea head title datalist audio video math".split())
+_HIDDEN = frozenset("script style noscript template iframe svg canvas select option button textarea head title datalist audio video annotation annotation-xml".split())
+_IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 #: A start tag of the second kind ends an open element of the first.
 _BLOCKS_END_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li td th tr body".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -77,12 +84,20 @@ class Node:
 
 
 class Page(HTMLParser):
-    """The block elements of a page in document order; parents come before children."""
+    """The block elements of a page in document order; parents come before children.
+
+    Hidden elements stand in a line like any other word: what they hold is left out, and the line goes on behind them. The places of
+    the open elements are kept by kind, so that no tag searches the stack: unclosed elements cost no more than others.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node(-1, "body", frozenset())]
-        self.stack: list[tuple[str, int]] = []  # open elements: tag, node number or -1 if inline
+        self.stack: list[tuple[str, int]] = []  # open elements: tag, node number or -1 if in a line
+        self.places: dict[str, list[int]] = {}  # of open elements by tag, and of these kinds:
+        self.solid: list[int] = []  # neither in a line nor a paragraph
+        self.limits: list[int] = []
+        self.boxes: list[int] = []  # with a node
         self.hidden = self.links = self.order = 0
         self.pieces: list[str] = []
         self.linked = 0
@@ -94,7 +109,7 @@ class Page(HTMLParser):
             above.chars, above.linked, above.marks = above.chars + node.chars, above.linked + node.linked, above.marks + node.marks
 
     def _here(self) -> int:
-        return next((n for _, n in reversed(self.stack) if n >= 0), 0)
+        return self.stack[self.boxes[-1]][1] if self.boxes else 0
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -107,30 +122,51 @@ class Page(HTMLParser):
             self.order += 1
         self.pieces, self.linked = [], 0
 
-    def _pop(self) -> str:
-        tag, node = self.stack[-1]
+    def _push(self, tag: str, node: int) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, node))
+        self.places.setdefault(tag, []).append(place)
+        if tag not in _INLINE and tag != "p":
+            self.solid.append(place)
+        if tag in _LIMITS:
+            self.limits.append(place)
         if node >= 0:
-            self._end_block()
-        self.stack.pop()
-        self.hidden -= tag in _HIDDEN
-        self.links -= tag == "a"
-        return tag
+            self.boxes.append(place)
+        self.hidden += tag in _HIDDEN
+        self.links += tag == "a"
+
+    def _pop_to(self, place: int) -> None:
+        """Close the elements from ``place`` on."""
+        while len(self.stack) > place:
+            tag, node = self.stack[-1]
+            if node >= 0:
+                self._end_block()
+            self.stack.pop()
+            self.places[tag].pop()
+            for kind in (self.solid, self.limits, self.boxes):
+                if kind and kind[-1] == len(self.stack):
+                    kind.pop()
+            self.hidden -= tag in _HIDDEN
+            self.links -= tag == "a"
+
+    def _close_for(self, tag: str) -> None:
+        """Close what a start tag ends: open elements of the kinds it ends, as far down as its limit."""
+        if self.places.get("head") and tag not in _IN_HEAD:
+            self._pop_to(self.places["head"][-1])
+        ends = _ENDS.get(tag, set()) | ({"p"} if tag in _BLOCKS_END_P else set())
+        barrier = self.limits if tag in _ENDS else self.solid
+        limit = barrier[-1] if barrier else -1
+        found = [places[k] for t in ends if (places := self.places.get(t)) and (k := bisect_right(places, limit)) < len(places)]
+        if found:
+            self._pop_to(min(found))
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        ends = {"p"} if tag in _BLOCKS_END_P else set()
-        for k in range(len(self.stack) - 1, -1, -1):
-            open_tag = self.stack[k][0]
-            if open_tag in ends or open_tag in _ENDS.get(tag, ()):
-                while len(self.stack) > k:
-                    self._pop()
-            elif open_tag in _LIMITS or (open_tag not in _INLINE and open_tag != "p" and tag not in _ENDS):
-                break
-        if tag in _INLINE:
+        self._close_for(tag)
+        if tag in _INLINE or tag in _HIDDEN or self.hidden:
             if tag == "br":
                 self.pieces.append(" ")
             if tag not in _VOID:
-                self.stack.append((tag, -1))
-                self.links += tag == "a"
+                self._push(tag, -1)
             return
         self._end_block()
         if tag in _VOID:
@@ -140,24 +176,26 @@ class Page(HTMLParser):
             if name in ("class", "id", "role", "itemprop", "aria-label") and value:
                 words |= set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
         self.nodes.append(Node(self._here(), _TAG_OF.get(tag, tag if tag in _TAGS else "other"), frozenset(_KIND_OF[w] for w in words if w in _KIND_OF)))
-        self.stack.append((tag, len(self.nodes) - 1))
         hidden = any((name == "hidden") or (name == "style" and value and re.search(r"display\s*:\s*none", value)) for name, value in attrs)
-        if hidden and tag not in _HIDDEN:
-            self.stack[-1] = ("template", len(self.nodes) - 1)
-        self.hidden += self.stack[-1][0] in _HIDDEN
+        self._push("template" if hidden else tag, len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do; the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            own = self.stack[k][0]
-            if own == tag or (own == "template" and self.stack[k][1] >= 0 and tag not in _INLINE):
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if tag in _INLINE and self.stack[k][1] >= 0:
-                return  # a stray end of an inline element doesn't reach beyond its block
+        places = self.places.get(tag)
+        place = places[-1] if places else -1
+        box = self.boxes[-1] if self.boxes else -1
+        if tag in _INLINE or tag in _HIDDEN and place != box:
+            if place > box:  # a stray end of an element in a line doesn't reach beyond its block
+                self._pop_to(place)
+            return
+        # A hidden block is known as a template and ends with any block around its end tag.
+        covered = self.places.get("template")
+        if covered and covered[-1] == box:
+            place = max(place, box)
+        if place >= 0:
+            self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -166,37 +204,65 @@ class Page(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def features(page: Page) -> np.ndarray:
-    """A row for each element."""
+def features(page: Page, forgiven: frozenset[int] = frozenset()) -> np.ndarray:
+    """A row for each element; the ``forgiven`` count as content whatever the words of their class."""
     out = np.zeros((len(page.nodes), len(FEATURES)))
     bad = np.zeros((len(page.nodes), 2))
     first = len(_TAGS) + len(_KINDS)
     for i, node in enumerate(page.nodes):
         out[i, _TAGS.index(node.tag)] = 1
-        for kind in node.kinds:
+        kinds = node.kinds if i not in forgiven else frozenset({"content"})
+        for kind in kinds:
             out[i, len(_TAGS) + _KINDS.index(kind)] = 1
         share = node.linked / node.chars if node.chars else 0.0
         above = bad[node.parent] if node.parent >= 0 else np.zeros(2)
         # An element, or the nearest element around it, that says what it is.
-        wrong = bool(node.kinds - {"content"}) and node.kinds != {"content", "head"} or node.tag in ("nav", "footer", "aside", "form")
-        right = node.kinds == {"content"} or node.tag in ("article", "main")
+        wrong = bool(kinds - {"content"}) and kinds != {"content", "head"} or node.tag in ("nav", "footer", "aside", "form")
+        right = kinds == {"content"} or node.tag in ("article", "main")
         bad[i] = (1, 0) if wrong else (0, 1) if right else above
         out[i, first:first + 7] = (share, node.chars < 40, node.chars > 200, min(1.0, 20 * node.marks / max(node.chars, 1)), node.chars == 0, *bad[i])
     out[:, -1] = 1
     return out
 
 
+def _outweighed(page: Page, empty: bool) -> frozenset[int]:
+    """Elements whose text says more than the words of their class.
+
+    The only article or main element of a page that holds at least half of its unlinked text; and, if nothing else was found, an element
+    around at least half of it with two whole sentences, unless one around it or within it speaks against it as well.
+    """
+    free = [node.chars - node.linked for node in page.nodes]
+    bad = [bool(node.kinds - {"content"}) or node.tag in ("nav", "footer", "aside", "form") for node in page.nodes]
+    found = set()
+    for tag in ("article", "main"):
+        own = [i for i, node in enumerate(page.nodes) if node.tag == tag]
+        found |= {i for i in own if len(own) == 1 and bad[i] and 2 * free[i] >= free[0] > 0}
+    if empty and not found:
+        heavy = [i for i, node in enumerate(page.nodes) if i and bad[i] and node.tag not in ("nav", "footer", "aside", "form") and 2 * free[i] >= free[0] > 0 and node.marks >= 2]
+        if len(heavy) == 1 and not any(bad[i] for i in _below(page, heavy[0])):
+            found.update(heavy)
+    return frozenset(found)
+
+
+def _below(page: Page, top: int) -> list[int]:
+    inside = {top}
+    for i, node in enumerate(page.nodes):
+        if node.parent in inside:
+            inside.add(i)
+    return sorted(inside - {top})
+
+
 class Model(NamedTuple):
     """Weights of an element's features, and the log potential of (parent, child) values: 0 is not content, 1 is."""
 
     weights: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, page: Page) -> np.ndarray:
+    def marginals(self, page: Page, forgiven: frozenset[int] = frozenset()) -> np.ndarray:
         """P(content) of every element: messages upward from the leaves, then downward from the root."""
         n = len(page.nodes)
         own = np.zeros((n, 2))
-        own[:, 1] = features(page) @ self.weights
+        own[:, 1] = features(page, forgiven) @ self.weights
         up, total = np.zeros((n, 2)), own.copy()
         for i in range(n - 1, 0, -1):
             up[i] = np.logaddexp(self.pair[:, 0] + total[i, 0], self.pair[:, 1] + total[i, 1])
@@ -211,9 +277,15 @@ class Model(NamedTuple):
         if not html:
             return ""
         page = Page(html)
-        content = self.marginals(page)
-        blocks = sorted(b for node, p in zip(page.nodes, content) if p > 0.5 for b in node.blocks)
-        return "\n".join(text for _, text in blocks)
+        forgiven = _outweighed(page, empty=False)
+        blocks = self._blocks(page, forgiven)
+        if not blocks and (more := _outweighed(page, empty=True)) - forgiven:
+            blocks = self._blocks(page, more)
+        return SEPARATOR.join(text for _, text in blocks)
+
+    def _blocks(self, page: Page, forgiven: frozenset[int]) -> list[tuple[int, str]]:
+        content = self.marginals(page, forgiven)
+        return sorted(b for node, p in zip(page.nodes, content) if p > 0.5 for b in node.blocks)
 
 
 def start_model() -> Model:
