@@ -1,8 +1,8 @@
 """Byte-level BPE over global distinct words.
 
 Texts are cut into pre-tokens. Every block of documents sends each of its distinct pre-tokens once, with its count, into
-one global shuffle; the ``dictionary`` most frequent are encoded once each and their ids joined back by word hash from a
-broadcast table, whose size is bounded by that parameter. A pre-token beyond the dictionary is encoded where it stands,
+one global shuffle; the ``dictionary`` most frequent are encoded once each and their ids joined back from a broadcast table, whose size
+is bounded by that parameter. Words are found by hash and compared by their bytes. A pre-token beyond the dictionary is encoded where it stands,
 once for each block of documents. Ids are reassembled by position. Decoding joins the token-byte table to the ids.
 
 Why positions do not travel: one row for each pre-token with its position is four times the input in shuffle files. With
@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import binary_array, chunks, gathered, most_frequent, prefix_hash, span_hash
+from fingerloom.llm.common import SpanTable, binary_array, chunks, distinct_spans, gathered, most_frequent
 from fingerloom.session import materialized
 
 DICTIONARY = 1 << 19
@@ -142,8 +142,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds, _ = pre_tokens(data, offsets)
             if len(bounds) < 2:
                 continue
-            hashes = span_hash(prefix_hash(data), bounds[:-1], bounds[1:])
-            _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+            first, inverse, _ = distinct_spans(data, bounds[:-1], bounds[1:])
+            counts = np.bincount(inverse, minlength=len(first)).astype(np.int64)
             cut, ofs = gathered(data, bounds[first], bounds[first + 1] - bounds[first])
             yield pa.RecordBatch.from_arrays([binary_array(cut, ofs), pa.array(counts, pa.int64())], names=["word", "n"])
 
@@ -158,10 +158,8 @@ def _encode_words(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            data, ofs = _words(batch.column("word"))
-            hashes = span_hash(prefix_hash(data), ofs[:-1], ofs[1:]) if len(data) else np.zeros(0, np.uint64)
             ids = [np.array(own.encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), pa.array(ids, pa.binary())], names=["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
     return run
 
 
@@ -172,29 +170,25 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def dictionary(counts: DataFrame, path: str, pattern: str, size: int = DICTIONARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (sorted), ids and offsets of the ``size`` most frequent words, each encoded once; at most ``size`` rows reach the driver."""
+def dictionary(counts: DataFrame, path: str, pattern: str, size: int = DICTIONARY) -> tuple[SpanTable, np.ndarray, np.ndarray]:
+    """The ``size`` most frequent words, each encoded once: a table of them, their ids and offsets; at most ``size`` rows reach the driver."""
     counts = materialized(counts, "bpe-words")
     frequent = most_frequent(counts, size).select("word").repartition(counts.sparkSession.sparkContext.defaultParallelism)
-    rows = frequent.mapInArrow(_encode_words(path, pattern), "hash bigint, ids binary").toArrow()
-    hashes = rows.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    column = rows.column("ids")
-    data, ofs = _words(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary()))
-    ids, ofs = gathered(data.view("<u4"), ofs[:-1][order] // 4, np.diff(ofs)[order] // 4)
-    return hashes[order], ids, ofs
+    rows = frequent.mapInArrow(_encode_words(path, pattern), "word binary, ids binary").toArrow()
+    whole = lambda c: _words(pa.concat_arrays(rows.column(c).chunks) if rows.column(c).num_chunks else pa.array([], pa.binary()))
+    data, ofs = whole("ids")
+    return SpanTable(*whole("word")), data.view("<u4"), ofs // 4
 
 
-def encoded_block(data: np.ndarray, offsets: np.ndarray, own: Tokenizer, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def encoded_block(data: np.ndarray, offsets: np.ndarray, own: Tokenizer, table: tuple[SpanTable, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a block of texts, and each text's offsets in them."""
     bounds, first = pre_tokens(data, offsets)
     if len(bounds) < 2:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    known, known_ids, known_offsets = table
-    hashes = span_hash(prefix_hash(data), bounds[:-1], bounds[1:])
-    distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    place = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-    found = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
+    words, known_ids, known_offsets = table
+    at, inverse, distinct = distinct_spans(data, bounds[:-1], bounds[1:])
+    place = words.find(data, bounds[at], bounds[at + 1], distinct)
+    found = place >= 0
     rest = [own.encode(data[bounds[i]: bounds[i + 1]].tobytes()) for i in at[~found]]
     ids = np.concatenate([known_ids.astype(np.int64), np.array([t for r in rest for t in r], np.int64)])
     lengths, starts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,7 @@ def word_bounds(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends
 
 
+#: The polynomial hash below lets any span of a text be hashed at once, which suffixes need; words use :func:`word_hash`.
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash factor and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS["up"]) < n:
@@ -108,6 +110,85 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond this many bytes are handled one by one.
+_LONG = 256
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number; a copy of ``data`` with eight bytes more stands behind it."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, eight bytes at a time. Equal bytes have equal hashes; :func:`differing` tells whether equal hashes are equal bytes."""
+    lengths = ends - starts
+    out = mixed(lengths.astype(np.uint64) + _MIX)
+    lanes, own, at = _lanes(data), np.flatnonzero(lengths <= _LONG), 0
+    while len(own := own[lengths[own] > at]):
+        value = lanes[starts[own] + at] & _MASKS[np.minimum(lengths[own] - at, 8)]
+        out[own] = mixed((out[own] ^ value) * _FACTOR + _MIX)
+        at += 8
+    for i in np.flatnonzero(lengths > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].tobytes())
+    return out
+
+
+def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span's bytes differ from those of the other span."""
+    lengths = ends - starts
+    out = lengths != other_ends - other_starts
+    a, b, at = _lanes(data), _lanes(other) if other is not data else None, 0
+    b = a if b is None else b
+    own = np.flatnonzero(~out & (lengths <= _LONG))
+    while len(own := own[lengths[own] > at]):
+        unlike = ((a[starts[own] + at] ^ b[other_starts[own] + at]) & _MASKS[np.minimum(lengths[own] - at, 8)]) != 0
+        out[own[unlike]] = True
+        own = own[~unlike]
+        at += 8
+    for i in np.flatnonzero(~out & (lengths > _LONG)):
+        out[i] = not np.array_equal(data[starts[i]:ends[i]], other[other_starts[i]:other_ends[i]])
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a span of each distinct content, each span's number among them, their hashes). Contents of equal hash are told apart by their bytes."""
+    hashes = word_hash(data, starts, ends)
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[inverse]
+    wrong = np.flatnonzero(differing(data, starts, ends, data, starts[like], ends[like]))
+    if len(wrong):
+        more: dict[bytes, int] = {}
+        for i in wrong:
+            inverse[i] = more.setdefault(data[starts[i]:ends[i]].tobytes(), len(first) + len(more))
+        first = np.concatenate([first, wrong[np.unique(inverse[wrong], return_index=True)[1]]])
+    return first, inverse, hashes[first]
+
+
+class SpanTable:
+    """Distinct words in one buffer, found by hash and compared by bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        hashes = word_hash(data, offsets[:-1], offsets[1:])
+        self.data, self.offsets, self.order = data, offsets, np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of the equal word for each span, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.searchsorted(self.hashes, hashes)
+        left = np.flatnonzero(at < len(self.hashes))
+        while len(left := left[self.hashes[at[left]] == hashes[left]]):
+            number = self.order[at[left]]
+            unlike = differing(data, starts[left], ends[left], self.data, self.offsets[number], self.offsets[number + 1])
+            out[left[~unlike]] = number[~unlike]
+            at[left] += 1  # another word of the same hash may follow
+            left = left[unlike & (at[left] < len(self.hashes))]
+        return out
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans of ``data`` one after another, and their offsets."""
     offsets = np.zeros(len(starts) + 1, np.int64)

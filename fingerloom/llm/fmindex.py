@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import CHUNK_BYTES, chunks, gathered, prefix_hash, span_hash, word_bounds
+from fingerloom.llm.common import CHUNK_BYTES, SpanTable, chunks, distinct_spans, gathered, word_bounds, word_hash
 from fingerloom.session import materialized
 
 WINDOW = 13
@@ -44,17 +44,16 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         text = pa.array([t or "" for _, t in items], pa.large_string())
-        hashes, words, seen = [], [], defaultdict(set)
-        for first, _, data, offsets in chunks(text, 1 << 62):
+        seen, bounds, symbols = defaultdict(set), np.zeros(len(items) + 1, np.int64), np.zeros(0, np.int64)
+        words, limits = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        for _, _, data, offsets in chunks(text, 1 << 62):
             data = _LOWER[data]
             starts, ends = word_bounds(_WORD[data], offsets)
-            hashes.append(span_hash(prefix_hash(data), starts, ends))
-            words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
-            bounds = np.searchsorted(starts, offsets)
-        self.hashes, first, inverse = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64),
-                                                return_index=True, return_inverse=True)
-        self.words = [words[i] for i in first]
-        symbols = inverse + 1
+            first, inverse, _ = distinct_spans(data, starts, ends)
+            words, limits = gathered(data, starts[first], ends[first] - starts[first])
+            bounds, symbols = np.searchsorted(starts, offsets), inverse + 1
+        #: The words of the phrases; a word's symbol is its number in the table plus one.
+        self.table, self.size = SpanTable(words, limits), len(limits) - 1
         for k, (item, _) in enumerate(items):
             row = symbols[bounds[k]: bounds[k + 1]]
             for at in range(max(1, len(row) - window + 1) if len(row) else 0):
@@ -145,9 +144,8 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple
     spans, items = [(np.zeros(0, np.int64),) * 2] * len(n), [set() for _ in n]
     if not phrases.shortest or not len(starts):
         return n, spans, items
-    hashes = span_hash(prefix_hash(data), starts, ends)
-    at = np.minimum(np.searchsorted(phrases.hashes, hashes), len(phrases.hashes) - 1)
-    known = phrases.hashes[at] == hashes
+    at = phrases.table.find(data, starts, ends, word_hash(data, starts, ends))
+    known = at >= 0
     run_starts, run_ends = word_bounds(known, bounds)
     long = run_ends - run_starts >= phrases.shortest
     run_starts, lengths = run_starts[long], (run_ends - run_starts)[long]
@@ -160,18 +158,15 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple
     symbols[place] = at[word] + 1
     number = np.full(len(symbols), -1)
     number[place] = word
-    index = FMIndex(symbols, len(phrases.hashes) + 1)
+    index = FMIndex(symbols, phrases.size + 1)
     doc_of = np.repeat(np.arange(len(n)), n)
     opened = np.zeros(len(starts) + 1, np.int64)
     for length, rows, owners in phrases.groups:
         found, first, end = index.search(rows)
         counts = end - first
         hits = number[index.locate(gathered(np.arange(index.n), first, counts)[0])] if len(found) else np.zeros(0, np.int64)
-        # An exact check of the words behind the hashes, on one occurrence of each phrase at a time.
+        # Symbols stand for words whose bytes were compared, so an occurrence of the symbols is one of the words.
         for phrase, own in zip(found, np.split(hits, np.cumsum(counts)[:-1])):
-            wanted = b" ".join(phrases.words[s - 1] for s in rows[phrase])
-            good = np.array([b" ".join(data[a:b].tobytes() for a, b in zip(starts[h:h + length], ends[h:h + length])) == wanted for h in own], bool)
-            own = own[good]
             np.add.at(opened, own, 1)
             np.add.at(opened, own + length, -1)
             for d in np.unique(doc_of[own]):

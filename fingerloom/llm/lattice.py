@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import binary_array, chunks, gathered, most_frequent, prefix_hash, span_hash, word_bounds
+from fingerloom.llm.common import SpanTable, binary_array, chunks, distinct_spans, gathered, most_frequent, word_bounds
 from fingerloom.session import materialized
 
 FREQUENT = 1 << 19
@@ -164,9 +164,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = word_bounds(_WORD[data], offsets)
             if not len(starts):
                 continue
-            hashes = span_hash(prefix_hash(data), starts, ends)
+            first, inverse, _ = distinct_spans(data, starts, ends)
             trains = ~np.repeat(held[row:end], np.diff(np.searchsorted(starts, offsets)))
-            _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             counts = np.bincount(inverse, trains, len(first)).astype(np.int64)
             cut, ofs = gathered(data, starts[first], ends[first] - starts[first])
             yield pa.RecordBatch.from_arrays([binary_array(cut, ofs), pa.array(counts)], names=["word", "c"])
@@ -222,14 +221,14 @@ def _scored(shared):
                 bounds = np.searchsorted(starts, offsets)
                 n = end - row
                 text = np.repeat(np.arange(n), np.diff(bounds))
-                hashes = span_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+                some, number, hashes = distinct_spans(data, starts, ends)
+                at = known.find(data, starts[some], ends[some], hashes)[number] if len(starts) else np.zeros(0, np.int64)
+                found = at >= 0
                 sums = [np.bincount(text[found], values[at[found]], n).astype(float) for values in (base, logp, trained)]
                 rest = np.flatnonzero(~found)
                 # One entry for each text and distinct word.
-                pair, first, counts = np.unique(np.stack([text[rest].astype(np.uint64), hashes[rest]]), axis=1, return_index=True, return_counts=True) \
-                    if len(rest) else (np.zeros((2, 0), np.uint64), rest, rest)
+                pair, first, counts = np.unique(np.stack([text[rest], number[rest]]), axis=1, return_index=True, return_counts=True) \
+                    if len(rest) else (np.zeros((2, 0), np.int64), rest, rest)
                 own = rest[first]
                 cut, ofs = gathered(data, starts[own], ends[own] - starts[own])
                 limits = np.searchsorted(pair[0], np.arange(n + 1))
@@ -241,17 +240,15 @@ def _scored(shared):
     return run
 
 
-def _table(rows: pa.Table, n: int, v: int) -> tuple[np.ndarray, ...]:
-    """Word hashes (sorted), and their base score, log marginal and whether training rows hold them."""
+def _table(rows: pa.Table, n: int, v: int) -> tuple[SpanTable, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, and their base score, log marginal and whether training rows hold them."""
     column = rows.column("word").combine_chunks().cast(pa.large_binary())
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
-    hashes = span_hash(prefix_hash(data), offsets[:-1], offsets[1:]) if len(rows) else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    counts = rows.column("c").to_numpy()[order]
-    return hashes[order], np.log10((counts + 1) / (n + v + 1)), rows.column("logp").to_numpy()[order], (counts > 0).astype(float)
+    counts = rows.column("c").to_numpy()
+    return SpanTable(data, offsets), np.log10((counts + 1) / (n + v + 1)), rows.column("logp").to_numpy(), (counts > 0).astype(float)
 
 
 def score(docs: DataFrame, held_out: F.Column, path: str, *, keep: list[str], text: str = "text", frequent: int = FREQUENT,

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import bounded_sample, chunks, mixed, prefix_hash, span_hash, word_bounds
+from fingerloom.llm.common import bounded_sample, chunks, mixed, word_bounds, word_hash
+from fingerloom.session import materialized
 
 MAX_ROWS = 20_000
 FEATURES = 4096
@@ -57,40 +58,48 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A column of hashes for the whole word, and one for each prefix length; 0 where the word is no longer than that."""
-    sums = prefix_hash(data)
-    out = [span_hash(sums, starts, ends)]
+    out = [word_hash(data, starts, ends)]
     for k in PREFIXES:
-        hashes = mixed(span_hash(sums, starts, np.minimum(starts + k, ends)) + np.uint64(k))
+        hashes = mixed(word_hash(data, starts, np.minimum(starts + k, ends)) + np.uint64(k))
         out.append(np.where(ends - starts > k, hashes, np.uint64(0)))
     return np.stack(out, axis=1)
 
 
-def _of_words(words: list[str]) -> np.ndarray:
+def _hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
-    return _word_features(data, np.concatenate([[0], ends[:-1]]), ends)
+    return word_hash(data, np.concatenate([[0], ends[:-1]]), ends)
 
 
 def _swaps() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the identity terms (sorted), and the features of the term that each is swapped for."""
+    """Hashes of the identity terms (sorted), and of the term that each is swapped for."""
     pairs = [(a, b) for row in IDENTITY for a, b in zip(row, row[1:] + row[:1])]
-    own, other = _of_words([a for a, _ in pairs])[:, 0], _of_words([b for _, b in pairs])
+    own, other = _hashes([a for a, _ in pairs]), _hashes([b for _, b in pairs])
     order = np.argsort(own)
     return own[order], other[order]
 
 
+def identity_features() -> np.ndarray:
+    """The features of the identity terms, and so of what they are swapped for."""
+    return np.unique(_hashes([term for row in IDENTITY for term in row]))
+
+
 def text_features(data: np.ndarray, offsets: np.ndarray, swapped: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature hash) of every text's distinct features, sorted; of the counterfactual text if ``swapped``."""
+    """(text number, feature hash) of every text's distinct features, sorted; of the counterfactual text if ``swapped``.
+
+    An identity term is one feature. It has no first characters, which other words share and a swap would leave in part.
+    """
     data = _LOWER[data]
     starts, ends = word_bounds(_WORD[data], offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     found = _word_features(data, starts, ends)
+    terms, others = _swaps()
+    at = np.minimum(np.searchsorted(terms, found[:, 0]), len(terms) - 1)
+    hit = terms[at] == found[:, 0]
+    found[hit, 1:] = 0
     if swapped:
-        terms, others = _swaps()
-        at = np.minimum(np.searchsorted(terms, found[:, 0]), len(terms) - 1)
-        hit = terms[at] == found[:, 0]
-        found[hit] = others[at[hit]]
+        found[hit, 0] = others[at[hit]]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     text, found = np.repeat(text, found.shape[1]), found.ravel()
     some = found != 0
@@ -149,10 +158,11 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(sums + self.intercept, -50, 50)))
 
 
-def _rows(column) -> tuple[np.ndarray, np.ndarray, int]:
-    lists = column.to_pylist()
-    lengths = np.array([len(x) for x in lists], np.int64)
-    return np.repeat(np.arange(len(lists)), lengths), np.array([v for x in lists for v in x], np.int64), len(lists)
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, feature number) of every entry of a list column, and the number of rows."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int32()))
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(lists)
 
 
 def fit_weights(own, other, toxic: np.ndarray, size: int, *, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -175,7 +185,11 @@ def fit_weights(own, other, toxic: np.ndarray, size: int, *, penalty: float = PE
 
 
 def fit(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
-    """Fit to (text, toxic) rows, which the caller has bounded."""
+    """Fit to (text, toxic) rows, which the caller has bounded.
+
+    The features are those that part the classes best, and always those of the identity terms: what a text says of whom it mentions must be
+    in the model for the penalty to take it out.
+    """
     spark = labelled.sparkSession
     labelled = labelled.select("text", "toxic")
     n, bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -192,7 +206,7 @@ def fit(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PENAL
     worth = 2 * (part(F.col("bad"), share) + part(good, 1 - share))
     more = F.col("bad") > share * F.col("n")  # what clean texts hold more often says what they are about, not how
     top = counted.where(more & (F.col("n") >= MIN_TEXTS) & (worth >= MIN_RATIO)).orderBy(F.desc(worth), "feature").limit(features).select("feature").collect()
-    chosen = np.sort(np.array([r.feature for r in top], np.int64).view(np.uint64))
+    chosen = np.union1d(np.array([r.feature for r in top], np.int64).view(np.uint64), identity_features())
     rows = labelled.mapInArrow(_vectors(spark.sparkContext.broadcast(chosen)), "toxic int, own array<int>, other array<int>").toArrow()
     w, b = fit_weights(_rows(rows.column("own")), _rows(rows.column("other")), rows.column("toxic").to_numpy(), len(chosen), penalty=penalty, ridge=ridge)
     return Model(chosen, w, b)
@@ -207,11 +221,18 @@ def _scored(shared):
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most ``max_rows`` labelled texts; the chosen ids are what is broadcast, so its size is bounded."""
+    """At most ``max_rows`` labelled texts, each once for each label, stored in the shared folder.
+
+    The chosen ids are what is broadcast, so its size is bounded; if ids repeat so often that they bring more texts, those are chosen by their hash.
+    """
     marks = labels.where(F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{id_column}`").alias("mark_id"), F.col(f"`{label}`").cast("int").alias("toxic"))
-    chosen = bounded_sample(marks.where("mark_id is not null"), max_rows, F.xxhash64("mark_id", "toxic"))
-    df = docs.select(F.col(f"`{id_column}`").alias("own_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return df.join(F.broadcast(chosen), F.col("own_id") == F.col("mark_id")).select("text", "toxic")
+    chosen = bounded_sample(marks.where("mark_id is not null").distinct(), max_rows, F.xxhash64("mark_id", "toxic"))
+    df = docs.select(F.col(f"`{id_column}`").alias("own_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    joined = df.join(F.broadcast(chosen), F.col("own_id") == F.col("mark_id")).select("text", "toxic", F.xxhash64("text", "toxic").alias("h"))
+    stored = materialized(joined.dropDuplicates(["h"]), "toxic-sample")
+    if stored.count() > max_rows:
+        stored = stored.join(F.broadcast(bounded_sample(stored.select("h"), max_rows, F.col("h"))), "h", "left_semi")
+    return stored.select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text") -> DataFrame:

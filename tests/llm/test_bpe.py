@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fingerloom.llm import bpe
-from fingerloom.llm.common import buffers
+from fingerloom.llm.common import SpanTable, buffers
 from fingerloom.llm.queries import QUERIES, byte_bpe
 from llm_helpers import docs, words
 
@@ -44,7 +44,7 @@ def test_all_characters_alone(reference):
     text = "".join(f"a{c}1{c} {c}{c}b" for c in points)
     own = bpe.tokenizer(*byte_bpe())
     data, offsets = buffers(pa.array([text], pa.large_string()))
-    ids, _ = bpe.encoded_block(data, offsets, own, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)))
+    ids, _ = bpe.encoded_block(data, offsets, own, (SpanTable(np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, np.int64), np.zeros(1, np.int64)))
     assert ids.tolist() == reference.encode_ordinary(text)
 
 

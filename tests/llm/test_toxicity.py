@@ -96,3 +96,41 @@ def test_query_finds_held_out_toxic_texts(spark):
     held = [(got[d].predicted, t) for d, t in marks.items() if d in got and got[d].held_out]
     assert sum(p for p, t in held if t) >= 0.7 * sum(t for _, t in held)
     assert sum(p for p, t in held if not t) <= 0.02 * len(held)
+
+
+def test_the_penalty_acts_in_the_query(spark):
+    """On the query's own features: swaps move scores without the penalty and hardly with it, and neutral mentions stay clean."""
+    from pyspark.sql import functions as F
+
+    from fingerloom.llm.common import crc_split
+
+    sf = "/root/testdata/sf0.01"
+    frame, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sampled = toxicity.sample(frame, labels.where(crc_split(F.col("doc_id"), 3) != 1))
+    plain, fair = toxicity.fit(sampled, penalty=0.0), toxicity.fit(sampled)
+    assert plain.features.tolist() == fair.features.tolist() and set(toxicity.identity_features()) <= set(fair.features)
+    assert np.abs(plain.weights - fair.weights).max() > 0.1
+    held = [r.text for r in frame.where(crc_split(F.col("doc_id"), 3) == 1).select("text").collect() if r.text]
+    data, offsets = buffers(pa.array(held, pa.large_string()))
+
+    def change(model):
+        sums = []
+        for swapped in (False, True):
+            text, found = toxicity.text_features(data, offsets, swapped)
+            hit, number = toxicity._known(found, model.features)
+            sums.append(np.bincount(text[hit], model.weights[number], len(held)))
+        return np.abs(sums[0] - sums[1]).mean()
+    assert change(plain) > 0.1 and change(fair) < 0.05 * change(plain)
+    terms = [t for row in toxicity.IDENTITY for t in row]
+    neutral = [f"we met a {t} neighbour, and {t} friends" for t in terms]
+    wrong = lambda m: int((score(m, *neutral) >= toxicity.THRESHOLD).sum())
+    assert wrong(fair) <= wrong(plain) and wrong(fair) == 0
+
+
+def test_ids_that_repeat_do_not_pass_the_bound(spark):
+    frame = docs(spark, [f"text {i} of it" for i in range(500)], [1] * 500)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id bigint, toxic int")
+    assert toxicity.sample(frame, labels, max_rows=50).count() <= 50
+    assert toxicity.sample(frame.limit(0), labels).count() == 0
+    copies = docs(spark, ["the same text"] * 500, [1] * 500)
+    assert sorted(r.toxic for r in toxicity.sample(copies, labels).collect()) == [0, 1]
