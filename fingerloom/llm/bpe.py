@@ -200,58 +200,89 @@ def encoded_block(data: np.ndarray, offsets: np.ndarray, own: Tokenizer, table:
     return out, ofs[first]
 
 
-def _encode(path: str, pattern: str, shared):
+def _with_digests(row: pa.Array, ids: np.ndarray, ofs: np.ndarray, own: Tokenizer, with_ids: bool) -> pa.RecordBatch:
+    """Rows with their number of ids, the digests of the ids and of what they decode to, and the ids if wanted."""
+    data, at = own.decode(ids, ofs)
+    raw = ids.astype("<u4")
+    lists = [pa.ListArray.from_arrays(pa.array(ofs, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
+    return pa.RecordBatch.from_arrays([
+        row, pa.array(np.diff(ofs), pa.int64()),
+        pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ofs[:-1], ofs[1:])], pa.string()),
+        pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
+        *lists,
+    ], names=["row", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+
+def _encode(path: str, pattern: str, shared, digests: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = tokenizer(path, pattern), shared.value
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column("text")):
                 ids, ofs = encoded_block(data, offsets, own, table)
-                values = pa.ListArray.from_arrays(pa.array(ofs, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, end - row), values], names=["row", "ids"])
+                part = batch.column("row").slice(row, end - row)
+                if digests:
+                    yield _with_digests(part, ids, ofs, own, with_ids)
+                else:
+                    yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(pa.array(ofs, pa.int32()), pa.array(ids, pa.int32()))], names=["row", "ids"])
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, keep: list[str], text: str = "text", size: int = DICTIONARY) -> DataFrame:
-    """``row`` (struct of the kept columns) and ``ids`` of every text."""
+def _encoded(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str, size: int, digests: bool, with_ids: bool) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionary(word_counts(docs, text), path, pattern, size))
     df = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    return df.mapInArrow(_encode(path, pattern, shared), f"row {df.schema['row'].dataType.simpleString()}, ids array<int>")
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids if digests else "ids array<int>"
+    return df.mapInArrow(_encode(path, pattern, shared, digests, with_ids), f"row {df.schema['row'].dataType.simpleString()}, {fields}")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, keep: list[str], text: str = "text", size: int = DICTIONARY) -> DataFrame:
+    """``row`` (struct of the kept columns) and ``ids`` of every text."""
+    return _encoded(docs, path, pattern, keep, text, size, False, True)
+
+
+def encode_and_check(docs: DataFrame, path: str, pattern: str, *, keep: list[str], text: str = "text", size: int = DICTIONARY, with_ids: bool = False) -> DataFrame:
+    """``row``, number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the bytes they decode to, and the ids if wanted.
+
+    The ids are decoded in the task that has them, so they need not travel for it.
+    """
+    return _encoded(docs, path, pattern, keep, text, size, True, with_ids)
+
+
+def _id_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, offsets) of about a million ids at a time."""
+    limits = column.offsets.to_numpy().astype(np.int64)
+    row, n = 0, len(column)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(limits, limits[row] + (1 << 20), "right")) - 1)
+        yield row, end, column.slice(row, end - row).flatten().to_numpy(zero_copy_only=False).astype(np.int64), limits[row: end + 1] - limits[row]
+        row = end
 
 
-def _decode(path: str, pattern: str, digests: bool, with_ids: bool = False):
+def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            column = batch.column("ids")
-            limits = column.offsets.to_numpy().astype(np.int64)
-            row, n = 0, len(column)
-            while row < n:  # about a million ids at a time
-                end = max(row + 1, int(np.searchsorted(limits, limits[row] + (1 << 20), "right")) - 1)
-                part = column.slice(row, end - row)
-                ids, ofs = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), limits[row: end + 1] - limits[row]
+            for row, end, ids, ofs in _id_blocks(batch.column("ids")):
                 data, at = own.decode(ids, ofs)
-                own_row = batch.column("row").slice(row, end - row)
-                if digests:
-                    raw, flat = ids.astype("<u4"), data
-                    yield pa.RecordBatch.from_arrays([
-                        own_row, pa.array(np.diff(ofs), pa.int64()),
-                        pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ofs[:-1], ofs[1:])], pa.string()),
-                        pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
-                        *[part] * with_ids,
-                    ], names=["row", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-                else:
-                    yield pa.RecordBatch.from_arrays([own_row, part, binary_array(data, at)], names=["row", "ids", "decoded"])
-                row = end
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, end - row), batch.column("ids").slice(row, end - row), binary_array(data, at)], names=["row", "ids", "decoded"])
     return run
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``row``, ``ids`` and the ``decoded`` bytes."""
-    return encoded.mapInArrow(_decode(path, pattern, False), f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return encoded.mapInArrow(_decode(path, pattern), f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+def _digested(path: str, pattern: str, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path, pattern)
+        for batch in batches:
+            for row, end, ids, ofs in _id_blocks(batch.column("ids")):
+                yield _with_digests(batch.column("row").slice(row, end - row), ids, ofs, own, with_ids)
+    return run
 
 
 def digests(encoded: DataFrame, path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
-    """``row``, number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes, and the ids if wanted."""
-    return encoded.mapInArrow(_decode(path, pattern, True, with_ids), f"row {encoded.schema['row'].dataType.simpleString()}, "
+    """What :func:`encode_and_check` gives, of texts that are encoded already."""
+    return encoded.mapInArrow(_digested(path, pattern, with_ids), f"row {encoded.schema['row'].dataType.simpleString()}, "
                               "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

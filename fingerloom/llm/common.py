@@ -115,18 +115,23 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 256
 
 
-def _lanes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes that begin at each byte, as one number; a copy of ``data`` with eight bytes more stands behind it."""
-    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+def padded(data: np.ndarray) -> bytes:
+    """A copy of ``data`` with eight bytes more, so that eight bytes can be read from each place."""
+    return np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
 
 
-def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def lanes(buffer: bytes) -> np.ndarray:
+    """The eight bytes that begin at each byte of a padded buffer, as one number; nothing is copied."""
+    return np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, own_lanes: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of spans, eight bytes at a time. Equal bytes have equal hashes; :func:`differing` tells whether equal hashes are equal bytes."""
     lengths = ends - starts
     out = mixed(lengths.astype(np.uint64) + _MIX)
-    lanes, own, at = _lanes(data), np.flatnonzero(lengths <= _LONG), 0
+    whole, own, at = lanes(padded(data)) if own_lanes is None else own_lanes, np.flatnonzero(lengths <= _LONG), 0
     while len(own := own[lengths[own] > at]):
-        value = lanes[starts[own] + at] & _MASKS[np.minimum(lengths[own] - at, 8)]
+        value = whole[starts[own] + at] & _MASKS[np.minimum(lengths[own] - at, 8)]
         out[own] = mixed((out[own] ^ value) * _FACTOR + _MIX)
         at += 8
     for i in np.flatnonzero(lengths > _LONG):
@@ -134,12 +139,11 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
-    """Whether each span's bytes differ from those of the other span."""
+def differing(buffer: bytes, starts: np.ndarray, ends: np.ndarray, other: bytes, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span's bytes differ from those of the other span; both are spans of padded buffers."""
     lengths = ends - starts
     out = lengths != other_ends - other_starts
-    a, b, at = _lanes(data), _lanes(other) if other is not data else None, 0
-    b = a if b is None else b
+    a, b, at = lanes(buffer), lanes(other), 0
     own = np.flatnonzero(~out & (lengths <= _LONG))
     while len(own := own[lengths[own] > at]):
         unlike = ((a[starts[own] + at] ^ b[other_starts[own] + at]) & _MASKS[np.minimum(lengths[own] - at, 8)]) != 0
@@ -147,16 +151,17 @@ def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.
         own = own[~unlike]
         at += 8
     for i in np.flatnonzero(~out & (lengths > _LONG)):
-        out[i] = not np.array_equal(data[starts[i]:ends[i]], other[other_starts[i]:other_ends[i]])
+        out[i] = buffer[starts[i]:ends[i]] != other[other_starts[i]:other_ends[i]]
     return out
 
 
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a span of each distinct content, each span's number among them, their hashes). Contents of equal hash are told apart by their bytes."""
-    hashes = word_hash(data, starts, ends)
+    buffer = padded(data)
+    hashes = word_hash(data, starts, ends, lanes(buffer))
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     like = first[inverse]
-    wrong = np.flatnonzero(differing(data, starts, ends, data, starts[like], ends[like]))
+    wrong = np.flatnonzero(differing(buffer, starts, ends, buffer, starts[like], ends[like]))
     if len(wrong):
         more: dict[bytes, int] = {}
         for i in wrong:
@@ -169,20 +174,21 @@ class SpanTable:
     """Distinct words in one buffer, found by hash and compared by bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        hashes = word_hash(data, offsets[:-1], offsets[1:])
-        self.data, self.offsets, self.order = data, offsets, np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
+        self.buffer, self.offsets = padded(data), offsets
+        hashes = word_hash(data, offsets[:-1], offsets[1:], lanes(self.buffer))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.order = hashes[order], order.astype(np.int32 if len(order) < 1 << 31 else np.int64)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of the equal word for each span, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         if not len(self.hashes):
             return out
-        at = np.searchsorted(self.hashes, hashes)
+        at, buffer = np.searchsorted(self.hashes, hashes), padded(data)
         left = np.flatnonzero(at < len(self.hashes))
         while len(left := left[self.hashes[at[left]] == hashes[left]]):
             number = self.order[at[left]]
-            unlike = differing(data, starts[left], ends[left], self.data, self.offsets[number], self.offsets[number + 1])
+            unlike = differing(buffer, starts[left], ends[left], self.buffer, self.offsets[number], self.offsets[number + 1])
             out[left[~unlike]] = number[~unlike]
             at[left] += 1  # another word of the same hash may follow
             left = left[unlike & (at[left] < len(self.hashes))]

@@ -93,8 +93,8 @@ def byte_bpe() -> tuple[str, str]:
 
 @query("op6_byte_level_bpe")
 def op6(spark, sf_dir):
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), *byte_bpe(), keep=["doc_id"])
-    return bpe.digests(encoded, *byte_bpe()).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    found = bpe.encode_and_check(table(spark, sf_dir, "documents"), *byte_bpe(), keep=["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op4_lm_scoring")
