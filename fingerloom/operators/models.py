@@ -8,16 +8,16 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
+from fingerloom.operators import boosting
 from fingerloom.operators.scoring import fit_scaler
+from fingerloom.operators.trees import PackedTrees, packed_forest, with_probabilities
 from fingerloom.schema import FEATURES, TARGET
 from fingerloom.session import materialized
 
@@ -68,27 +68,22 @@ def _classifier(algorithm: str, n_rows: int, n_classes: int, seed: int):
         return LogisticRegression(
             maxIter=2000, tol=1e-8, regParam=1.0 / n_rows, elasticNetParam=0.0, standardization=False,
             probabilityCol="_probability", rawPredictionCol="_raw", **columns)
-    if algorithm == FOREST:
-        return RandomForestClassifier(
-            numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed, maxBins=64,
-            probabilityCol="_probability", rawPredictionCol="_raw", maxMemoryInMB=1024, **columns)
-    boosted = GBTClassifier(
-        maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-        maxBins=64, maxMemoryInMB=1024)
-    return OneVsRest(classifier=boosted, parallelism=n_classes, **columns)
+    return RandomForestClassifier(
+        numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed, maxBins=64,
+        probabilityCol="_probability", rawPredictionCol="_raw", maxMemoryInMB=1024, **columns)
 
 
 def fit_pipeline(algorithm: str, df: DataFrame, classes: Sequence[str], *, label: str = TARGET,
                  features: Sequence[str] = FEATURES, seed: int = 42) -> PipelineModel:
-    """Scaler and classifier fitted on ``df``; the scaler is a SQL stage with the population moments."""
+    """A pipeline fitted on ``df``. The linear model has a scaler, a SQL stage with the population moments; trees need none."""
     parse_algorithms([algorithm])
-    scaler = fit_scaler(df, features)
+    if algorithm == BOOSTED:
+        return PipelineModel([boosting.fit(df, classes, label=label, features=features, settings=boosting.Settings(seed=seed)).model])
     n_rows = df.count()
-    scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `_z_{c}`" for c, (m, s) in scaler.items())
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_features"),
-    ]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_features")]
+    if algorithm == LOGISTIC:
+        scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `_z_{c}`" for c, (m, s) in fit_scaler(df, features).items())
+        stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_features")]
     prepared = df.withColumn("_label", S.encode_label(F.col(label), classes).cast("double"))
     for stage in stages:
         prepared = stage.transform(prepared)
@@ -101,27 +96,15 @@ def fit_pipeline(algorithm: str, df: DataFrame, classes: Sequence[str], *, label
 
 
 def score(df: DataFrame, model: PipelineModel, classes: Sequence[str]) -> DataFrame:
-    """``df`` with ``prediction``, ``confidence`` and ``probabilities``.
-
-    One-vs-rest boosting has margins only: its probabilities are the normalised logistic of twice
-    the margin of each class.
-    """
+    """``df`` with ``prediction``, ``confidence`` and ``probabilities``; tree ensembles run as packed node tables."""
     fitted = model.stages[-1]
-    scored = df
-    if isinstance(fitted, OneVsRestModel):
-        for stage in model.stages[:-1]:
-            scored = stage.transform(scored)
-        margins = []
-        for i, member in enumerate(fitted.models):
-            member = member.copy().setRawPredictionCol(f"_raw{i}").setPredictionCol("").setProbabilityCol("")
-            scored = member.transform(scored)
-            margins.append(F.get(vector_to_array(f"_raw{i}"), F.lit(1)))
-        scored = scored.withColumn("_votes", F.array(*[1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins]))
-        scored = scored.withColumn("_total", F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b))
-        probabilities = F.transform("_votes", lambda v: v / F.col("_total"))
+    if isinstance(fitted, PackedTrees):
+        scored, probabilities = fitted.transform(df), F.col("_probability")
+    elif isinstance(fitted, RandomForestClassificationModel):
+        scored = with_probabilities(df, packed_forest(fitted, df.sparkSession), model.stages[-2].getInputCols())
+        probabilities = F.col("_probability")
     else:
-        scored = model.transform(scored)
-        probabilities = vector_to_array("_probability")
+        scored, probabilities = model.transform(df), vector_to_array("_probability")
     scored = scored.withColumn("_p", probabilities)
     return scored.withColumn("_out", S.prediction_struct(F.col("_p"), list(classes))).select(
         *df.columns, "_out.prediction", "_out.confidence", "_out.probabilities")
@@ -133,19 +116,26 @@ def in_threads(tasks: Sequence, workers: int = 8) -> list:
         return pool.map(inheritable_thread_target(SparkSession.active())(lambda task: task()), tasks)
 
 
-def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str], *, folds: int,
-                      label: str = TARGET, features: Sequence[str] = FEATURES, seed: int = 42) -> DataFrame:
-    """Out-of-fold predictions of every row: one fit per fold, folds side by side."""
+def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str], *, folds: int, key: str,
+                      label: str = TARGET, features: Sequence[str] = FEATURES, seed: int = 42) -> tuple[DataFrame, PipelineModel | None]:
+    """Out-of-fold predictions of every row (``key``, label, prediction), and the fit to all rows if that comes with them.
+
+    Boosting fits all folds and all rows together; the others run one fit per fold, side by side.
+    """
+    if algorithm == BOOSTED:
+        found = boosting.fit(folded, classes, label=label, features=features, key=key, fold="fold", folds=folds, settings=boosting.Settings(seed=seed))
+        return found.out_of_fold.withColumnsRenamed({"key": key, "label": label}), PipelineModel([found.model])
+
     def one(fold: int):
         train = folded.where(F.col("fold") != fold)
         model = fit_pipeline(algorithm, train, classes, label=label, features=features, seed=seed)
-        return score(folded.where(F.col("fold") == fold), model, classes)
+        return score(folded.where(F.col("fold") == fold), model, classes).select(key, label, "prediction")
 
     parts = in_threads([lambda k=k: one(k) for k in range(folds)], workers=folds)
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return out
+    return out, None
 
 
 def linear_model_row(model: PipelineModel, scaler: dict[str, tuple[float, float]], classes: Sequence[str],
@@ -164,12 +154,10 @@ def linear_model_row(model: PipelineModel, scaler: dict[str, tuple[float, float]
 
 
 def importances(model: PipelineModel, features: Sequence[str] = FEATURES) -> list[tuple[str, float, int]]:
-    """(feature, importance, position): tree importances, averaged over one-vs-rest members, or mean
-    absolute coefficients of the standardised features."""
+    """(feature, importance, position): tree importances, or mean absolute coefficients of the standardised features."""
     fitted = model.stages[-1]
-    if isinstance(fitted, OneVsRestModel):
-        members = [m.featureImportances.toArray() for m in fitted.models]
-        values = sum(members) / len(members)
+    if isinstance(fitted, PackedTrees):
+        values = fitted.getOrDefault(fitted.importance)
     elif hasattr(fitted, "featureImportances"):
         values = fitted.featureImportances.toArray()
     else:

@@ -75,22 +75,22 @@ def run_tournament(df: DataFrame, algorithms: Sequence[str] = M.ALGORITHMS, *, u
 
     def candidate(position: int, name: str):
         started = time.perf_counter()
-        out = M.cross_val_predict(name, folded, classes, folds=folds, seed=seed)
+        out, whole = M.cross_val_predict(name, folded, classes, folds=folds, key=_ROW, seed=seed)
         stored = M.materialized(out.select(_ROW, TARGET, "prediction"), "predictions")
         took = (time.perf_counter() - started) * 1000.0
         row = E.macro_metrics(stored, TARGET, "prediction").first().asDict()
-        return {"algorithm": name, "position": position, **row, "execution_time_ms": took}, stored
+        return {"algorithm": name, "position": position, **row, "execution_time_ms": took}, stored, whole
 
     results = M.in_threads([lambda i=i, n=n: candidate(i, n) for i, n in enumerate(names)], workers=len(names))
     columns = ["algorithm", "position", "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1",
                "support", "execution_time_ms"]
     board = spark.createDataFrame(
-        [tuple(r[c] for c in columns) for r, _ in results],
+        [tuple(r[c] for c in columns) for r, _, _ in results],
         "algorithm string, position int, accuracy double, macro_precision double, macro_recall double, macro_f1 double, "
         "weighted_f1 double, support bigint, execution_time_ms double")
     winner = E.choose_winner(board).first()["algorithm"]
-    predictions = dict(zip(names, (p for _, p in results)))[winner]
-    model = M.fit_pipeline(winner, folded, classes, seed=seed)
+    _, predictions, model = results[names.index(winner)]
+    model = model or M.fit_pipeline(winner, folded, classes, seed=seed)
     return Tournament(winner, board, predictions, model, classes, folded.count(), M.importances(model))
 
 

@@ -166,19 +166,6 @@ def test_fallback_flags(spark):
     assert got == {" User@@One": (0, "c"), "other": (1, "a"), "  ": (1, "a"), None: (1, "a")}
 
 
-def test_boosted_probabilities(spark):
-    rows = training_rows()
-    df = frame(spark, rows)
-    small = M.GBTClassifier(maxIter=3, maxDepth=2, seed=1)
-    saved, M.GBTClassifier = M.GBTClassifier, lambda **k: small
-    try:
-        model = M.fit_pipeline(M.BOOSTED, df, M.label_classes(df))
-    finally:
-        M.GBTClassifier = saved
-    scored = M.score(df, model, ["left_pinky", "right_index"]).collect()
-    assert all(r["prediction"] == r[TARGET] and abs(sum(r["probabilities"].values()) - 1) < 1e-9 for r in scored)
-
-
 def test_comparison_keeps_failures(spark, tmp_path, monkeypatch):
     fit = M.fit_pipeline
 
