@@ -49,8 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
-    encoded = bpe.encode(docs, *byte_bpe(), keep=docs.columns)
-    found = bpe.digests(encoded, *byte_bpe(), with_ids=True)
+    found = bpe.encode_and_check(docs, *byte_bpe(), keep=docs.columns, with_ids=True)
     # The operator's columns go last and replace extra columns of the same name.
     own = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own], *own)
