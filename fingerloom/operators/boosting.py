@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fingerloom.functions import scalars as S
 from fingerloom.operators.trees import Ensemble, PackedTrees, from_nodes
 from fingerloom.session import materialized
 
 #: Rounds between two written tables of margins; between them the rows' state is kept in memory and recomputed if lost.
-WRITE_EVERY = 20
+WRITE_EVERY = 5
 TASK_ROWS = 4000
 _ACCURACY = 10_000
 
@@ -198,7 +199,15 @@ def _splits(shared):
     return run
 
 
-_ROW = "key bigint, fold int, label int, bins binary, margins binary"
+def _sums_and_splits(shared):
+    sums, splits = _sums(shared), _splits(shared)
+    return lambda batches: splits(sums(batches))
+
+
+_INT, _LONG, _DOUBLE, _BYTES = T.IntegerType(), T.LongType(), T.DoubleType(), T.BinaryType()
+_ROW = T.StructType([T.StructField(n, t) for n, t in (("key", _LONG), ("fold", _INT), ("label", _INT), ("bins", _BYTES), ("margins", _BYTES))])
+_SUM = T.StructType([T.StructField(n, t) for n, t in (("part", _INT), ("tree", _INT), ("node", _INT), ("sums", _BYTES))])
+_SPLIT = T.StructType([*[T.StructField(n, _INT) for n in ("tree", "node", "feature", "bin")], *[T.StructField(n, _DOUBLE) for n in ("gain", "left_g", "left_h", "right_g", "right_h")]])
 
 
 def _moved(shared, n_features: int):
@@ -231,9 +240,9 @@ def _binned(df: DataFrame, cuts: list[np.ndarray], trees: int) -> DataFrame:
 
 def feature_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
     """At most ``bins`` - 1 inner cuts of every feature, at its quantiles; a row goes left of a cut it equals."""
-    levels = [(i + 1) / bins for i in range(bins - 1)]
-    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), levels, _ACCURACY).alias(f"q{i}") for i, c in enumerate(features)],
-                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    levels = ", ".join(S.number((i + 1) / bins) for i in range(bins - 1))
+    row = df.selectExpr(*[f"double(`{c}`) AS x{i}" for i, c in enumerate(features)]).selectExpr(
+        *[f"percentile_approx(x{i}, array({levels}), {_ACCURACY}) AS q{i}" for i in range(len(features))], *[f"max(x{i}) AS m{i}" for i in range(len(features))]).first()
     out = []
     for i in range(len(features)):
         cuts = np.unique(np.array(row[f"q{i}"] if row[f"q{i}"] is not None else [], float))
@@ -272,7 +281,7 @@ def fit(df: DataFrame, classes: Sequence[str], *, label: str, features: Sequence
     rows, before = rows.persist(), None
     rounds: list[Round] = []
     for number in range(settings.rounds):
-        grown = _grow(rows, number, left_out, k, len(features), settings)
+        grown = _grow(rows, tasks, number, left_out, k, len(features), settings)
         rounds.append(grown)
         if before is not None:
             before.unpersist()  # its successor is in memory since the first level
@@ -291,7 +300,7 @@ def fit(df: DataFrame, classes: Sequence[str], *, label: str, features: Sequence
     return Boosted(_packed(rounds, cuts, k, classes, features, settings), out)
 
 
-def _grow(rows: DataFrame, number: int, left_out: list[int], k: int, n_features: int, settings: Settings) -> Round:
+def _grow(rows: DataFrame, tasks: int, number: int, left_out: list[int], k: int, n_features: int, settings: Settings) -> Round:
     """The trees of one round: a job for each level, until no node splits."""
     spark, trees = rows.sparkSession, k * len(left_out)
     grown, open_ = Round(trees, settings.depth), [[0] for _ in range(trees)]
@@ -300,9 +309,11 @@ def _grow(rows: DataFrame, number: int, left_out: list[int], k: int, n_features:
         if not any(open_):
             break
         shared = spark.sparkContext.broadcast(_State(number, level, grown, open_, left_out, k, settings, n_features))
-        sums = rows.mapInArrow(_sums(shared), "part int, tree int, node int, sums binary")
-        found = sums.repartition("tree", "node").sortWithinPartitions("tree", "node", "part").mapInArrow(
-            _splits(shared), "tree int, node int, feature int, bin int, gain double, left_g double, left_h double, right_g double, right_h double").collect()
+        if tasks == 1:  # the sums of the only task are whole, so nothing needs to be dealt out
+            found = rows.mapInArrow(_sums_and_splits(shared), _SPLIT).collect()
+        else:
+            sums = rows.mapInArrow(_sums(shared), _SUM)
+            found = sums.repartition("tree", "node").sortWithinPartitions("tree", "node", "part").mapInArrow(_splits(shared), _SPLIT).collect()
         shared.unpersist()
         open_ = [[] for _ in range(trees)]
         for r in sorted(found, key=lambda r: (r["tree"], r["node"])):

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
 from fingerloom.operators import boosting
-from fingerloom.operators.scoring import fit_scaler
+from fingerloom.operators.scoring import fit_scaler, label_list
 from fingerloom.operators.trees import PackedTrees, packed_forest, with_probabilities
 from fingerloom.schema import FEATURES, TARGET
 from fingerloom.session import materialized
 
 LOGISTIC, FOREST, BOOSTED = "logistic_regression", "random_forest", "gradient_boosted"
 ALGORITHMS = (LOGISTIC, FOREST, BOOSTED)
-MAX_CLASSES = 1000
 ROWS_PER_TASK = 10_000
 
 
@@ -39,11 +38,8 @@ def parse_algorithms(names: str | Sequence[str]) -> list[str]:
 
 
 def label_classes(df: DataFrame, label: str = TARGET) -> list[str]:
-    """Sorted distinct labels; an error instead of a driver full of labels."""
-    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"Column {label} has more than {MAX_CLASSES} values; it is not a class label.")
-    return sorted(r[0] for r in rows if r[0] is not None)
+    """The sorted labels of ``df``."""
+    return label_list(df, label)
 
 
 def training_frame(df: DataFrame, *, keep: Sequence[str] = (), label: str = TARGET,

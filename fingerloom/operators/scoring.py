@@ -16,6 +16,15 @@ from fingerloom.schema import FEATURES
 from fingerloom.sources.registry import GLOBAL, GLOBAL_KEY, PERSONAL
 
 MODEL_COLUMNS = ("classes", "coefficients", "intercepts")
+MAX_CLASSES = 1000
+
+
+def label_list(df: DataFrame, label: str) -> list[str]:
+    """Sorted distinct labels; an error instead of a driver full of labels."""
+    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"Column {label} has more than {MAX_CLASSES} values; it is not a class label.")
+    return sorted(r[0] for r in rows if r[0] is not None)
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str] = FEATURES) -> dict[str, tuple[float, float]]:
@@ -37,16 +46,12 @@ def model_fallback(sessions: DataFrame, models: DataFrame, *, user: str = "user_
     that the left side is shuffled by user, where AQE splits a user with very many sessions. The one
     global row is a literal. Blank users have no model of their own.
     """
-    found = models.where(F.col("scope") == GLOBAL).select(F.struct(*columns).alias("m")).take(2)
-    if len(found) != 1:
-        raise ValueError(f"The model table needs exactly one global model and has {'none' if not found else 'more'}.")
-    fallback = found[0]
+    fallback = _global_model(models, columns)
     personal = models.where(F.col("scope") == PERSONAL).select(
         F.col("model_key").alias("_key"), F.struct(*columns).alias("_own"))
     struct_type = personal.schema["_own"].dataType
-    rest = F.struct(*[_literal(fallback["m"][f.name], f) for f in struct_type])
-    blank = S.strip(F.coalesce(F.col(user).cast("string"), F.lit(""))) == ""
-    keyed = sessions.withColumn("_lookup", F.when(~blank, S.user_key(F.col(user))))
+    rest = F.struct(*[_literal(fallback[f.name], f) for f in struct_type])
+    keyed = sessions.withColumn("_lookup", _lookup(user))
     joined = keyed.join(personal, F.col("_lookup") == F.col("_key"), "left")
     chosen = F.when(F.col("_key").isNull(), rest).otherwise(F.col("_own"))
     return joined.withColumns({
@@ -56,6 +61,20 @@ def model_fallback(sessions: DataFrame, models: DataFrame, *, user: str = "user_
               *[F.col("_model")[c].alias(c) for c in columns])
 
 
+def _global_model(models: DataFrame, columns: Sequence[str]) -> dict:
+    """The one global row; an error if there is none or more."""
+    found = models.where(F.col("scope") == GLOBAL).select(*columns).take(2)
+    if len(found) != 1:
+        raise ValueError(f"The model table needs exactly one global model and has {'none' if not found else 'more'}.")
+    return found[0].asDict()
+
+
+def _lookup(user: str) -> Column:
+    """The key of a row's user; NULL for blank users, who have no model of their own."""
+    blank = S.strip(F.coalesce(F.col(user).cast("string"), F.lit(""))) == ""
+    return F.when(~blank, S.user_key(F.col(user)))
+
+
 def _literal(value, field) -> Column:
     return F.lit(value).cast(field.dataType).alias(field.name) if not isinstance(value, list) else (
         _array(value).cast(field.dataType).alias(field.name))
@@ -71,15 +90,45 @@ def _array_sql(value) -> str:
     return S.number(value) if isinstance(value, (int, float)) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def flat_models(models: DataFrame, names: Sequence[str], n_features: int) -> DataFrame:
+    """The personal models with a column for each weight: ``_key``, ``_b<i>`` (NULL if the model lacks class i) and ``_w<i>_<j>``."""
+    place = lambda c: F.array_position("classes", F.lit(c)).cast("int") - 1
+    has = [place(c) >= 0 for c in names]
+    cells = [F.when(has[i], F.get("intercepts", place(c))).alias(f"_b{i}") for i, c in enumerate(names)]
+    cells += [F.when(has[i], F.get(F.get("coefficients", place(c)), F.lit(j))).alias(f"_w{i}_{j}") for i, c in enumerate(names) for j in range(n_features)]
+    return models.where(F.col("scope") == PERSONAL).select(F.col("model_key").alias("_key"), *cells)
+
+
 def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id",
                  features: Sequence[str] = FEATURES) -> DataFrame:
-    """Add ``prediction``, ``confidence``, ``probabilities`` by each row's personal or global model."""
-    matched = model_fallback(sessions, models, user=user)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    staged = matched.withColumn("_x", x).withColumn("_logits", F.zip_with(
-        "coefficients", "intercepts",
-        lambda w, b: F.aggregate(F.zip_with(w, F.col("_x"), lambda a, c: a * c), b, lambda s, t: s + t)))
-    return _predictions(staged, F.col("_logits"), F.col("classes")).drop("_x", "_logits", *MODEL_COLUMNS)
+    """Add ``used_model_key``, ``is_fallback_used``, ``prediction``, ``confidence``, ``probabilities`` by each row's personal or global model.
+
+    A model meets its rows as a row of plain columns, a weight each, so that the products run in generated code; a row without a model of its
+    own takes the global one's weights, which are literals. The join is sized by the planner, and AQE splits a user with very many sessions.
+    """
+    fallback = _global_model(models, MODEL_COLUMNS)
+    names = label_list(models.select(F.explode("classes").alias("c")), "c")
+    own_class = [fallback["classes"].index(c) if c in fallback["classes"] else -1 for c in names]
+    index, width = range(len(names)), range(len(features))
+    kept = [f"`{c}`" for c in sessions.columns]
+    keyed = sessions.withColumn("_lookup", _lookup(user))
+    joined = keyed.join(flat_models(models, names, len(features)), F.col("_lookup") == F.col("_key"), "left")
+    # One test a row says whose weights count; a class that the model lacks has no logit.
+    def logit(i: int) -> str:
+        own = " + ".join([f"_b{i}", *[f"_w{i}_{j} * double(`{features[j]}`)" for j in width]])
+        k = own_class[i]
+        rest = "CAST(NULL AS DOUBLE)" if k < 0 else " + ".join(
+            [S.number(fallback["intercepts"][k]), *[f"{S.number(w)} * double(`{c}`)" for w, c in zip(fallback["coefficients"][k], features)]])
+        return f"CASE WHEN _key IS NULL THEN {rest} ELSE {own} END AS _z{i}"
+    staged = joined.selectExpr(*kept, f"coalesce(_key, '{GLOBAL_KEY}') AS used_model_key", "int(_key IS NULL) AS is_fallback_used", *[logit(i) for i in index])
+    kept += ["used_model_key", "is_fallback_used"]
+    top = f"greatest({', '.join(f'_z{i}' for i in index)})" if len(names) > 1 else "_z0"
+    staged = staged.selectExpr("*", f"{top} AS _top").selectExpr(*kept, *[f"exp(_z{i} - _top) AS _e{i}" for i in index])
+    staged = staged.selectExpr("*", f"{' + '.join(f'coalesce(_e{i}, 0.0D)' for i in index)} AS _total")
+    literals = [_array_sql(c) for c in names]
+    winner = "CASE " + " ".join(f"WHEN _e{i} = 1.0D THEN {c}" for i, c in enumerate(literals)) + " END"
+    cells = "map(" + ", ".join(f"{c}, _e{i} / _total" for i, c in enumerate(literals)) + ")"
+    return staged.selectExpr(*kept, f"{winner} AS prediction", "100.0D / _total AS confidence", f"map_filter({cells}, (k, v) -> v IS NOT NULL) AS probabilities")
 
 
 def score_with_model(sessions: DataFrame, model: Mapping, *, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -101,16 +150,6 @@ def score_with_model(sessions: DataFrame, model: Mapping, *, features: Sequence[
     return staged.selectExpr(*kept, f"{winner} AS prediction", "100.0D / _total AS confidence", f"map({pairs}) AS probabilities")
 
 
-def _predictions(df: DataFrame, logits: Column, classes: Column) -> DataFrame:
-    scored = df.withColumns({"_logits": logits, "_classes": classes})
-    scored = scored.withColumn("_top", F.array_max("_logits"))
-    scored = scored.withColumn("_e", F.transform("_logits", lambda z: F.exp(z - F.col("_top"))))
-    scored = scored.withColumn("_total", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
-    scored = scored.withColumn("_p", F.transform("_e", lambda e: e / F.col("_total")))
-    return scored.withColumn("_out", S.prediction_struct(F.col("_p"), F.col("_classes"))).select(
-        *df.columns, "_out.prediction", "_out.confidence", "_out.probabilities")
-
-
 def coefficient_importance(models: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean absolute standardised coefficient per model and feature.
 

@@ -37,17 +37,17 @@ class Tournament:
 
 def prepare(df: DataFrame, *, dedupe: bool = True, clean: bool = True, context: str = "Dataset",
             min_class_rows: int = 2) -> DataFrame:
-    """Deduplicated, cleaned and validated rows, stored once with a key that identifies the row.
+    """Deduplicated, cleaned and validated rows, stored with a key that identifies the row.
 
-    Copies are removed over all columns. The key is a hash of the row's values; it only orders rows,
-    so rows that share a key are interchangeable.
+    Copies are removed over all columns, and the input is read once: what cleaning scans again is a stored table of the columns that a
+    fit needs. The key is a hash of the row's values; it only orders rows, so rows that share a key are interchangeable.
     """
     if TARGET not in df.columns:
         raise ValueError(f"{context}: no column {TARGET} to learn from.")
     rows = df.dropDuplicates() if dedupe else df
-    rows = clean_timing(rows) if clean else rows
-    key = F.xxhash64(*sorted(rows.columns))
-    rows = M.training_frame(rows.withColumn(_ROW, key), keep=[_ROW])
+    present = [c for c in FEATURES if c in rows.columns]
+    rows = M.materialized(rows.withColumn(_ROW, F.xxhash64(*sorted(rows.columns))).select(_ROW, TARGET, *present), "unclean")
+    rows = M.training_frame(clean_timing(rows) if clean else rows, keep=[_ROW])
     if rows.isEmpty():
         raise ValueError(f"{context}: cleaning left no rows.")
     return check_labels(check_features(rows, context=context), context=context, min_class_rows=min_class_rows)
@@ -154,6 +154,7 @@ class Holdout:
     classes: list[str]
     report: DataFrame
     rows: int
+    split: R.Split
 
 
 def fit_holdout(df: DataFrame, algorithm: str, *, seed: int = 42, test_share: float = 0.2, clean: bool = True,
@@ -165,14 +166,15 @@ def fit_holdout(df: DataFrame, algorithm: str, *, seed: int = 42, test_share: fl
     model = M.fit_pipeline(algorithm, split.where("is_test = 0"), classes, seed=seed)
     scored = M.score(split.where("is_test = 1"), model, classes)
     report = E.classification_report(M.materialized(scored.select(TARGET, "prediction"), "scored"), TARGET, "prediction")
-    return Holdout(algorithm, model, classes, report, split.count())
+    return Holdout(algorithm, model, classes, report, split.count(), R.Split(seed, test_share, clean, dedupe))
 
 
 def save_holdout(spark, fitted: Holdout, root: str, *, user: str | None = None, lineage: str = "production",
-                 promote: bool = True) -> str:
+                 promote: bool = True, token: str | None = None) -> str:
+    """Store a fitted model with its split; a repeated ``token`` stores nothing more."""
     scope, key = R.key_of(spark, user)
     return R.save_model(spark, fitted.model, root, scope=scope, key=key, algorithm=fitted.algorithm, features=FEATURES,
-                        classes=fitted.classes, lineage=lineage, promote=promote)
+                        classes=fitted.classes, lineage=lineage, promote=promote, token=token, split=fitted.split)
 
 
 def train_holdout(df: DataFrame, algorithm: str, root: str, *, seed: int = 42, test_share: float = 0.2,
@@ -183,18 +185,19 @@ def train_holdout(df: DataFrame, algorithm: str, root: str, *, seed: int = 42, t
     return fitted.report, save_holdout(df.sparkSession, fitted, root, user=user, lineage=lineage, promote=promote)
 
 
-def evaluate_model(df: DataFrame, root: str, user: str | None = None, *, seed: int = 42, clean: bool = True,
-                   dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
+def evaluate_model(df: DataFrame, root: str, user: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Report and confusion matrix of a stored model on the test part of the split it was trained by.
 
-    The model comes from :func:`train_holdout` with the same rows, seed and flags; a model fitted to all rows, as a
-    tournament stores, has no rows left to be judged by.
+    The registry row says how the rows were prepared and split. A model fitted to all rows, as a tournament stores, has no rows left
+    to be judged by, which is an error.
     """
     model, row = R.load_model(df.sparkSession, root, user)
     if not row["feature_names"]:
         raise ValueError("The registry row lists no features, so the model cannot be applied.")
-    rows = prepare(df, dedupe=dedupe, clean=clean)
-    test = stratified_split(rows, TARGET, _ROW, seed=seed).where("is_test = 1")
+    if row["split_seed"] is None:
+        raise ValueError("The model was fitted to all rows; none were held out to judge it by.")
+    rows = prepare(df, dedupe=row["deduplicated"], clean=row["cleaned"])
+    test = stratified_split(rows, TARGET, _ROW, test_share=row["test_share"], seed=row["split_seed"]).where("is_test = 1")
     scored = M.materialized(M.score(test, model, row["label_classes"]).select(TARGET, "prediction"), "scored")
     return E.classification_report(scored, TARGET, "prediction"), E.confusion_matrix(scored, TARGET, "prediction")
 

@@ -85,14 +85,19 @@ _TASKS = (f"tasks as (select 'task-' || s_suppkey as task_id, 1+{O.h('sessions',
           "trows as (select task_id, sessions, inject, unnest(range(1, sessions+1)) as row_no from tasks)")
 
 
-def _chunk_sql():
+def chunk_columns(slow: str) -> str:
+    """All 26 measured fields of a chunk row in SQL, drawn by ``k``; ``slow`` says of which rows every tenth is."""
     def timing(c, mean, std, low, high):
-        return f"case when inject and row_no%10=0 then 5000 else {_rint(O.normal(_K, c, mean, std), low, high)} end as {c}"
-    cols = [f"round({O.uniform(_K, c, '0', '0.06')},4) as {c}" for c in O.PASCAL[:8]]
+        return f"case when {slow} and row_no%10=0 then 5000 else {_rint(O.normal(_K, c, mean, std), low, high)} end as {c}"
+    cols = [f"{_rint(O.normal(_K, 'WPM', '48', '9'), 12, 180)} as WPM", f"round({O.uniform(_K, 'Accuracy', '0.86', '0.995')},4) as Accuracy"]
+    cols += [f"round({O.uniform(_K, c, '0', '0.06')},4) as {c}" for c in O.PASCAL[:8]]
     cols += [timing(c, "105", "18", 25, 900) for c in O.PASCAL[8:16]] + [timing(c, "185", "28", 30, 1200) for c in O.PASCAL[16:]]
+    return ", ".join(cols)
+
+
+def _chunk_sql():
     return ("with " + ", ".join(_TASKS) + f""" select task_id, (row_no-1)//100 as chunk_no, case when ((row_no-1)//100+1)*100 >= sessions then 1 else 0 end as is_last_chunk, row_no,
-      {_rint(O.normal(_K, 'WPM', '48', '9'), 12, 180)} as WPM, round({O.uniform(_K, 'Accuracy', '0.86', '0.995')},4) as Accuracy, """
-            + ", ".join(cols) + " from (select *, task_id || '/' || row_no as k from trows)")
+      {chunk_columns("inject")} from (select *, task_id || '/' || row_no as k from trows)""")
 
 
 @query("generate_task_chunks", _chunk_sql())

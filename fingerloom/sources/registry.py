@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +34,24 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("lineage", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("promoted_at", T.TimestampType()),
+    # How rows were split for the model; NULL for a model fitted to all rows.
+    T.StructField("split_seed", T.LongType()),
+    T.StructField("test_share", T.DoubleType()),
+    T.StructField("cleaned", T.BooleanType()),
+    T.StructField("deduplicated", T.BooleanType()),
 ])
 
 
+@dataclass(frozen=True)
+class Split:
+    """How the rows of a model were prepared and split: what it takes to find its held-out rows again."""
+
+    seed: int
+    test_share: float
+    cleaned: bool
+    deduplicated: bool
+
+
 def key_of(spark: SparkSession, user: str | None) -> tuple[str, str]:
     """Scope and model key of one user id, by the same rule as for a column; the global ones without a user."""
     if user is None or not user.strip():
@@ -40,19 +59,72 @@ def key_of(spark: SparkSession, user: str | None) -> tuple[str, str]:
     return PERSONAL, spark.range(1).select(path_key(F.lit(user))).first()[0]
 
 
-def save_model(spark: SparkSession, model: PipelineModel, root: str, *, key: str, algorithm: str,
-               features: Sequence[str], classes: Sequence[str], scope: str = PERSONAL, lineage: str = "production", promote: bool = True) -> str:
-    """Save the pipeline under ``root`` and append its registry row; returns the model path."""
-    path = f"{root.rstrip('/')}/{lineage}/{scope}/{key}-{algorithm}-{uuid.uuid4().hex}"
-    model.write().save(path)
-    now = datetime.now(timezone.utc)
-    row = (scope, key, algorithm, path, list(features), TARGET, list(classes), lineage, now, now if promote else None)
-    spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").partitionBy("lineage").parquet(f"{root.rstrip('/')}/registry")
-    return path
+def _folder(root: str, scope: str, key: str) -> str:
+    return f"{root.rstrip('/')}/registry/{scope}/{key}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def _read_commit(spark: SparkSession, path: str) -> dict | None:
+    file, system = _file_system(spark, path)
+    if not system.exists(file):
+        return None
+    rows = spark.read.schema(REGISTRY_SCHEMA).json(path).collect()
+    return rows[0].asDict() if rows else None
 
-def read_registry(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root.rstrip('/')}/registry")
+
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with ``text``; False if it is there already. The store's exclusive create decides between two writers."""
+    file, system = _file_system(spark, path)
+    try:
+        out = system.create(file, False)
+    except Py4JJavaError:
+        if system.exists(file):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def save_model(spark: SparkSession, model: PipelineModel, root: str, *, key: str, algorithm: str,
+               features: Sequence[str], classes: Sequence[str], scope: str = PERSONAL, lineage: str = "production", promote: bool = True,
+               token: str | None = None, split: Split | None = None) -> str:
+    """Save the pipeline under ``root`` and commit its registry row; returns the path of the model that counts.
+
+    ``token`` names the request. A request that is repeated, as a micro-batch may be, finds its commit and leaves one model and one row; of
+    two writers with one token the first to commit wins. A model is listed once its commit file is there, and the file is written after
+    the model, so a reader never sees half of one.
+    """
+    name = f"{algorithm}-{hashlib.sha256(token.encode()).hexdigest()[:32] if token is not None else uuid.uuid4().hex}"
+    commit = f"{_folder(root, scope, key)}/{lineage}-{name}.json"
+    if token is not None and (known := _read_commit(spark, commit)):
+        return known["model_path"]
+    # Each attempt has its own folder; the commit says which one counts.
+    path = f"{root.rstrip('/')}/{lineage}/{scope}/{key}-{name}-{uuid.uuid4().hex[:8]}"
+    model.write().save(path)
+    now = datetime.now(timezone.utc).isoformat(timespec="microseconds")
+    row = {"scope": scope, "model_key": key, "algorithm": algorithm, "model_path": path, "feature_names": list(features), "target_name": TARGET, "label_classes": list(classes),
+           "lineage": lineage, "created_at": now, "promoted_at": now if promote else None}
+    if split:
+        row |= {"split_seed": split.seed, "test_share": split.test_share, "cleaned": split.cleaned, "deduplicated": split.deduplicated}
+    if _put_if_absent(spark, commit, json.dumps(row) + "\n"):
+        return path
+    lost, system = _file_system(spark, path)
+    system.delete(lost, True)  # this attempt's own folder
+    return _read_commit(spark, commit)["model_path"]
+
+
+def read_registry(spark: SparkSession, root: str, scope: str | None = None, key: str | None = None) -> DataFrame:
+    """All committed rows, or those of one model key, whose folder alone is read then."""
+    folder = _folder(root, scope, key) if scope and key else f"{root.rstrip('/')}/registry"
+    file, system = _file_system(spark, folder)
+    if not system.exists(file):
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return spark.read.schema(REGISTRY_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
 
 
 def stored_artifacts(spark: SparkSession, root: str) -> DataFrame:
@@ -91,7 +163,7 @@ def load_model(spark: SparkSession, root: str, user: str | None = None) -> tuple
     Only the folder of the row that counts is looked at, so the size of the store does not matter.
     """
     scope, key = key_of(spark, user)
-    rows = read_registry(spark, root).where((F.col("scope") == scope) & (F.col("model_key") == key))
+    rows = read_registry(spark, root, scope, key)
     promoted = rows.where(F.col("promoted_at").isNotNull() & (F.coalesce("model_path", F.lit("")) != ""))
     row = promoted.orderBy(F.desc("promoted_at"), F.desc("model_path")).first()
     if row is None or not _exists(spark, row["model_path"]):
