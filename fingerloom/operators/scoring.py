@@ -124,7 +124,8 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
     kept += ["used_model_key", "is_fallback_used"]
     top = f"greatest({', '.join(f'_z{i}' for i in index)})" if len(names) > 1 else "_z0"
     staged = staged.selectExpr("*", f"{top} AS _top").selectExpr(*kept, *[f"exp(_z{i} - _top) AS _e{i}" for i in index])
-    staged = staged.selectExpr("*", f"{' + '.join(f'coalesce(_e{i}, 0.0D)' for i in index)} AS _total")
+    # The largest class has exp(0) = 1, so the sum is 0 only where a feature is missing: such a row has no prediction.
+    staged = staged.selectExpr("*", f"nullif({' + '.join(f'coalesce(_e{i}, 0.0D)' for i in index)}, 0.0D) AS _total")
     literals = [_array_sql(c) for c in names]
     winner = "CASE " + " ".join(f"WHEN _e{i} = 1.0D THEN {c}" for i, c in enumerate(literals)) + " END"
     cells = "map(" + ", ".join(f"{c}, _e{i} / _total" for i, c in enumerate(literals)) + ")"

@@ -50,3 +50,45 @@ def test_scalars(spark):
         one(spark, S.decode_label(F.lit(5), ["a", "b"], strict=True))
     p = one(spark, S.prediction_struct(F.array(F.lit(0.4), F.lit(0.4), F.lit(0.2)), ["x", "y", "z"]))
     assert p["prediction"] == "x" and p["confidence"] == 40.0 and p["probabilities"]["z"] == 0.2
+
+
+def test_a_repeated_commit_leaves_one_model(spark, tmp_path):
+    """One token: one model and one row, whoever commits first; a half-written model is never listed."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from fingerloom.sources import registry as R
+
+    root, model = str(tmp_path / "models"), PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")])
+    save = lambda **k: R.save_model(spark, model, root, key="u-1", algorithm="x", features=["a"], classes=["p", "q"], **k)
+    first, again, other = save(token="task/1"), save(token="task/1"), save(token="task/2")
+    assert first == again != other
+    assert R.read_registry(spark, root).count() == 2 and R.read_registry(spark, root, R.PERSONAL, "u-1").count() == 2
+    assert R.read_registry(spark, root, R.PERSONAL, "u-2").count() == 0
+    assert {r.model_path for r in R.stored_artifacts(spark, root).collect()} == {first, other}
+    # Two writers past the first look: the one who commits second takes the other's model and leaves nothing.
+    seen, R._read_commit = R._read_commit, lambda *a: None
+    try:
+        lost, system = [], R._put_if_absent
+        R._put_if_absent = lambda s, path, text: (lost.append(path), setattr(R, "_read_commit", seen), system(s, path, text))[-1]
+        assert save(token="task/1") == first
+    finally:
+        R._read_commit, R._put_if_absent = seen, system
+    assert len(lost) == 1 and R.read_registry(spark, root).count() == 2
+    assert {r.model_path for r in R.stored_artifacts(spark, root).collect()} == {first, other}
+    # An artifact without a commit is not a model.
+    model.write().save(f"{root}/production/personal/u-3-x")
+    assert R.read_registry(spark, root, R.PERSONAL, "u-3").count() == 0
+
+
+def test_two_promoters_leave_one_active_model(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from fingerloom.operators.models import in_threads
+    from fingerloom.sources import registry as R
+
+    root, model = str(tmp_path / "models"), PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")])
+    paths = in_threads([lambda: R.save_model(spark, model, root, scope=R.GLOBAL, key=R.GLOBAL_KEY, algorithm="x", features=["a"], classes=["p"])] * 2)
+    active = R.active_models(R.read_registry(spark, root), R.stored_artifacts(spark, root)).collect()
+    assert len(set(paths)) == 2 and len(active) == 1 and R.load_model(spark, root)[1]["model_path"] == active[0]["model_path"]

@@ -98,3 +98,19 @@ def test_failed_training_is_a_state(spark, tmp_path):
     Ta.stream_training(Rq.read_messages(spark, path=str(source)), empty, str(tmp_path / "m"), out, str(tmp_path / "p")).awaitTermination()
     row = spark.read.parquet(f"{out}/results").first()
     assert row["status"] == "Failed" and "weakest_finger" in row["error_message"]
+
+
+def test_a_repeated_training_batch_adds_nothing(spark, tmp_path):
+    """The same requests in a batch of the same number, as after a lost checkpoint."""
+    from builders import frame, training_rows
+    from fingerloom.operators import models as M
+    from fingerloom.sources import registry as R
+
+    source, out, root = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "models")
+    put(source, "1.json", [(Rq.TRAINING_REQUESTS, {"taskId": ID.format(i), "dataType": "real", "userEmail": "a@b.c"}) for i in (1, 2)])
+    for run in ("p1", "p2"):
+        Ta.stream_training(Rq.read_messages(spark, path=str(source)), lambda: frame(spark, training_rows()), root, out, str(tmp_path / run), algorithm=M.LOGISTIC).awaitTermination()
+    rows = R.read_registry(spark, root).collect()
+    assert len(rows) == 2 and len({r.model_path for r in rows}) == 2 and R.stored_artifacts(spark, root).count() == 2
+    assert {r.model_path for r in spark.read.parquet(f"{out}/results").collect()} == {r.model_path for r in rows}
+    assert all(r.split_seed == 42 and r.cleaned is False and r.promoted_at is None for r in rows)

@@ -224,3 +224,25 @@ def test_metrics_of_known_pairs(spark):
     assert E.primary_misclassification(pairs, "y", "p").first()["summary"] == "True class a was frequently misclassified as b"
     same = pairs.where("y = p")
     assert E.primary_misclassification(same, "y", "p").first()["summary"] == E.NO_MISCLASSIFICATION
+
+
+def test_a_model_of_all_rows_cannot_be_judged(spark, tmp_path):
+    df = frame(spark, training_rows())
+    T.train_global(df, str(tmp_path), [M.LOGISTIC])
+    with pytest.raises(ValueError, match="fitted to all rows"):
+        T.evaluate_model(df, str(tmp_path))
+
+
+def test_users_scored_by_models_of_other_classes(spark):
+    """A row's probabilities name the classes of its own model only; the first class wins a tie."""
+    schema = "scope string, model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>"
+    models = spark.createDataFrame([
+        ("global", "global", ["a", "c"], [[0.5, 0.0], [0.0, 0.5]], [0.0, 0.0]), ("personal", "u", ["b", "c", "d'"], [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]], [0.0, 0.0, 0.5])], schema)
+    rows = spark.createDataFrame([("u", 1.0, 2), ("u", 0.0, 0), ("v", 1.0, 1), ("v", 3.0, 1), ("u", None, 1)], "user_id string, x double, y int")
+    got = {(r.user_id, r.x): r for r in L.score_linear(rows, models, features=["x", "y"]).collect()}
+    for (user, x, y), (names, z) in {("u", 1.0, 2): (["b", "c", "d'"], [1.0, 2.0, 0.5]), ("u", 0.0, 0): (["b", "c", "d'"], [0.0, 0.0, 0.5]), ("v", 1.0, 1): (["a", "c"], [0.5, 0.5]),
+                                     ("v", 3.0, 1): (["a", "c"], [1.5, 0.5])}.items():
+        p = np.exp(z) / np.exp(z).sum()
+        assert got[user, x].probabilities == pytest.approx(dict(zip(names, p)))
+        assert got[user, x].prediction == names[int(np.argmax(p))] and got[user, x].confidence == pytest.approx(100 * p.max())
+    assert got["u", None].prediction is None and got["u", None].probabilities in (None, {})
