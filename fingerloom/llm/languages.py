@@ -109,8 +109,9 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: i
     """(lang, gram, rank) of the ``size`` most frequent n-grams of each language, over all rows with a language."""
     df = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
     counted = df.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    return counted.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # The bound stands on the row number itself, so that each task keeps its first rows only, before the shuffle and after.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counted.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:

@@ -178,7 +178,18 @@ def learn(labelled: DataFrame, *, label: str = "quality", reject: int = 0, bins:
             break
         rules.append(rule)
         left = left.where(~covered(rule))
-    return DecisionList(rules)
+    return DecisionList(_halfway(rows, rules))
+
+
+def _halfway(rows: DataFrame, rules: list[list[Condition]]) -> list[list[Condition]]:
+    """The rules with each bound halfway to the next value that a labelled row has, so that a text just beyond a bound that no labelled text
+    is near does not change sides."""
+    cuts = list(dict.fromkeys((c.feature, c.bound) for rule in rules for c in rule))
+    if not cuts:
+        return rules
+    above = rows.agg(*[F.min(F.when(F.col(name) > bound, F.col(name))).cast("double").alias(f"c{i}") for i, (name, bound) in enumerate(cuts)]).first()
+    middle = {cut: (cut[1] + above[i]) / 2 if above[i] is not None else cut[1] for i, cut in enumerate(cuts)}
+    return [[c._replace(bound=middle[c.feature, c.bound]) for c in rule] for rule in rules]
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, keep: list[str], id_column: str = "doc_id", text: str = "text",

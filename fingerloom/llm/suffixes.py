@@ -10,11 +10,12 @@ whose whole stretches agree are long matches, and neighbours that only share the
 one row for each distinct suffix; a new level and its equal-sized neighbour become one of twice the size, so the number of
 levels grows with the logarithm of the number of batches.
 
-Candidates are settled window by window on the bytes themselves, grouped by their first bytes; of groups with more
-than ``group`` members only window fingerprints travel, one row for each, so no task holds an unbounded group.
+Candidates are settled window by window on 64-bit fingerprints of all their bytes, grouped by their first bytes; of groups
+with more than ``group`` members only window fingerprints travel, one row for each, so no task holds an unbounded group. Bytes are
+not compared: two unlike windows of one fingerprint, among those that share their first bytes, would both be removed.
 
-Results depend on a text alone, so they are keyed by its 64-bit content hash, and rows without an id, or repeated rows,
-are served like any other: a text of ``length`` bytes or more that occurs twice is removed whole. NULL and empty texts
+Results depend on a text alone, so they are keyed by its 64-bit content hash (two unlike texts of one hash would be taken for one), and rows
+without an id, or repeated rows, are served like any other: a text of ``length`` bytes or more that occurs twice is removed whole. NULL and empty texts
 have no bytes and nothing to remove; an empty table gives no rows; extra columns are ignored or carried through unchanged.
 """
 
