@@ -59,6 +59,21 @@ def _report(spark, sf, algorithm):
     return rounded(E.classification_report(scored, TARGET, "prediction"))
 
 
+_HELD = "cast(ceil(0.2::double * count(*)) as bigint)"  # held-out rows of a class
+_NAMES = "(values ('logistic_regression', 0), ('random_forest', 1), ('gradient_boosted', 2)) c(algorithm, position)"
+
+
+def _labels_of(report: DataFrame) -> DataFrame:
+    return report.where(~F.col("label").isin("accuracy", "macro avg", "weighted avg"))
+
+
+@query("fit_support", O.sessions(f"select algorithm, label, support from {_NAMES}, (select weakest_finger as label, {_HELD} as support from cleaned group by 1)", *O.CLEANING))
+def fit_support(spark, sf):
+    """The held-out rows of each class that each fitted classifier was judged by."""
+    parts = [_labels_of(_report(spark, sf, name)).select(F.lit(name).alias("algorithm"), "label", "support") for name in M.ALGORITHMS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("fit_logistic")
 def fit_logistic(spark, sf):
     return _report(spark, sf, M.LOGISTIC)
@@ -98,6 +113,41 @@ def algorithm_tournament(spark, sf):
     return rounded(_tournament(spark, sf)[0].leaderboard)
 
 
+@query("tournament_support", O.sessions(f"select algorithm, position, (select count(*) from cleaned) as support from {_NAMES}", *O.CLEANING))
+def tournament_support(spark, sf):
+    """Every candidate was judged by the out-of-fold prediction of every row."""
+    return _tournament(spark, sf)[0].leaderboard.select("algorithm", "position", "support")
+
+
+@query("cross_val_support", O.sessions("select weakest_finger as label, count(*) as n_rows, count(*) as n_predicted from cleaned group by 1", *O.CLEANING))
+def cross_val_support(spark, sf):
+    """Out-of-fold predictions by class: each row has one, and it is one of the classes."""
+    result = _tournament(spark, sf)[0]
+    known = F.count_if(F.col("prediction").isin(result.classes))
+    return result.predictions.groupBy(F.col(TARGET).alias("label")).agg(F.countDistinct(T._ROW).alias("n_rows"), known.alias("n_predicted"))
+
+
+@query("train_global_registered", O.sessions("""select 'global' as scope, 'global' as model_key, string_agg(distinct weakest_finger, ',' order by weakest_finger) as label_classes,
+  26 as n_features, 1 as is_latest, 1 as is_candidate from cleaned""", *O.CLEANING))
+def train_global_registered(spark, sf):
+    active = train_global(spark, sf)
+    return active.select("scope", "model_key", "label_classes", "n_features", "is_latest", F.col("algorithm").isin(*M.ALGORITHMS).cast("int").alias("is_candidate"))
+
+
+@query("explain_global_support", O.sessions("select weakest_finger as label, count(*) as support, 10 as n_importances from cleaned group by 1", *O.CLEANING))
+def explain_global_support(spark, sf):
+    """The rows of the winner's confusion matrix add up to the classes, and ten features are listed."""
+    nested = T.explain(_tournament(spark, sf)[0])
+    cells = nested.select(F.inline("confusion_matrix"), F.size("feature_importances").alias("n_importances"))
+    return cells.groupBy(F.col("true_label").alias("label")).agg(F.sum("n_rows").alias("support"), F.max("n_importances").alias("n_importances"))
+
+
+@query("run_report_rows", O.sessions("""select run_id, status, (select count(*) from cleaned) as total_rows_processed, 3 as n_candidates, has_model
+  from (values ('run-1', 'dry_run', 0), ('run-2', 'success_global_production', 1)) r(run_id, status, has_model)""", *O.CLEANING))
+def run_report_rows(spark, sf):
+    return sink_run_report(spark, sf).drop("champion_model")
+
+
 @query("train_global")
 def train_global(spark, sf):
     """The active model of the registry after global training."""
@@ -134,7 +184,7 @@ def sink_run_report(spark, sf):
         (F.col("model_path").isNotNull()).cast("int").alias("has_model"))
 
 
-@query("model_registry_write_read")
+@query("model_registry_write_read", O.sessions(f"select cast(sum(n) as bigint) as n_rows, cast(sum(n) as bigint) as n_equal from (select {_HELD} as n from cleaned group by weakest_finger)", *O.CLEANING))
 def model_registry_write_read(spark, sf):
     """A stored and reloaded model scores the test rows as the fitted one does."""
     root = scratch_path(spark, "models")
@@ -155,10 +205,19 @@ def train_personal(spark, sf):
     for five folds, so the event cohort takes the place of the user."""
     rows = dataset(spark, sf).drop("user_id").withColumnRenamed("cohort", "user_id")
     new = F.col("session_id").cast("bigint") % 10 == 0  # a tenth of the sessions comes with the request
-    result, _ = T.train_personal(rows.where(~new), " Signup ", scratch_path(spark, "models"), inline=rows.where(new))
+    result, _ = _once(spark, sf, "personal", lambda: T.train_personal(rows.where(~new), " Signup ", scratch_path(spark, "models"), inline=rows.where(new)))
     return rounded(result.leaderboard.drop("execution_time_ms"))
 
 
+_MINE = ("mine as (select * from sessions where lower(trim(cohort)) = 'signup')", O.KEPT.replace("from sessions", "from mine"), O.QUARTILES, O.CLEANED)
+
+
+@query("train_personal_support", O.sessions(f"select algorithm, position, (select count(*) from cleaned) as support from {_NAMES}", *_MINE))
+def train_personal_support(spark, sf):
+    """Stored and inline rows of one user, cleaned by that user's own bounds, judge every candidate."""
+    return train_personal(spark, sf).select("algorithm", "position", "support")
+
+
 _PERSONAL = f"""mine as (select *, count(*) over (partition by user_id) as n_rows from sessions),
 ready as (select * from mine where n_rows >= 20 and not {O.negative()} and not {O.capped()}),
 own_q as (select user_id as u, {", ".join(f"quantile_cont({c}, 0.25) as q1_{c}, quantile_cont({c}, 0.75) as q3_{c}" for c in O.TIMINGS)} from ready group by 1),
@@ -183,7 +242,8 @@ def train_holdout(spark, sf):
     return rounded(report)
 
 
-@query("train_forest_registry")
+@query("train_forest_registry", O.tables(f"""select 'personal' as scope, 'random_forest' as algorithm, 'experiments' as lineage, cast(count(distinct {O.VALID}) as int) as n_classes
+  from (select *, {O.INFERRED} as inferred from feature) feature join typing on typing.Id = feature.TypingSessionId where coalesce(IsOutlier,0)=0 and not {O.negative(O.PASCAL[8:])}"""))
 def train_forest_registry(spark, sf):
     """Forest on the extracted rows, stored in the folder of its data type. This job does no IQR
     cleaning; negative timings are dropped, because validation stops on them."""
@@ -220,6 +280,12 @@ def compare_algorithms(spark, sf):
         "algorithm", "status", "error", "accuracy", "macro_f1", "weighted_f1", "support", "quality_rank", "quality_ties"))
 
 
+@query("compare_support", O.sessions(f"select algorithm, 'ok' as status, support from {_NAMES}, (select cast(sum(n) as bigint) as support from (select {_HELD} as n from cleaned group by weakest_finger))", *O.CLEANING))
+def compare_support(spark, sf):
+    """Every candidate of the comparison ran, on one held-out part."""
+    return _comparison(spark, sf).select("algorithm", "status", "support")
+
+
 @query("efficiency_metrics")
 def efficiency_metrics(spark, sf):
     return rounded(_comparison(spark, sf).select("algorithm", "model_bytes", "predict_ms", "support", "is_best_by_efficiency"))
