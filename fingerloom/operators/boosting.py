@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from fingerloom.functions import scalars as S
 from fingerloom.operators.trees import Ensemble, PackedTrees, from_nodes
-from fingerloom.session import materialized
+from fingerloom.session import discard, materialized
 
 #: Rounds between two written tables of margins; between them the rows' state is kept in memory and recomputed if lost.
 WRITE_EVERY = 5
@@ -272,24 +272,27 @@ def fit(df: DataFrame, classes: Sequence[str], *, label: str, features: Sequence
     cuts = feature_cuts(df, features, settings.bins)
     values = F.struct(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     staged = df.select(key_column.alias("key"), (F.col(f"`{fold}`") if fold else F.lit(-2)).cast("int").alias("fold"), S.encode_label(F.col(f"`{label}`"), classes).alias("label"), values.alias("x"))
-    rows = materialized(_binned(staged, cuts, trees), "boosting")
+    written = rows = materialized(_binned(staged, cuts, trees), "boosting")
     tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)))
     if rows.rdd.getNumPartitions() < tasks:
         rows = rows.repartition(tasks, "key")
     elif tasks == 1:
         rows = rows.coalesce(1)
-    rows, before = rows.persist(), None
+    rows, before, older = rows.persist(), None, None
     rounds: list[Round] = []
     for number in range(settings.rounds):
         grown = _grow(rows, tasks, number, left_out, k, len(features), settings)
         rounds.append(grown)
         if before is not None:
             before.unpersist()  # its successor is in memory since the first level
+        discard(older)
+        older = None
         if not folds and number == settings.rounds - 1:
             break
         before, rows = rows, rows.mapInArrow(_moved(spark.sparkContext.broadcast(grown), len(features)), _ROW)
         if number % WRITE_EVERY == WRITE_EVERY - 1:
-            rows = materialized(rows, "boosting").coalesce(tasks)
+            older, written = written, materialized(rows, "boosting")  # what the older table led to is written
+            rows = written.coalesce(tasks)
         rows = rows.persist()
     out = None
     if folds:
@@ -297,6 +300,7 @@ def fit(df: DataFrame, classes: Sequence[str], *, label: str, features: Sequence
     for kept in (before, rows):
         if kept is not None:
             kept.unpersist()
+    discard(older, written)
     return Boosted(_packed(rounds, cuts, k, classes, features, settings), out)
 
 

@@ -17,7 +17,7 @@ from fingerloom.operators import models as M
 from fingerloom.operators.cleaning import clean_timing, default_caps, not_negative, under_cap
 from fingerloom.operators.quality import feature_violations
 from fingerloom.operators.scoring import fit_scaler
-from fingerloom.schema import FEATURES, FINGERS, IQR_MULTIPLIER, MIN_PERSONAL_ROWS, TARGET, TIMING_COLUMNS
+from fingerloom.schema import FEATURES, FINGERS, IQR_MULTIPLIER, MIN_PERSONAL_ROWS, RANGE_RULES, TARGET, TIMING_COLUMNS
 from fingerloom.session import materialized, scratch_path
 from fingerloom.sources import registry as R
 
@@ -95,7 +95,8 @@ def _fit_group(pdf: pd.DataFrame, user: str, label: str, features: Sequence[str]
     row: dict = {"model_key": pdf[user].iloc[0], "training_rows": len(pdf), "classes": None, "coefficients": None,
                  "intercepts": None, "scales": None}
     x = pdf[list(features)].to_numpy(dtype=float)
-    if not np.isfinite(x).all():
+    low, high = (np.array([RANGE_RULES.get(c, (None, None))[side] if RANGE_RULES.get(c, (None, None))[side] is not None else end for c in features]) for side, end in ((0, -np.inf), (1, np.inf)))
+    if not np.isfinite(x).all() or (x < low).any() or (x > high).any():
         row["status"] = "invalid_features"
     elif not set(classes) <= set(FINGERS):
         row["status"] = "unsupported_label"
@@ -118,7 +119,8 @@ def train_all_users(df: DataFrame, *, user: str = "user_id", label: str = TARGET
                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """One row per user, by the user's key: a linear model, or the reason for none.
 
-    Rows are deduplicated and cleaned with the user's own IQR bounds. Users of up to
+    Rows are deduplicated and cleaned with the user's own IQR bounds; the range rules of a tournament hold here as well, and
+    rows that break one make the user's features invalid. Users of up to
     ``max_group_rows`` rows are fitted side by side in grouped tasks after a single shuffle by user;
     a larger user never reaches one task: it is fitted by the distributed solver of the same
     objective. There are at most (all rows / ``max_group_rows``) of those.
@@ -172,7 +174,7 @@ def _fit_large(keyed: DataFrame, key: str, label: str, features: Sequence[str],
     rows = materialized(clean_timing(keyed.where(F.col("model_key") == key).dropDuplicates()).drop("_row"), "user")
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     total = sum(sizes.values())
-    bad = feature_violations(rows, {c: (-float("inf"), None) for c in features})
+    bad = feature_violations(rows, {c: RANGE_RULES.get(c, (-float("inf"), None)) for c in features})
     if not bad.where("n_rows > 0").isEmpty():
         return (key, "invalid_features", total, None, None, None, None)
     if not set(sizes) <= set(FINGERS):

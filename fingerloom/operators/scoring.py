@@ -92,11 +92,11 @@ def _array_sql(value) -> str:
 
 def flat_models(models: DataFrame, names: Sequence[str], n_features: int) -> DataFrame:
     """The personal models with a column for each weight: ``_key``, ``_b<i>`` (NULL if the model lacks class i) and ``_w<i>_<j>``."""
-    place = lambda c: F.array_position("classes", F.lit(c)).cast("int") - 1
-    has = [place(c) >= 0 for c in names]
-    cells = [F.when(has[i], F.get("intercepts", place(c))).alias(f"_b{i}") for i, c in enumerate(names)]
-    cells += [F.when(has[i], F.get(F.get("coefficients", place(c)), F.lit(j))).alias(f"_w{i}_{j}") for i, c in enumerate(names) for j in range(n_features)]
-    return models.where(F.col("scope") == PERSONAL).select(F.col("model_key").alias("_key"), *cells)
+    own = models.where(F.col("scope") == PERSONAL)
+    placed = own.selectExpr("*", *[f"int(array_position(classes, {_array_sql(c)})) - 1 AS _p{i}" for i, c in enumerate(names)])
+    rows = placed.selectExpr("*", *[f"IF(_p{i} >= 0, get(coefficients, _p{i}), NULL) AS _r{i}" for i in range(len(names))])
+    return rows.selectExpr("model_key AS _key", *[f"IF(_p{i} >= 0, get(intercepts, _p{i}), NULL) AS _b{i}" for i in range(len(names))],
+                           *[f"get(_r{i}, {j}) AS _w{i}_{j}" for i in range(len(names)) for j in range(n_features)])
 
 
 def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id",

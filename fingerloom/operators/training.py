@@ -17,6 +17,7 @@ from fingerloom.operators.extract import filter_user, merge_history
 from fingerloom.operators.quality import check_features, check_labels, label_counts
 from fingerloom.operators.split import stratified_folds, stratified_split
 from fingerloom.schema import CV_FOLDS, FEATURES, MIN_PERSONAL_ROWS, TARGET
+from fingerloom.session import discard
 from fingerloom.sources import registry as R
 
 _ROW = "_row_key"
@@ -46,8 +47,9 @@ def prepare(df: DataFrame, *, dedupe: bool = True, clean: bool = True, context:
         raise ValueError(f"{context}: no column {TARGET} to learn from.")
     rows = df.dropDuplicates() if dedupe else df
     present = [c for c in FEATURES if c in rows.columns]
-    rows = M.materialized(rows.withColumn(_ROW, F.xxhash64(*sorted(rows.columns))).select(_ROW, TARGET, *present), "unclean")
-    rows = M.training_frame(clean_timing(rows) if clean else rows, keep=[_ROW])
+    unclean = M.materialized(rows.withColumn(_ROW, F.xxhash64(*sorted(rows.columns))).select(_ROW, TARGET, *present), "unclean")
+    rows = M.training_frame(clean_timing(unclean) if clean else unclean, keep=[_ROW])
+    discard(unclean)
     if rows.isEmpty():
         raise ValueError(f"{context}: cleaning left no rows.")
     return check_labels(check_features(rows, context=context), context=context, min_class_rows=min_class_rows)

@@ -65,7 +65,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables that :func:`materialized` wrote, once what was made of them is written or at hand."""
+    for df in stored:
+        path = getattr(df, "scratch", None)
+        if path:
+            file = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

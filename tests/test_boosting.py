@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -10,12 +12,18 @@ from fingerloom.operators import boosting as B
 from fingerloom.operators import models as M
 from fingerloom.operators import training as T
 from fingerloom.operators import trees as Tr
-from fingerloom.operators.extract import merge_history  # noqa: F401  (the tournament's input)
 from fingerloom.schema import FEATURES, TARGET
 
 NAMES = ["p", "q", "r", "s"]
 
 
+@pytest.fixture
+def few_rounds(monkeypatch):
+    """The whole way with five rounds instead of a hundred."""
+    whole = B.fit
+    monkeypatch.setattr(B, "fit", lambda *a, settings, **k: whole(*a, settings=replace(settings, rounds=5, row_share=1.0, min_weight=0.1), **k))
+
+
 def data(n, classes, seed):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 20, (n, len(NAMES))) / 2  # so few values that each is a bin
@@ -95,7 +103,7 @@ def test_more_values_than_bins(spark):
     assert sum(importance) == pytest.approx(1) and importance[0] + importance[1] > 0.8
 
 
-def test_pipeline_is_stored_and_scores_alike(spark, tmp_path):
+def test_pipeline_is_stored_and_scores_alike(spark, tmp_path, few_rounds):
     rows = training_rows()
     df = frame(spark, rows)
     classes = M.label_classes(df)
@@ -109,7 +117,7 @@ def test_pipeline_is_stored_and_scores_alike(spark, tmp_path):
     assert M.score(df.limit(0), model, classes).collect() == []
 
 
-def test_boosted_tournament(spark):
+def test_boosted_tournament(spark, few_rounds):
     result = T.run_tournament(frame(spark, training_rows()), [M.BOOSTED])
     assert result.winner == M.BOOSTED and result.predictions.count() == 12 and result.rows == 12
     assert {r[TARGET] for r in result.predictions.collect()} == {"left_pinky", "right_index"}

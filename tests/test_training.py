@@ -107,7 +107,8 @@ def test_all_users_match_distributed_fit(spark):
     for user in ("a", "b"):
         for i in range(90):
             label = ("left_pinky", "left_ring", "right_index")[i % 3]
-            row = {c: float(rng.normal(100, 5)) for c in FEATURES} | {"user_id": user, TARGET: label}
+            # Errors are shares: the range rules hold for all users too.
+            row = {c: float(rng.normal(100, 5)) / (1000 if c.startswith("error") else 1) for c in FEATURES} | {"user_id": user, TARGET: label}
             row |= {"accuracy": 0.9, "error_left_pinky": float(rng.uniform(0, 0.1) + 0.1 * (i % 3 == 0))}
             rows.append(row)
     rows += [r | {"user_id": "few"} for r in rows[:5]]
@@ -246,3 +247,13 @@ def test_users_scored_by_models_of_other_classes(spark):
         assert got[user, x].probabilities == pytest.approx(dict(zip(names, p)))
         assert got[user, x].prediction == names[int(np.argmax(p))] and got[user, x].confidence == pytest.approx(100 * p.max())
     assert got["u", None].prediction is None and got["u", None].probabilities in (None, {})
+
+
+def test_range_rules_hold_for_all_users(spark):
+    """What a tournament rejects, the job for all users rejects as well."""
+    rows = [r | {"user_id": u} for u in ("good", "bad") for r in training_rows() * 2]
+    rows = [r | {"wpm": r["wpm"] + i / 100} for i, r in enumerate(rows)]
+    rows[-1] = rows[-1] | {"accuracy": 1.5}
+    got = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows)).collect()}
+    large = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows), max_group_rows=10).collect()}
+    assert got == large == {"good": "trained", "bad": "invalid_features"}
