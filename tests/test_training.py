@@ -101,7 +101,7 @@ def test_validation_errors(spark):
 
 
 def test_all_users_match_distributed_fit(spark):
-    """The grouped solver and the distributed solver of large users give the same model."""
+    """A user's model does not depend on how many blocks its rows stand in, and is that of the distributed solver."""
     rng = np.random.default_rng(3)
     rows = []
     for user in ("a", "b"):
@@ -114,14 +114,25 @@ def test_all_users_match_distributed_fit(spark):
     rows += [r | {"user_id": "few"} for r in rows[:5]]
     df = spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], SCHEMA)
     grouped = {r["model_key"]: r for r in P.train_all_users(df).collect()}
-    split = {r["model_key"]: r for r in P.train_all_users(df, max_group_rows=50).collect()}
+    split = {r["model_key"]: r for r in P.train_all_users(df, block_rows=17).collect()}
     assert grouped["few"]["status"] == "insufficient_data"
     for user in ("a", "b"):
         assert grouped[user]["status"] == split[user]["status"] == "trained"
         assert grouped[user]["training_rows"] == split[user]["training_rows"]
         w = np.array(grouped[user]["coefficients"]) * np.array(grouped[user]["scales"])
         v = np.array(split[user]["coefficients"]) * np.array(split[user]["scales"])
-        assert np.allclose(w, v, atol=1e-3)
+        assert np.allclose(w, v, atol=1e-8) and np.allclose(grouped[user]["intercepts"], split[user]["intercepts"], atol=1e-6)
+        own = df.where(F.col("user_id") == user)
+        model = M.fit_pipeline(M.LOGISTIC, T.prepare(own), grouped[user]["classes"])
+        assert np.allclose(w, model.stages[-1].coefficientMatrix.toArray(), atol=1e-3)
+        # Brute force: the gradient of the summed loss plus half the squared weights vanishes at the model.
+        pdf = T.prepare(own).toPandas()
+        x = (pdf[FEATURES] - pdf[FEATURES].mean()) / pdf[FEATURES].std(ddof=0)
+        b = np.array(grouped[user]["intercepts"]) + np.array(grouped[user]["coefficients"]) @ pdf[FEATURES].mean().to_numpy()
+        z = x.to_numpy() @ w.T + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p = p / p.sum(axis=1, keepdims=True) - np.eye(3)[np.searchsorted(grouped[user]["classes"], pdf[TARGET])]
+        assert np.abs(p.T @ x.to_numpy() + w).max() < 1e-6 * len(x) and np.abs(p.sum(axis=0)).max() < 1e-6 * len(x)
 
 
 def test_two_class_fit_matches_distributed_fit(spark):
@@ -255,5 +266,5 @@ def test_range_rules_hold_for_all_users(spark):
     rows = [r | {"wpm": r["wpm"] + i / 100} for i, r in enumerate(rows)]
     rows[-1] = rows[-1] | {"accuracy": 1.5}
     got = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows)).collect()}
-    large = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows), max_group_rows=10).collect()}
+    large = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows), block_rows=10).collect()}
     assert got == large == {"good": "trained", "bad": "invalid_features"}
