@@ -82,7 +82,10 @@ def pending_preview(features: DataFrame, typing: DataFrame, limit: int = 25) ->
 
 
 def filter_user(df: DataFrame, user_id: str | None, *, column: str = "user_id") -> DataFrame:
-    """Rows of one user, matched on the trimmed lower-case id; errors on a blank or unknown user."""
+    """Rows of one user, matched on the trimmed lower-case id; errors on a blank or unknown user.
+
+    A table with a ``user_key`` column is matched on that column, so of one bucketed by it a single bucket is read.
+    """
     if user_id is None:
         return df
     wanted = user_id.strip().lower()
@@ -90,7 +93,7 @@ def filter_user(df: DataFrame, user_id: str | None, *, column: str = "user_id")
         raise ValueError("user_id must be non-empty.")
     if column not in df.columns:
         raise ValueError(f"Column {column} is required to filter by user.")
-    rows = df.where(S.user_key(F.col(column)) == wanted)
+    rows = df.where((F.col("user_key") if "user_key" in df.columns else S.user_key(F.col(column))) == wanted)
     if rows.isEmpty():
         raise ValueError(f"No rows found for user_id '{user_id}'.")
     return rows

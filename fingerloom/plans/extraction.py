@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fingerloom.functions import scalars as S
@@ -12,6 +14,7 @@ from fingerloom.schema import (
     DWELL_COLUMNS, ERROR_COLUMNS, FEATURES, FINGERS, FLIGHT_COLUMNS, SESSION_SCHEMA, TARGET, finger_columns, rename_fingers,
 )
 from fingerloom.session import scratch_path
+from fingerloom.sources import layout as Ly
 from fingerloom.sources import tables as Tb
 from fingerloom.sources.bridge import feature_table, session_rows, typing_table
 
@@ -285,6 +288,14 @@ def filter_user(spark, sf):
     return X.filter_user(session_rows(spark, sf), " 7 ").select("session_id", "user_id", "wpm", TARGET)
 
 
+@query("filter_user_bucketed", O.sessions("select session_id, user_id, wpm, weakest_finger from sessions where lower(trim(user_id)) = '7'"))
+def filter_user_bucketed(spark, sf):
+    """The same of a table bucketed by user: one bucket is read."""
+    rows = session_rows(spark, sf).select("session_id", "user_id", "wpm", TARGET)
+    stored = Ly.save_sessions_by_user(rows, f"sessions_{uuid.uuid4().hex}", scratch_path(spark, "by-user"))
+    return X.filter_user(stored, " 7 ").select("session_id", "user_id", "wpm", TARGET)
+
+
 @query("filter_not_outlier", O.tables("select Id, IsOutlier from feature where coalesce(IsOutlier,0)=0"))
 def filter_not_outlier(spark, sf):
     return X.not_outlier(feature_table(spark, sf)).select("Id", "IsOutlier")
@@ -323,7 +334,30 @@ def join_feature_session(spark, sf):
         "Id", "UserId", "Wpm", "DwellLeftPinky", "IsOutlier")
 
 
+@query("join_feature_session_bucketed", O.tables(
+    "select feature.Id, UserId, Wpm, DwellLeftPinky, IsOutlier from feature join typing on typing.Id = feature.TypingSessionId"))
+def join_feature_session_bucketed(spark, sf):
+    """The same of two tables bucketed by session: neither is shuffled."""
+    name = uuid.uuid4().hex
+    features = Ly.save_bucketed(feature_table(spark, sf), f"features_{name}", scratch_path(spark, "features"), "TypingSessionId", buckets=16)
+    typing = Ly.save_bucketed(typing_table(spark, sf), f"typing_{name}", scratch_path(spark, "typing"), "Id", buckets=16)
+    return X.join_feature_session(features, typing).select("Id", "UserId", "Wpm", "DwellLeftPinky", "IsOutlier")
+
+
 # New outlier ids: sessions with a blank or unknown label.
+@query("merge_outlier_flags", O.tables(
+    """select feature.Id, case when l.Id is not null then 1 else 0 end as IsOutlier, 2 as n_versions
+    from feature left join (select Id from typing where WeakestFinger in ('', 'thumb')) l on l.Id = feature.Id"""))
+def merge_outlier_flags(spark, sf):
+    """Flags written back to a versioned table and read from it; a second merge of the same ids makes no version."""
+    root = scratch_path(spark, "versioned")
+    Ly.create_versioned(feature_table(spark, sf), root, "Id", parts=16)
+    ids = typing_table(spark, sf).where(F.col("WeakestFinger").isin("", "thumb")).select("Id")
+    Ly.merge_outlier_flags(spark, root, ids)
+    last = Ly.merge_outlier_flags(spark, root, ids)
+    return Ly.read_versioned(spark, root).select("Id", "IsOutlier", F.lit(last.number + 1).alias("n_versions"))
+
+
 @query("apply_outlier_flags", O.tables(
     """select feature.Id, case when l.Id is not null then 1 else 0 end as cleared, case when l.Id is not null then 1 else IsOutlier end as kept
     from feature left join (select Id from typing where WeakestFinger in ('', 'thumb')) l on l.Id = feature.Id"""))

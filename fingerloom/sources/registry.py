@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from pyspark.sql import types as T
 
 from fingerloom.functions.scalars import path_key
 from fingerloom.schema import TARGET
+from fingerloom.sources.commits import file_system as _file_system
+from fingerloom.sources.commits import put_if_absent as _put_if_absent
 
 GLOBAL_KEY = "global"
 #: A model serves everybody or one user. The scope keeps a user who is called "global" apart from the global model.
@@ -63,11 +64,6 @@ def _folder(root: str, scope: str, key: str) -> str:
     return f"{root.rstrip('/')}/registry/{scope}/{key}"
 
 
-def _file_system(spark: SparkSession, path: str):
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return file, file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _read_commit(spark: SparkSession, path: str) -> dict | None:
     file, system = _file_system(spark, path)
     if not system.exists(file):
@@ -76,20 +72,6 @@ def _read_commit(spark: SparkSession, path: str) -> dict | None:
     return rows[0].asDict() if rows else None
 
 
-def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file with ``text``; False if it is there already. The store's exclusive create decides between two writers."""
-    file, system = _file_system(spark, path)
-    try:
-        out = system.create(file, False)
-    except Py4JJavaError:
-        if system.exists(file):
-            return False
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
-
-
 def save_model(spark: SparkSession, model: PipelineModel, root: str, *, key: str, algorithm: str,
                features: Sequence[str], classes: Sequence[str], scope: str = PERSONAL, lineage: str = "production", promote: bool = True,
                token: str | None = None, split: Split | None = None) -> str:
