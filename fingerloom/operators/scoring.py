@@ -90,21 +90,23 @@ def _array_sql(value) -> str:
     return S.number(value) if isinstance(value, (int, float)) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def flat_models(models: DataFrame, names: Sequence[str], n_features: int) -> DataFrame:
-    """The personal models with a column for each weight: ``_key``, ``_b<i>`` (NULL if the model lacks class i) and ``_w<i>_<j>``."""
+def flat_models(models: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The personal models with two columns for each class: ``_key``, ``_b<i>`` and the weights ``_w<i>``, NULL if the model lacks class i.
+
+    An array for each class keeps rows below the number of fields up to which stages are compiled whole.
+    """
     own = models.where(F.col("scope") == PERSONAL)
     placed = own.selectExpr("*", *[f"int(array_position(classes, {_array_sql(c)})) - 1 AS _p{i}" for i, c in enumerate(names)])
-    rows = placed.selectExpr("*", *[f"IF(_p{i} >= 0, get(coefficients, _p{i}), NULL) AS _r{i}" for i in range(len(names))])
-    return rows.selectExpr("model_key AS _key", *[f"IF(_p{i} >= 0, get(intercepts, _p{i}), NULL) AS _b{i}" for i in range(len(names))],
-                           *[f"get(_r{i}, {j}) AS _w{i}_{j}" for i in range(len(names)) for j in range(n_features)])
+    cells = [f"IF(_p{i} >= 0, get({column}, _p{i}), NULL) AS {alias}{i}" for i in range(len(names)) for column, alias in (("intercepts", "_b"), ("coefficients", "_w"))]
+    return placed.selectExpr("model_key AS _key", *cells)
 
 
 def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id",
                  features: Sequence[str] = FEATURES) -> DataFrame:
     """Add ``used_model_key``, ``is_fallback_used``, ``prediction``, ``confidence``, ``probabilities`` by each row's personal or global model.
 
-    A model meets its rows as a row of plain columns, a weight each, so that the products run in generated code; a row without a model of its
-    own takes the global one's weights, which are literals. The join is sized by the planner, and AQE splits a user with very many sessions.
+    A model meets its rows as a row with an array of weights for each class, whose products are written out and run in generated code; a row
+    without a model of its own takes the global one's weights, which are literals. The join is sized by the planner, and AQE splits a user with very many sessions.
     """
     fallback = _global_model(models, MODEL_COLUMNS)
     names = label_list(models.select(F.explode("classes").alias("c")), "c")
@@ -112,10 +114,10 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
     index, width = range(len(names)), range(len(features))
     kept = [f"`{c}`" for c in sessions.columns]
     keyed = sessions.withColumn("_lookup", _lookup(user))
-    joined = keyed.join(flat_models(models, names, len(features)), F.col("_lookup") == F.col("_key"), "left")
+    joined = keyed.join(flat_models(models, names), F.col("_lookup") == F.col("_key"), "left")
     # One test a row says whose weights count; a class that the model lacks has no logit.
     def logit(i: int) -> str:
-        own = " + ".join([f"_b{i}", *[f"_w{i}_{j} * double(`{features[j]}`)" for j in width]])
+        own = " + ".join([f"_b{i}", *[f"get(_w{i}, {j}) * double(`{features[j]}`)" for j in width]])
         k = own_class[i]
         rest = "CAST(NULL AS DOUBLE)" if k < 0 else " + ".join(
             [S.number(fallback["intercepts"][k]), *[f"{S.number(w)} * double(`{c}`)" for w, c in zip(fallback["coefficients"][k], features)]])

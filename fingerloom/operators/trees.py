@@ -2,7 +2,7 @@
 
 All trees stand one after another in breadth-first order, a right child right behind its left sibling. The rows of a batch move
 down one level at a time, all at once. Values are compared as ranks among the ensemble's own thresholds, which gives the same
-answers as comparing the values, on two bytes instead of eight.
+answers as comparing the values, on one or two bytes instead of eight.
 """
 
 from __future__ import annotations
@@ -42,14 +42,15 @@ class Ensemble:
         self.n_features = int(self.feature.max(initial=-1)) + 1
         self.cuts = [np.unique(self.threshold[inner & (self.feature == f)]) for f in range(self.n_features)]
         n = len(self.feature)
-        rank = np.zeros(n, np.uint16 if max(map(len, self.cuts), default=0) < 1 << 16 else np.int64)
+        most = max(map(len, self.cuts), default=0)
+        rank = np.zeros(n, np.uint8 if most < 255 else np.uint16 if most < 65_535 else np.int64)
         for f, cuts in enumerate(self.cuts):
             own = inner & (self.feature == f)
             rank[own] = np.searchsorted(cuts, self.threshold[own])
         rank[~inner] = np.iinfo(rank.dtype).max  # a leaf sends its rows to itself
         self.rank = rank
-        self.next = np.where(inner, self.child, np.arange(n)).astype(np.int32)
-        self.row_of = np.where(inner, self.feature, 0).astype(np.int32)
+        self.next = np.where(inner, self.child, np.arange(n)).astype(np.int64)
+        self.row_of = np.where(inner, self.feature, 0).astype(np.int64)
         ends = np.append(self.roots[1:], n)
         self.depths = []
         for root, end in zip(self.roots, ends):
@@ -70,9 +71,9 @@ class Ensemble:
             codes = np.zeros((max(self.n_features, 1), n), self.rank.dtype)
             for f, cuts in enumerate(self.cuts):
                 codes[f] = np.searchsorted(cuts, part[:, f])
-            flat, rows, base = codes.ravel(), np.arange(n, dtype=np.int32), self.row_of * np.int32(n)
+            flat, rows, base = codes.ravel(), np.arange(n), self.row_of * n
             for root, depth, single in zip(self.roots, self.depths, self.single):
-                at = np.full(n, root, np.int32)
+                at = np.full(n, root, np.int64)
                 for _ in range(depth):
                     right = flat.take(base.take(at) + rows) > self.rank.take(at)
                     at = self.next.take(at) + right
