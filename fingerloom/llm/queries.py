@@ -70,7 +70,29 @@ def op5(spark, sf_dir):
     return found.select("row.doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@query("op10_benchmark_decontamination")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION_SQL = f"""
+with docs as (
+  select doc_id, {_WORDS} as w from documents
+), windows as (
+  select distinct item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase
+  from (select item_id, w, least(13, len(w)) as size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0)
+), places as (
+  select doc_id, w, size, unnest(range(1, greatest(len(w) - size + 2, 1))) as i from docs, (select distinct size from windows)
+), found as (
+  select doc_id, i, p.size, item_id from (select doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase from places) p join windows using (phrase)
+), hits as (
+  select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(i, i + size)) as word from found) group by doc_id
+), items as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs d left join hits using (doc_id) left join items using (doc_id)"""
+
+
+@query("op10_benchmark_decontamination", _CONTAMINATION_SQL)
 def op10(spark, sf_dir):
     found = fmindex.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -165,7 +187,40 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
     return joined.select("conv_id", F.concat(first, rest).alias("items"))
 
 
-@query("op12_conversation_prefix_trie")
+_TRIE_SQL = """
+with given as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null
+), sizes as (
+  select conv_id, count(*) as n,
+    xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)::ubigint[]), lambda b, i: xor(b >> 1, case when b % 2 = 1 then 3988292384::ubigint else 0::ubigint end)))) % 9 as h
+  from given group by conv_id
+), rebuilt as (
+  select s.conv_id, g.pos, g.role, g.text from sizes s join given g on g.conv_id = s.conv_id - s.conv_id % 5 and g.pos < s.h
+  union all
+  select s.conv_id, least(s.h, coalesce(b.n, 0)) + g.pos - s.h, g.role, g.text
+  from sizes s left join sizes b on b.conv_id = s.conv_id - s.conv_id % 5 join given g on g.conv_id = s.conv_id and g.pos >= s.h
+), prefixes as (
+  select conv_id, cast(pos + 1 as bigint) as depth, strlen(text) as bytes, md5(string_agg(md5(strlen(role) || ':' || role || text), '') over (partition by conv_id order by pos)) as k from rebuilt
+  union all select conv_id, 0, 0, '' from sizes
+), members as (
+  select *, lag(k) over (partition by conv_id order by depth) as above, depth = max(depth) over (partition by conv_id) as ends from prefixes
+), nodes as (
+  select k, any_value(depth) as depth, any_value(above) as above, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from members group by k
+), children as (
+  select above as k, count(*) as n_children from nodes where above is not null group by above
+), sums as (
+  select m.k, count(*) filter (c.k is null) as n_leaves, cast(sum((n.n_convs - 1) * n.bytes) as bigint) as saved_tokens
+  from nodes n join members m on m.conv_id = n.conv_id and m.depth <= n.depth left join children c on c.k = n.k group by m.k
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from nodes n join sums s on s.k = n.k left join children c on c.k = n.k left join nodes p on p.k = n.above"""
+
+
+@query("op12_conversation_prefix_trie", _TRIE_SQL)
 def op12(spark, sf_dir):
     return tries.prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))).drop("node")
 
