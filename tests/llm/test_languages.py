@@ -84,3 +84,13 @@ def test_query_is_right_on_held_out_texts(spark, sf):
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if got[r.doc_id].held_out]
     assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.95 * len(held)
+
+
+def test_ties_go_to_the_first_language(spark):
+    """Two languages of equal profiles, n-grams of equal count: the same answer each time, in any order of the rows."""
+    texts, langs = ["ab cd ef gh"] * 4 + ["xy zw"] * 2, ["zz", "aa", "zz", "aa", "mm", "mm"]
+    for order in (range(6), reversed(range(6))):
+        own = [(i, texts[i], langs[i]) for i in order]
+        frame = docs(spark, [t for _, t, _ in own], [i for i, _, _ in own], lang=[c for _, _, c in own]).repartition(3)
+        got = {r.row.doc_id: (r.lang_pred, r.score) for r in languages.predict(frame, frame, keep=["doc_id"], size=3).collect()}
+        assert [got[i][0] for i in range(6)] == ["aa"] * 4 + ["mm"] * 2 and len({got[i] for i in range(4)}) == 1

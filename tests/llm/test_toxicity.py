@@ -134,3 +134,17 @@ def test_ids_that_repeat_do_not_pass_the_bound(spark):
     assert toxicity.sample(frame.limit(0), labels).count() == 0
     copies = docs(spark, ["the same text"] * 500, [1] * 500)
     assert sorted(r.toxic for r in toxicity.sample(copies, labels).collect()) == [0, 1]
+
+
+def test_equal_texts_have_equal_scores(spark):
+    """Repeated rows and rows that differ in case only tie, whatever their ids; the model does not depend on the order of the rows."""
+    texts, marks = corpus()
+    labels = spark.createDataFrame([*enumerate(marks)], "doc_id bigint, toxic int")
+    found = []
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        order = list(order)
+        frame = docs(spark, [texts[i] for i in order], order).repartition(3)
+        found.append(toxicity.fit(toxicity.sample(frame, labels)))
+    assert found[0].features.tolist() == found[1].features.tolist() and np.allclose(found[0].weights, found[1].weights, atol=1e-6)
+    same = docs(spark, ["an idiotic idea", "AN IDIOTIC IDEA", "an idiotic idea"], [1, 2, None])
+    assert len({r.score for r in toxicity.score(same, found[0], keep=["doc_id"]).collect()}) == 1
