@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fingerloom.llm import bpe, fmindex, rules, simhash, suffixes
 from fingerloom.llm.queries import byte_bpe, table
-from fingerloom.session import materialized
+from fingerloom.session import discard, materialized
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialized(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        before, docs = docs, materialized(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        discard(before)  # what the stage was given is done with, once what it kept is written
     return STAGES[-1][1](spark, docs, sf_dir)
