@@ -9,9 +9,10 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, table
 
 NAMES = sorted(oracle_sql())
-#: Queries about full tournaments, whose users and classes need more rows than the smallest tables have.
+#: Queries about training, whose users, classes and requests need more rows than the smallest tables have.
 LARGER = "/root/testdata/sf0.01"
-TRAINING = {"tournament_support", "cross_val_support", "train_global_registered", "explain_global_support", "run_report_rows", "fit_support", "train_personal_support", "compare_support"}
+TRAINING = {"tournament_support", "cross_val_support", "train_global_registered", "explain_global_support", "run_report_rows", "fit_support", "train_personal_support", "compare_support",
+            "stream_training_states"}
 
 
 def connected(folder):

@@ -114,3 +114,10 @@ def test_a_repeated_training_batch_adds_nothing(spark, tmp_path):
     assert len(rows) == 2 and len({r.model_path for r in rows}) == 2 and R.stored_artifacts(spark, root).count() == 2
     assert {r.model_path for r in spark.read.parquet(f"{out}/results").collect()} == {r.model_path for r in rows}
     assert all(r.split_seed == 42 and r.cleaned is False and r.promoted_at is None for r in rows)
+
+
+def test_no_training_request_gives_no_rows(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(source, "1.json", [generation(1, 5)])
+    Ta.stream_training(Rq.read_messages(spark, path=str(source)), lambda: None, str(tmp_path / "models"), out, str(tmp_path / "p")).awaitTermination()
+    assert Ta.training_results(spark, out).collect() == []
