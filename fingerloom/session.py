@@ -79,11 +79,13 @@ def discard(*stored: DataFrame | None) -> None:
             file.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` if the input has fewer tasks than the cluster has cores.
+def spread(df: DataFrame, key: str, *, rows: int | None = None) -> DataFrame:
+    """Hash-partition by ``key`` if the input has fewer tasks than the cluster has cores, or than tasks of ``rows`` rows.
 
     Meant for narrow rows ahead of per-row work that costs more than the shuffle; input that is
     already split well is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        tasks = max(tasks, -(-df.count() // rows))
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df

@@ -17,6 +17,8 @@ from fingerloom.session import scratch_path, spread
 
 
 _STAGED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
+#: Events of a task: some seconds of draws.
+TASK_ROWS = 100_000
 
 
 def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,11 @@ def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-        drawn = spread(events, "event_id").withColumns({"weak": _h("w", 8), "r": _h("n", 100)})
+        drawn = spread(events, "event_id", rows=TASK_ROWS).withColumns({"weak": _h("w", 8), "r": _h("n", 100)})
+        # Only the weak finger is raised, so its three draws are made once, by its name.
+        name = F.get(F.array(*[F.lit(f) for f in FINGERS]), F.col("weak").cast("int"))
+        drawn = drawn.withColumns({f"more_{t}": least + draw_int(F.col("event_id"), F.concat(F.lit(t), name), n)
+                                   for t, least, n in (("x", 500, 650), ("y", 28, 31), ("z", 65, 56))})
         wide = drawn.select(*_feature_columns(), *_typing_columns())
         path = scratch_path(spark, "typing")
         wide.write.parquet(path)
@@ -46,13 +52,14 @@ def _feature_columns() -> list[Column]:
     slow = eid % 20 == 0
     error, dwell, flight = [], [], []
     for i, f in enumerate(FINGERS):
-        w = F.when(weak == i, 1).otherwise(0)
-        error.append(F.round((_h(f"e{f}", 300) + w * (500 + _h(f"x{f}", 650))) / 10000.0, 4).alias(f"Error{pascal(f)}"))
+        raised = lambda t: F.when(weak == i, F.col(f"more_{t}")).otherwise(0)  # noqa: B023, E731
+        # A whole number by 10,000 has four decimals as it is.
+        error.append(((_h(f"e{f}", 300) + raised("x")) / 10000.0).alias(f"Error{pascal(f)}"))
         dwell.append(
             F.when(slow, 5000).when(eid % 97 == 0, -5)
-            .otherwise(72 + _h(f"d{f}", 34) + w * (28 + _h(f"y{f}", 31))).cast("int").alias(f"Dwell{pascal(f)}"))
+            .otherwise(72 + _h(f"d{f}", 34) + raised("y")).cast("int").alias(f"Dwell{pascal(f)}"))
         flight.append(
-            F.when(slow, 5000).otherwise(165 + _h(f"f{f}", 96) + w * (65 + _h(f"z{f}", 56)))
+            F.when(slow, 5000).otherwise(165 + _h(f"f{f}", 96) + raised("z"))
             .cast("int").alias(f"Flight{pascal(f)}"))
     return [
         eid.alias("Id"), eid.alias("TypingSessionId"), F.col("ts").alias("CreatedAt"),
@@ -69,7 +76,7 @@ def _typing_columns() -> list[Column]:
         F.col("user_id").alias("UserId"), F.col("event_type").alias("Cohort"),
         (28 + _h("wpm", 51)).alias("Wpm"),
         F.when(r < 15, (86 + _h("a", 13)).cast("double"))
-        .otherwise(F.round((86.0 + _h("a", 13)) / 100.0, 4)).alias("Accuracy"),
+        .otherwise((86.0 + _h("a", 13)) / 100.0).alias("Accuracy"),
         F.when(r < 20, F.lit(None)).when(r < 25, "").when(r < 30, "thumb")
         .when(r < 40, F.upper(F.concat(F.lit(" "), name, F.lit(" ")))).otherwise(name).alias("WeakestFinger"),
     ]
