@@ -12,6 +12,8 @@ from fingerloom.schema import (
     CHUNK_ROWS, FEATURES, FINGERS, OUTLIER_TIME_MS, TARGET, finger_columns,
 )
 
+#: Made rows of a task: some seconds of draws.
+TASK_ROWS = 20_000
 # Fixed value: share of sessions in which the weak finger is drawn again.
 DRIFT = 0.18
 
@@ -23,6 +25,15 @@ def numbered_users(spark: SparkSession, n_users: int) -> DataFrame:
     return spark.range(1, n_users + 1).select(F.format_string("u%04d", "id").alias("user_id"))
 
 
+def _dealt(df: DataFrame, made: Column, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into tasks by the number of rows to be ``made`` of them.
+
+    The rows that say how many to make are few, and without a stated number of tasks they end up in one.
+    """
+    total = df.agg(F.sum(made)).first()[0] or 0
+    return df.repartition(max(1, -(-int(total) // TASK_ROWS)), *keys)
+
+
 def expand(df: DataFrame, count: Column | int, key: str, name: str, *, block: int = 5000) -> DataFrame:
     """Repeat each row ``count`` times with ``name`` = 0, 1, ...
 
@@ -34,7 +45,7 @@ def expand(df: DataFrame, count: Column | int, key: str, name: str, *, block: in
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))))
     first = F.col("_block") * block
     last = F.least(first + block, F.col("_n")) - 1
-    return blocks.repartition(key, "_block").withColumn(name, F.explode(F.sequence(first, last))).drop("_n", "_block")
+    return _dealt(blocks, last - first + 1, key, "_block").withColumn(name, F.explode(F.sequence(first, last))).drop("_n", "_block")
 
 
 def weak_finger_drift(users: DataFrame, sessions_per_user: int, *, block: int = 10_000) -> DataFrame:
@@ -134,7 +145,7 @@ def task_chunks(tasks: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 def chunk_rows(chunks: DataFrame) -> DataFrame:
     """The telemetry rows of each chunk; with outliers on, every tenth row of a task has only 5000 ms timings."""
     keep = ["task_id", "chunk_no", "is_last_chunk"]
-    rows = chunks.repartition("task_id", "chunk_no").select(
+    rows = _dealt(chunks, F.col("processed") - F.col("first_row") + 1, "task_id", "chunk_no").select(
         *keep, "inject_outliers", F.explode(F.sequence("first_row", "processed")).alias("row_no"))
     rows = rows.withColumn("_key", _key("task_id", "row_no"))
     key = F.col("_key")
