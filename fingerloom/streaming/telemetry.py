@@ -11,6 +11,9 @@ from fingerloom.schema import CHUNK_ROWS, CHUNK_SCHEMA, WIRE_ROW_SCHEMA
 from fingerloom.streaming.requests import TELEMETRY_STREAM, parse_requests, run_batches, write_batch
 from fingerloom.streaming.requests import GENERATION_REQUESTS
 
+#: State updates of a file. Who follows them takes some files at a time, so tiny files are as many micro-batches.
+FILE_EVENTS = 100_000
+
 
 def publish(messages: DataFrame, target: str, batch_id: int, *, servers: str | None = None, topic: str = TELEMETRY_STREAM) -> None:
     """Write JSON messages (column ``value``) of one micro-batch to a Kafka topic or to a table folder."""
@@ -44,7 +47,8 @@ def stream_generation(messages: DataFrame, out: str, checkpoint: str, *, chunk_r
         tasks = batch.where(F.col("problem").isNull() & (F.col("topic") == GENERATION_REQUESTS)).select(
             "task_id", "sessions", "inject_outliers").dropDuplicates(["task_id"]).persist()
         publish(G.chunk_messages(tasks, chunk_rows), f"{out}/{TELEMETRY_STREAM}", batch_id, servers=servers)
-        write_batch(generation_events(tasks, chunk_rows), f"{out}/events", batch_id)
+        events = generation_events(tasks, chunk_rows)
+        write_batch(events.coalesce(max(1, -(-events.count() // FILE_EVENTS))), f"{out}/events", batch_id)
         tasks.unpersist()
 
     return run_batches(parse_requests(messages), handle, checkpoint, **trigger)
