@@ -93,6 +93,27 @@ def test_folds_are_left_out(spark, monkeypatch, write_every):
         assert all(got[i] == "abcd"[want[i]] for i in np.flatnonzero(~inside))
 
 
+def test_rows_stand_in_blocks(spark, monkeypatch):
+    """Every row is in one block of bounded size, blocks are dealt to the tasks asked for, and trees do not depend on either."""
+    x, y = data(230, 3, 5)
+    df = table(spark, x, y)
+    staged = df.selectExpr("key", "fold", "int(ascii(label) - 97) AS label", "struct(p, q, r, s) AS x")
+    cuts = [np.unique(x[:, f])[:-1] for f in range(4)]
+    blocks = B._binned(staged, cuts, 3, 40)
+    found = blocks.collect()
+    keys = [np.frombuffer(r.key, np.int64) for r in found]
+    assert max(map(len, keys)) <= 40 and sorted(np.concatenate(keys)) == list(range(230))
+    for own, r in zip(keys, found):
+        assert (np.frombuffer(r.label, np.int32) == y[own]).all() and len(r.margins) == 3 * 8 * len(own)
+        assert (np.frombuffer(r.bins, np.uint8).reshape(4, -1).T == np.stack([np.searchsorted(c, x[own, f]) for f, c in enumerate(cuts)], axis=1)).all()
+    assert B._dealt(blocks, 2).rdd.getNumPartitions() == 2 and B._dealt(blocks, 5).rdd.getNumPartitions() == 5
+    settings = B.Settings(rounds=3, depth=3, rate=0.3)
+    for name, value in (("BLOCK_ROWS", 7), ("BLOCKS", 2), ("TASK_ROWS", 20), ("MOST_TASK_ROWS", 10)):
+        monkeypatch.setattr(B, name, value)
+    fitted = B.fit(df, list("abc"), label="label", features=NAMES, key="key", settings=settings)
+    assert np.allclose(fitted.model.trees().sums(x), brute(x, y, 3, settings), atol=1e-9)
+
+
 def test_more_values_than_bins(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))
