@@ -134,6 +134,15 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
     return staged.selectExpr(*kept, f"{winner} AS prediction", "100.0D / _total AS confidence", f"map_filter({cells}, (k, v) -> v IS NOT NULL) AS probabilities")
 
 
+def probability_rows(scored: DataFrame, *keep: str) -> DataFrame:
+    """``label`` and ``probability`` of every class of a scored row; a row without probabilities has none.
+
+    A plain ``explode`` lets the planner ask first whether the map is empty, and push that test below the scoring, where it repeats all of
+    a row's products for every use of a sum. The outer form has no such test.
+    """
+    return scored.select(*keep, F.explode_outer("probabilities").alias("label", "probability")).where(F.col("label").isNotNull())
+
+
 def score_with_model(sessions: DataFrame, model: Mapping, *, features: Sequence[str] = FEATURES) -> DataFrame:
     """The same for one model given on the driver: weights are literals, and every step is a plain
     column of generated code."""

@@ -265,7 +265,7 @@ def prediction_struct(spark, sf):
     """The probability map of every session, by its own or the global model, one row per label."""
     rows = session_rows(spark, sf).select("session_id", "user_id", *_DIM)
     scored = L.score_linear(rows, centroid_models(spark, sf), features=_DIM)
-    return rounded(scored.select("session_id", F.explode("probabilities").alias("label", "probability")))
+    return rounded(L.probability_rows(scored, "session_id"))
 
 
 @query("logistic_importance", O.sessions(

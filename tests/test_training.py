@@ -178,6 +178,15 @@ def test_fallback_flags(spark):
     assert got == {" User@@One": (0, "c"), "other": (1, "a"), "  ": (1, "a"), None: (1, "a")}
 
 
+def test_probabilities_are_listed_without_scoring_twice(spark):
+    schema = "scope string, model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>"
+    models = spark.createDataFrame([("global", "global", ["a", "b"], [[0.0], [0.0]], [0.0, 0.0]), ("personal", "one", ["c"], [[1.0]], [0.0])], schema)
+    rows = spark.createDataFrame([("one", 1.0), ("two", 1.0), ("none", None)], "user_id string, x double")
+    listed = L.probability_rows(L.score_linear(rows, models, features=["x"]), "user_id")
+    assert sorted(map(tuple, listed.collect())) == [("one", "c", 1.0), ("two", "a", 0.5), ("two", "b", 0.5)]
+    assert "size(" not in listed._jdf.queryExecution().optimizedPlan().toString()  # a test of the map would score every row again
+
+
 def test_comparison_keeps_failures(spark, tmp_path, monkeypatch):
     fit = M.fit_pipeline
 
