@@ -121,3 +121,24 @@ def test_no_training_request_gives_no_rows(spark, tmp_path):
     put(source, "1.json", [generation(1, 5)])
     Ta.stream_training(Rq.read_messages(spark, path=str(source)), lambda: None, str(tmp_path / "models"), out, str(tmp_path / "p")).awaitTermination()
     assert Ta.training_results(spark, out).collect() == []
+
+
+def test_one_fit_is_saved_once_for_all_its_requests(spark, tmp_path, monkeypatch):
+    """Each request has its own files, and they make the same model as the fit; MLlib writes the model a single time."""
+    from builders import frame, training_rows
+    from fingerloom.operators import models as M
+    from fingerloom.sources import registry as R
+    from pyspark.ml import PipelineModel
+
+    saves, write = [], PipelineModel.write
+    monkeypatch.setattr(PipelineModel, "write", lambda self: saves.append(1) or write(self))
+    source, out, root = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "models")
+    emails = ["a@b.c", "A@b.c ", "", None, "x y@z"]
+    put(source, "1.json", [(Rq.TRAINING_REQUESTS, {"taskId": ID.format(i), "dataType": "real", "userEmail": e}) for i, e in enumerate(emails)])
+    Ta.stream_training(Rq.read_messages(spark, path=str(source)), lambda: frame(spark, training_rows()), root, out, str(tmp_path / "p"), algorithm=M.LOGISTIC).awaitTermination()
+    rows = R.read_registry(spark, root).collect()
+    assert len(saves) == 1 and len({r.model_path for r in rows}) == 5 == R.stored_artifacts(spark, root).count()
+    users = ["a@b.c", "A@b.c", "unknown_user", "unknown_user", "x_y@z"]
+    assert sorted((r.scope, r.model_key) for r in rows) == sorted(R.key_of(spark, u) for u in users)
+    weights = [PipelineModel.load(r.model_path).stages[-1].coefficientMatrix.toArray().tolist() for r in rows]
+    assert all(w == weights[0] for w in weights)
