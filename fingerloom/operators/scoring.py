@@ -105,8 +105,9 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
                  features: Sequence[str] = FEATURES) -> DataFrame:
     """Add ``used_model_key``, ``is_fallback_used``, ``prediction``, ``confidence``, ``probabilities`` by each row's personal or global model.
 
-    A model meets its rows as a row with an array of weights for each class, whose products are written out and run in generated code; a row
-    without a model of its own takes the global one's weights, which are literals. The join is sized by the planner, and AQE splits a user with very many sessions.
+    A model meets its rows as a row with an array of weights for each class; a row without a model of its own takes the global one's
+    weights, which are literals. The products are written once, as a function of a class's weights: written out for every class they
+    make a method that Java no longer compiles. The join is sized by the planner, and AQE splits a user with very many sessions.
     """
     fallback = _global_model(models, MODEL_COLUMNS)
     names = label_list(models.select(F.explode("classes").alias("c")), "c")
@@ -116,14 +117,14 @@ def score_linear(sessions: DataFrame, models: DataFrame, *, user: str = "user_id
     keyed = sessions.withColumn("_lookup", _lookup(user))
     joined = keyed.join(flat_models(models, names), F.col("_lookup") == F.col("_key"), "left")
     # One test a row says whose weights count; a class that the model lacks has no logit.
-    def logit(i: int) -> str:
-        own = " + ".join([f"_b{i}", *[f"get(_w{i}, {j}) * double(`{features[j]}`)" for j in width]])
-        k = own_class[i]
-        rest = "CAST(NULL AS DOUBLE)" if k < 0 else " + ".join(
-            [S.number(fallback["intercepts"][k]), *[f"{S.number(w)} * double(`{c}`)" for w, c in zip(fallback["coefficients"][k], features)]])
-        return f"CASE WHEN _key IS NULL THEN {rest} ELSE {own} END AS _z{i}"
-    staged = joined.selectExpr(*kept, f"coalesce(_key, '{GLOBAL_KEY}') AS used_model_key", "int(_key IS NULL) AS is_fallback_used", *[logit(i) for i in index])
+    def whose(own: str, column: str) -> str:
+        rest = ["NULL" if k < 0 else _array_sql(fallback[column][k]) for k in own_class]
+        return f"IF(_key IS NULL, array({', '.join(rest)}), array({', '.join(f'{own}{i}' for i in index)}))"
+    logit = " + ".join(["get(_bs, _at)", *[f"get(_own, {j}) * double(`{features[j]}`)" for j in width]])
+    staged = joined.selectExpr(*kept, f"coalesce(_key, '{GLOBAL_KEY}') AS used_model_key", "int(_key IS NULL) AS is_fallback_used",
+                               f"{whose('_w', 'coefficients')} AS _ws", f"{whose('_b', 'intercepts')} AS _bs")
     kept += ["used_model_key", "is_fallback_used"]
+    staged = staged.selectExpr(*kept, f"transform(_ws, (_own, _at) -> {logit}) AS _z").selectExpr(*kept, *[f"get(_z, {i}) AS _z{i}" for i in index])
     top = f"greatest({', '.join(f'_z{i}' for i in index)})" if len(names) > 1 else "_z0"
     staged = staged.selectExpr("*", f"{top} AS _top").selectExpr(*kept, *[f"exp(_z{i} - _top) AS _e{i}" for i in index])
     # The largest class has exp(0) = 1, so the sum is 0 only where a feature is missing: such a row has no prediction.

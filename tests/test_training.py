@@ -277,3 +277,21 @@ def test_range_rules_hold_for_all_users(spark):
     got = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows)).collect()}
     large = {r["model_key"]: r["status"] for r in P.train_all_users(frame(spark, rows), block_rows=10).collect()}
     assert got == large == {"good": "trained", "bad": "invalid_features"}
+
+
+def test_products_are_written_once_for_all_classes(spark):
+    """Written out for each class they make a method too large for Java to compile; a column named like a helper does no harm."""
+    schema = "scope string, model_key string, classes array<string>, coefficients array<array<double>>, intercepts array<double>"
+    names = [f"c{i}" for i in range(6)]
+    weights = [[float(i + j) / 10 for j in range(5)] for i in range(6)]
+    models = spark.createDataFrame([("global", "global", names, weights, [0.0] * 6), ("personal", "u", names[1:3], weights[1:3], [0.5, 0.0])], schema)
+    rows = spark.createDataFrame([("u", *map(float, range(5))), ("v", *map(float, range(5))), ("v", 0.0, None, 0.0, 0.0, 0.0)], "user_id string, " + ", ".join(f"{c} double" for c in ("w", "i", "x", "y", "z")))
+    scored = L.score_linear(rows, models, features=["w", "i", "x", "y", "z"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("* x#") == plan.count("* w#") == 1
+    got = {(r.user_id, r.i): (r.used_model_key, r.prediction, r.confidence) for r in scored.collect()}
+    for key, own, bias in (("u", range(1, 3), [0.5, 0.0]), ("v", range(6), [0.0] * 6)):
+        z = np.array([sum(weights[k][j] * j for j in range(5)) for k in own]) + bias
+        want = names[list(own)[int(z.argmax())]], 100 / np.exp(z - z.max()).sum()
+        assert got[key, 1.0][1:] == (want[0], pytest.approx(want[1])) and got[key, 1.0][0] == ("u" if key == "u" else "global")
+    assert got["v", None][1] is None
