@@ -92,3 +92,11 @@ def test_two_promoters_leave_one_active_model(spark, tmp_path):
     paths = in_threads([lambda: R.save_model(spark, model, root, scope=R.GLOBAL, key=R.GLOBAL_KEY, algorithm="x", features=["a"], classes=["p"])] * 2)
     active = R.active_models(R.read_registry(spark, root), R.stored_artifacts(spark, root)).collect()
     assert len(set(paths)) == 2 and len(active) == 1 and R.load_model(spark, root)[1]["model_path"] == active[0]["model_path"]
+
+
+def test_a_text_is_read_as_a_number_once(spark):
+    texts = spark.createDataFrame([(" 1.5 ",), ("1e3",), ("nan",), ("NaN",), ("n/a",), ("",), (None,), ("-0",), ("inf",)], "t string")
+    numbers = texts.select(S.to_number(F.col("t")).alias("n"))
+    assert [r.n for r in numbers.collect()] == [1.5, 1000.0, None, None, None, None, None, 0.0, float("inf")]
+    assert numbers._jdf.queryExecution().optimizedPlan().toString().count("cast(t#") == 1
+    assert [r.n for r in spark.createDataFrame([(float("nan"),), (2.0,), (None,)], "t double").select(S.to_number(F.col("t")).alias("n")).collect()] == [None, 2.0, None]
