@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from fingerloom.operators import models as M
 from fingerloom.operators import training as T
 from fingerloom.operators import trees as Tr
 from fingerloom.schema import FEATURES, TARGET
+from fingerloom.session import shared_dir
 
 NAMES = ["p", "q", "r", "s"]
 
@@ -114,6 +116,29 @@ def test_rows_stand_in_blocks(spark, monkeypatch):
     assert np.allclose(fitted.model.trees().sums(x), brute(x, y, 3, settings), atol=1e-9)
 
 
+def test_a_level_is_one_job(spark, monkeypatch):
+    """A level of several tasks is one job, and what was kept on the way is deleted."""
+    for name, value in (("BLOCK_ROWS", 20), ("BLOCKS", 2), ("TASK_ROWS", 60), ("WRITE_EVERY", 2)):
+        monkeypatch.setattr(B, name, value)
+    x, y = data(230, 3, 6)
+    jobs, grow = [], B._grow
+
+    def counted(*a):
+        spark.sparkContext.setJobGroup(f"round {len(jobs)}", "boosting")
+        grown = grow(*a)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"round {len(jobs)}")))
+        spark.sparkContext.setJobGroup("other", "other")
+        return grown
+
+    monkeypatch.setattr(B, "_grow", counted)
+    settings = B.Settings(rounds=5, depth=3, rate=0.3)
+    before = set(Path(shared_dir(spark)).rglob("part-*"))
+    fitted = B.fit(table(spark, x, y), list("abc"), label="label", features=NAMES, key="key", settings=settings)
+    assert np.allclose(fitted.model.trees().sums(x), brute(x, y, 3, settings), atol=1e-9)
+    assert jobs == [3, 3, 4, 3, 4]  # a checkpoint is a job more
+    assert set(Path(shared_dir(spark)).rglob("part-*")) <= before
+
+
 def test_more_values_than_bins(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))
