@@ -6,7 +6,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from builders import frame, training_rows
 from fingerloom.operators import boosting as B
@@ -189,3 +191,13 @@ def test_values_at_the_thresholds():
     x = np.array([[0, 2.0], [0, 2.0000001], [0, 5.0], [0, 6.0], [0, -np.inf]])
     assert one.sums(x)[:, 0].tolist() == [11, 12, 12, 13, 11]
     assert Tr.Ensemble.loads(one.dumps()).sums(x)[:, 0].tolist() == [11, 12, 12, 13, 11]
+
+
+def test_forest_rows_remember_their_nodes(spark):
+    """Levels do not walk the rows from the root again, and the forest is the one that walking gives."""
+    x, y = data(200, 3, 7)
+    df = spark.createDataFrame([(float(k), Vectors.dense(r)) for r, k in zip(x, y)], StructType([StructField("_label", DoubleType()), StructField("_features", VectorUDT())])).coalesce(1).cache()
+    classifier = M._classifier(M.FOREST, 200, 3, 42).setNumTrees(5)
+    walked = classifier.copy().setCacheNodeIds(False).fit(df)
+    assert classifier.getCacheNodeIds()
+    assert classifier.fit(df).toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
