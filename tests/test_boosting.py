@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -201,3 +202,62 @@ def test_forest_rows_remember_their_nodes(spark):
     walked = classifier.copy().setCacheNodeIds(False).fit(df)
     assert classifier.getCacheNodeIds()
     assert classifier.fit(df).toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_large_data_grows_the_same_trees(spark, monkeypatch, classes):
+    """Sums of one child and of two features at a time, and margins in local files, give the trees and predictions of whole sums."""
+    for name, value in (("BLOCK_ROWS", 20), ("BLOCKS", 2), ("TASK_ROWS", 60), ("PAIR_ROWS", 0)):
+        monkeypatch.setattr(B, name, value)
+    x, y = data(230, classes, 8)
+    settings, names = B.Settings(rounds=4, depth=4, rate=0.3), list("abc"[:classes])
+    fit = lambda: B.fit(table(spark, x, y, folds=3), names, label="label", features=NAMES, key="key", fold="fold", folds=3, settings=settings)
+    whole, summed, sums = fit(), [], B._sums
+
+    def counted(state, *a):
+        assert state.differences == (state.level > 0) and len(state.files.rounds) == state.round
+        yield from sums(state, *a)
+
+    smaller = B._smaller
+    monkeypatch.setattr(B, "LARGE_TASK_ROWS", 1)
+    monkeypatch.setattr(B, "_sums", counted)
+    monkeypatch.setattr(B, "_smaller", lambda *a: summed.append((len(a[3]), len(found := smaller(*a)))) or found)
+    before = set(Path(shared_dir(spark)).rglob("part-*"))
+    fitted = fit()
+    assert all(one * 2 == both for both, one in summed) and any(one for _, one in summed)
+    assert np.allclose(fitted.model.trees().sums(x), brute(x, y, classes, settings), atol=1e-9)
+    assert sorted(fitted.out_of_fold.collect()) == sorted(whole.out_of_fold.collect())
+    assert len([p for p in set(Path(shared_dir(spark)).rglob("part-*")) - before if "out-of-fold" not in str(p)]) == 0
+
+
+def test_lost_margins_are_made_anew(tmp_path, monkeypatch):
+    """Margins come from the file of the last round, from an older one, or from the trees alone; files of other rows are not taken."""
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    rng = np.random.default_rng(9)
+    grown = []
+    for _ in range(3):
+        one = B.Round(3, 2)
+        one.feature[:, 0], one.bin[:, 0], one.feature[:, 2], one.bin[:, 2] = 1, 3, 0, rng.integers(0, 8, 3)
+        one.value[:, [1, 5, 6]] = rng.normal(size=(3, 3))
+        grown.append(SimpleNamespace(value=one))
+
+    def rows(n):
+        bins = rng.integers(0, 10, (2, n)).astype(np.uint8)
+        return B._Rows(np.arange(n), np.zeros(n, np.int32), rng.integers(0, 3, n).astype(np.int32), bins, np.zeros((0, n)), np.zeros((0, 2, n)))
+
+    for own in (rows(40), rows(40)):
+        for rounds in ((1, 2, 3), (3,), (2, 3)):
+            for path in [p for p in tmp_path.rglob("*-*") if p.is_file()]:
+                path.unlink()
+            for n in rounds:
+                got = B._Files("x", tuple(grown[:n]), 3, 3).loaded(own)
+            want = np.zeros((3, 40))
+            for g in grown:
+                for t in range(3):
+                    at = np.where(own.bins[1] <= 3, 1, np.where(own.bins[0] <= g.value.bin[t, 2], 5, 6))
+                    want[t] += g.value.value[t][at]
+            assert np.allclose(got.margins, want, atol=1e-12)
+            p = np.exp(want) / np.exp(want).sum(axis=0)
+            slopes = got.slopes(1, 3, np.arange(40))
+            assert np.allclose(slopes.real, p[1] - (own.label == 1)) and np.allclose(slopes.imag, 2 * p[1] * (1 - p[1]))
+            assert len([p for p in tmp_path.rglob("*-*") if p.is_file()]) == 1
