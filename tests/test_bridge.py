@@ -27,3 +27,11 @@ def test_tasks_are_bounded_and_rows_are_as_drawn(spark, tmp_path, monkeypatch):
             dwell = 72 + drawn(row.Id, f"d{f}", 34) + raised * (28 + drawn(row.Id, f"y{f}", 31))
             assert row[f"Flight{pascal(f)}"] == (5000 if row.Id % 20 == 0 else flight)
             assert row[f"Dwell{pascal(f)}"] == (5000 if row.Id % 20 == 0 else -5 if row.Id % 97 == 0 else dwell)
+
+
+def test_wide_draws_are_split_into_methods(spark):
+    """All draws in one generated method would be more than Java compiles; the values are those of the draws."""
+    wide = spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "5 AS weak", "2 AS r", "1 AS more_x", "2 AS more_y", "3 AS more_z").select(*bridge._feature_columns())
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Project" in line and "md5" in line and "*(" in line]
+    assert [(r.Id, r.TypingSessionId) for r in wide.collect()] == [(i, i) for i in range(40)]
