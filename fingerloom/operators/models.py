@@ -24,6 +24,8 @@ from fingerloom.session import materialized
 LOGISTIC, FOREST, BOOSTED = "logistic_regression", "random_forest", "gradient_boosted"
 ALGORITHMS = (LOGISTIC, FOREST, BOOSTED)
 ROWS_PER_TASK = 10_000
+#: Rows that folds are fitted on side by side: a forest keeps some 2 KB of each at hand, and more rows fill the cores by themselves.
+SIDE_BY_SIDE_ROWS = 1_000_000
 
 
 def parse_algorithms(names: str | Sequence[str]) -> list[str]:
@@ -117,7 +119,7 @@ def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str],
                       label: str = TARGET, features: Sequence[str] = FEATURES, seed: int = 42) -> tuple[DataFrame, PipelineModel | None]:
     """Out-of-fold predictions of every row (``key``, label, prediction), and the fit to all rows if that comes with them.
 
-    Boosting fits all folds and all rows together; the others run one fit per fold, side by side.
+    Boosting fits all folds and all rows together; the others run one fit per fold, side by side as far as the number of rows allows.
     """
     if algorithm == BOOSTED:
         found = boosting.fit(folded, classes, label=label, features=features, key=key, fold="fold", folds=folds, settings=boosting.Settings(seed=seed))
@@ -128,7 +130,8 @@ def cross_val_predict(algorithm: str, folded: DataFrame, classes: Sequence[str],
         model = fit_pipeline(algorithm, train, classes, label=label, features=features, seed=seed)
         return score(folded.where(F.col("fold") == fold), model, classes).select(key, label, "prediction")
 
-    parts = in_threads([lambda k=k: one(k) for k in range(folds)], workers=folds)
+    workers = max(1, min(folds, SIDE_BY_SIDE_ROWS // max(1, folded.count())))
+    parts = in_threads([lambda k=k: one(k) for k in range(folds)], workers=workers)
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

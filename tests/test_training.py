@@ -202,6 +202,26 @@ def test_comparison_keeps_failures(spark, tmp_path, monkeypatch):
     assert by[M.FOREST]["status"] == "failed" and "no trees" in by[M.FOREST]["error"]
 
 
+@pytest.mark.parametrize(("rows", "most"), [(30, 2), (1, 1)])
+def test_folds_of_large_data_are_fitted_one_after_another(spark, monkeypatch, rows, most):
+    """The rows that are fitted on side by side are bounded; every row is predicted once all the same."""
+    fit, active, seen = M.fit_pipeline, [], []
+
+    def counted(*args, **kwargs):
+        active.append(1)
+        seen.append(len(active))
+        try:
+            return fit(*args, **kwargs)
+        finally:
+            active.pop()
+
+    monkeypatch.setattr(M, "fit_pipeline", counted)
+    monkeypatch.setattr(M, "SIDE_BY_SIDE_ROWS", rows)
+    folded = frame(spark, training_rows()).withColumn("key", F.monotonically_increasing_id()).withColumn("fold", (F.col("wpm") % 3).cast("int")).localCheckpoint()
+    out, _ = M.cross_val_predict(M.LOGISTIC, folded, ["left_pinky", "right_index"], folds=3, key="key")
+    assert len(seen) == 3 and max(seen) <= most and out.select("key").distinct().count() == out.count() == 12
+
+
 def test_users_stay_apart_and_sessions_stay_whole(spark):
     """Ids in other scripts, a user called Global, and sessions with equal features."""
     rows = []
